@@ -101,9 +101,13 @@ def chunk_contents(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, content binary").distinct()
 
 
-def content_numbers(contents: DataFrame) -> DataFrame:
+def shared_digests(contents: DataFrame) -> DataFrame:
+    """The digests that stand for more than one content."""
+    return contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+
+
+def content_numbers(contents: DataFrame, shared: DataFrame) -> DataFrame:
     """(digest, content, number) of the digests that stand for more than one content."""
-    shared = contents.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     return contents.join(shared, "digest").withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("content")))
 
 
@@ -127,8 +131,9 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
     none does is still checked on all bytes, and those that do are told apart. The
     check is one job over all chunks; only where it finds such digests is text read again."""
     found = recipes(docs, digest_bytes)
-    numbers = materialise(content_numbers(chunk_contents(docs, digest_bytes)))
-    if numbers.limit(1).count():
+    shared = materialise(shared_digests(chunk_contents(docs, digest_bytes)))
+    if shared.limit(1).count():
+        numbers = materialise(content_numbers(chunk_contents(docs, digest_bytes), shared))
         places = _patches(docs, numbers, digest_bytes).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "number"))).alias("patch"))
         found = found.join(places, found["doc_id"].eqNullSafe(places["row"]), "left").drop("row").withColumn("patch", F.coalesce(F.to_json("patch"), F.lit("")))
     else:
