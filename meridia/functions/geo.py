@@ -126,16 +126,27 @@ def _e2(rf: float) -> float:
     return (2 - 1 / rf) / rf
 
 
-def _shifted(lon: Column, lat: Column, a1: float, rf1: float, a2: float, rf2: float, shift) -> tuple[Column, Column]:
-    """Longitude and latitude on the second ellipsoid, by way of geocentric metres."""
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _iterate(start: Column, step, times: int) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.lit(times)), start, lambda acc, _: step(acc))
+
+
+def _shifted(lon: Column, lat: Column, a1: float, rf1: float, a2: float, rf2: float, shift) -> Column:
+    """struct<lon, lat> on the second ellipsoid, by way of geocentric metres."""
     e1, e2 = _e2(rf1), _e2(rf2)
     n = a1 / F.sqrt(1 - e1 * F.pow(F.sin(lat), 2))
-    x, y, z = n * F.cos(lat) * F.cos(lon) + shift[0], n * F.cos(lat) * F.sin(lon) + shift[1], n * (1 - e1) * F.sin(lat) + shift[2]
-    p = F.sqrt(x * x + y * y)
-    out = F.atan2(z, p * (1 - e2))
-    for _ in range(5):
-        out = F.atan2(z + e2 * (a2 / F.sqrt(1 - e2 * F.pow(F.sin(out), 2))) * F.sin(out), p)
-    return F.atan2(y, x), out
+    metres = _let(F.struct(lon.alias("g"), lat.alias("f"), n.alias("n")), lambda q: F.struct((q["n"] * F.cos(q["f"]) * F.cos(q["g"]) + shift[0]).alias("x"), (q["n"] * F.cos(q["f"]) * F.sin(q["g"]) + shift[1]).alias("y"), (q["n"] * (1 - e1) * F.sin(q["f"]) + shift[2]).alias("z")))
+
+    def back(m: Column) -> Column:
+        p = F.sqrt(m["x"] * m["x"] + m["y"] * m["y"])
+        step = lambda f: F.atan2(m["z"] + e2 * (a2 / F.sqrt(1 - e2 * F.pow(F.sin(f), 2))) * F.sin(f), p)
+        return F.struct(F.atan2(m["y"], m["x"]).alias("lon"), _iterate(F.atan2(m["z"], p * (1 - e2)), step, 5).alias("lat"))
+
+    return _let(metres, back)
 
 
 def _iso(lat: Column, e: float) -> Column:
@@ -150,26 +161,27 @@ def _cone(z: Zone) -> tuple[float, float, float]:
     return n, m / (n * t**n), z.a * m / n * z.k0
 
 
-def project(lon: Column, lat: Column, z: Zone) -> tuple[Column, Column]:
-    """Easting and northing of WGS 84 degrees."""
+def project(lon: Column, lat: Column, z: Zone) -> Column:
+    """struct<x, y>, easting and northing, of WGS 84 degrees."""
     e = math.sqrt(_e2(z.rf))
     n, f, r0 = _cone(z)
-    back = tuple(-s for s in z.shift)
-    x, y = _shifted(F.radians(lon), F.radians(lat), WGS_A, WGS_RF, z.a, z.rf, back)
-    r = z.a * f * z.k0 * F.pow(_iso(y, e), n)
-    g = n * (x - math.radians(z.lon0))
-    return z.east0 + r * F.sin(g), z.north0 + r0 - r * F.cos(g)
+
+    def conic(q: Column) -> Column:
+        r, g = z.a * f * z.k0 * F.pow(_iso(q["lat"], e), n), n * (q["lon"] - math.radians(z.lon0))
+        return point(z.east0 + r * F.sin(g), z.north0 + r0 - r * F.cos(g))
+
+    return _let(_shifted(F.radians(lon), F.radians(lat), WGS_A, WGS_RF, z.a, z.rf, tuple(-s for s in z.shift)), conic)
 
 
-def unproject(east: Column, north: Column, z: Zone) -> tuple[Column, Column]:
-    """WGS 84 degrees of easting and northing."""
+def unproject(east: Column, north: Column, z: Zone) -> Column:
+    """struct<x, y>, WGS 84 degrees, of easting and northing."""
     e = math.sqrt(_e2(z.rf))
     n, f, r0 = _cone(z)
     dx, dy = east - z.east0, z.north0 + r0 - north
     t = F.pow(F.sqrt(dx * dx + dy * dy) / (z.a * f * z.k0), 1 / n)
-    lat = math.pi / 2 - 2 * F.atan(t)
-    for _ in range(6):
-        s = F.sin(lat)
-        lat = math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * s) / (1 + e * s), e / 2))
-    x, y = _shifted(F.atan2(dx, dy) / n + math.radians(z.lon0), lat, z.a, z.rf, WGS_A, WGS_RF, z.shift)
-    return F.degrees(x), F.degrees(y)
+
+    def latitude(t: Column) -> Column:
+        step = lambda s: math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * F.sin(s)) / (1 + e * F.sin(s)), e / 2))
+        return _iterate(math.pi / 2 - 2 * F.atan(t), step, 6)
+
+    return _let(_shifted(F.atan2(dx, dy) / n + math.radians(z.lon0), _let(t, latitude), z.a, z.rf, WGS_A, WGS_RF, z.shift), lambda q: point(F.degrees(q["lon"]), F.degrees(q["lat"])))
