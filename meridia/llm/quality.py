@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LABELLED, DIMENSIONS, SHARPNESS, THRESHOLD, SEED = 3000, 32, 60.0, 0.3, 9
+MAX_LABELLED, DIMENSIONS, SHARPNESS, THRESHOLD, SEED = 2400, 32, 60.0, 0.3, 9
 #: Weight of a shape term, and documents scored at a time.
 SHAPE, BLOCK = 4.0, 256
 
@@ -44,7 +44,7 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-N_PAIRS, N_BYTES, N_SHAPES = 32 * 32, 2048, 24
+N_PAIRS, N_BYTES, N_SHAPES = 32 * 32, 1024, 24
 N_TERMS = N_PAIRS + N_BYTES + N_SHAPES
 
 
@@ -73,6 +73,15 @@ def terms(text: str) -> np.ndarray:
     return out
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Logarithms of the terms' rates a thousand, times their inverse document frequency."""
+    x = counts / np.maximum(1, counts[:, :N_PAIRS].sum(axis=1, keepdims=True))
+    x *= 1000
+    np.log1p(x, out=x)
+    x *= idf
+    return x
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -82,8 +91,7 @@ class Model:
     prior: float
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        rates = counts / np.maximum(1, counts[:, :N_PAIRS].sum(axis=1, keepdims=True))
-        x = (np.log1p(rates * 1000) * self.idf) @ self.projection
+        x = weighted(counts, self.idf) @ self.projection
         return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
@@ -101,11 +109,11 @@ def fit(counts: np.ndarray, labels: np.ndarray, prior: float, dimensions: int =
     """From the sample's term counts; prior is the share of label 1 in all training rows."""
     if not len(counts):
         return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2), np.float32), prior)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    model = Model(idf, np.eye(N_TERMS, dtype=np.float32), np.zeros((0, 1)), np.zeros((0, 2)), prior)
-    rates = counts / np.maximum(1, counts[:, :N_PAIRS].sum(axis=1, keepdims=True))
-    x = (np.log1p(rates * 1000) * idf).astype(np.float32)
-    values, vectors = np.linalg.eigh(x.T @ x)
+    idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    x = weighted(counts, idf)
+    _, vectors = np.linalg.eigh(x.T @ x)
+    del x
+    model = Model(idf, None, np.zeros((0, 1)), np.zeros((0, 2)), prior)
     # the first direction is what all texts share
     model.projection = np.ascontiguousarray(vectors[:, ::-1][:, 1 : dimensions + 1].astype(np.float32))
     model.vectors = model.embed(counts)
@@ -138,7 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     # a doc_id that many rows share adds one row to the sample
     got = sample.mapInArrow(run, "doc_id long, quality int, terms binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("terms").alias("terms")).toPandas().sort_values("doc_id")
-    counts = np.stack([np.frombuffer(x, np.float32) for x in got["terms"]]) if len(got) else np.zeros((0, N_TERMS), np.float32)
+    counts = np.zeros((len(got), N_TERMS), np.float32)
+    for k, x in enumerate(got.pop("terms")):
+        counts[k] = np.frombuffer(x, np.float32)
     return fit(counts, got["quality"].to_numpy(), prior)
 
 
