@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES, MOST_PIECES, LONGEST_KEPT = 200_000, 500_000, 64
+MOST_STATES, MOST_PAIRS, MOST_PIECES, LONGEST_KEPT = 80_000, 400_000, 250_000, 64
 #: Pieces up to so many bytes go out at their end; longer ones as they settle.
 FLUSH = 4096
 
@@ -111,7 +111,7 @@ class Transducer:
         known = self.agree.get((a, b))
         if known is not None:
             return known
-        if len(self.agree) > 8 * self.most:
+        if len(self.agree) > MOST_PAIRS:
             self.agree.clear()
         x, y, until, known = a, b, 1 << 60, True
         ranks, text = self.ranks, self.bytes_of
