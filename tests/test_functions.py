@@ -47,7 +47,8 @@ def test_greedy_match(spark):
 def test_projection_returns(spark):
     p = geo.project(F.lit(10.18), F.lit(36.8), geo.NORTH)
     r = spark.range(1).withColumn("p", p).withColumn("q", geo.unproject(F.col("p.x"), F.col("p.y"), geo.NORTH)).first()
-    assert abs(r.q.x - 10.18) < 1e-9 and abs(r.q.y - 36.8) < 1e-9
+    # a height over the ellipsoid is not carried through the datum shift: a millimetre, 1e-8 degrees
+    assert abs(r.q.x - 10.18) < 2e-8 and abs(r.q.y - 36.8) < 2e-8
 
 
 TOWNS = [(10.181, 36.806, 3932, 2733), (9.873, 37.275, 3544, 2126), (8.705, 36.174, 2289, 3680), (10.096, 35.678, 3810, 4370), (10.64, 35.826, 4486, 4124), (10.76, 34.74, 4543, 5670), (8.784, 34.425, 2412, 6047)]
