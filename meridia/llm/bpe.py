@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -63,7 +64,7 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
         self.longest = max(self.length.values(), default=1)
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}  # by a << 32 | b
         self.made: dict[int, tuple[int, int]] = {}
         self.whole: dict[int, bool] = {}
         self._clear()
@@ -108,7 +109,7 @@ class Transducer:
             if known is None:
                 known = self.whole[b] = self.merged(self.bytes_of[b]) == [b]
             return known
-        known = self.agree.get((a, b))
+        known = self.agree.get(a << 32 | b)
         if known is not None:
             return known
         if len(self.agree) > MOST_PAIRS:
@@ -128,7 +129,7 @@ class Transducer:
                 until, y = y + 1, right
             else:
                 break
-        self.agree[a, b] = known
+        self.agree[a << 32 | b] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, int]:
@@ -144,7 +145,7 @@ class Transducer:
             token = tokens[nxt]
             if token >= 0 and ended < 0:
                 last = (h & 0xFFFFFFFF) - 1
-                fits = agree.get((last, token))
+                fits = agree.get(last << 32 | token) if last >= 0 else None
                 if fits or fits is None and self.follows(last, token):
                     ended = token
         if ended >= 0:
@@ -299,7 +300,20 @@ def ship(spark, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-CHUNK = 1 << 15
+#: Ids that are decoded at a time, and bytes of text whose results are handed on together.
+CHUNK, PART = 1 << 15, 1 << 22
+
+
+def parts(batches) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in runs of about PART bytes of text, one row at least."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < b.num_rows:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + PART, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -309,7 +323,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     def run(batches):
         c = codec(name, pattern)
-        for b in batches:
+        for b in parts(batches):
             n, packed, sha, back = [], [], [], []
             for x in b.column("text"):
                 ids = c.encode_packed(x.as_py() or "")
