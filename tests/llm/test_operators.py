@@ -6,6 +6,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -224,6 +225,15 @@ def test_bpe_query(spark):
     assert sorted(out)[2].decoded_sha256 == hashlib.sha256(("中" * 3000).encode()).hexdigest()
 
 
+def test_bpe_parts():
+    texts = ["a" * 10, None, "b" * (bpe.PART + 1), "", "c", "é" * bpe.PART, "d"]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    for b in (batch, batch.slice(1), batch.slice(2, 3)):
+        got = list(bpe.parts([b, b.slice(0, 0)]))
+        assert [i for x in got for i in x.column("doc_id").to_pylist()] == b.column("doc_id").to_pylist()
+        assert all(x.num_rows == 1 or sum(len((t or "").encode()) for t in x.column("text").to_pylist()) <= bpe.PART for x in got)
+
+
 def test_language(spark):
     en, fr = "the house and the garden of the king " * 20, "la maison et le jardin du roi avec une " * 20
     train = spark.createDataFrame([(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(20)], "doc_id long, text string, lang string")
