@@ -244,3 +244,97 @@ def window_above(frame: Column, width: Column, height: Column, above: tuple[floa
     y0, y1 = (F.greatest(frame["top"] - a * height, zero) / height for a in above)
     room = ((x1 - x0) * width >= least) & ((y1 - y0) * height >= least)
     return F.when(room, F.struct(x0.alias("left"), y0.alias("top"), x1.alias("right"), y1.alias("bottom")))
+
+
+def darker(image: np.ndarray, spread: float) -> np.ndarray:
+    """Ink on any paper: darker than the mean by so many standard deviations."""
+    return image < image.mean() - image.std() * spread
+
+
+def _windows(a: np.ndarray, size: int) -> np.ndarray:
+    half = (size // 2, size - 1 - size // 2)
+    return np.lib.stride_tricks.sliding_window_view(np.pad(a, (half, half), "edge"), (size, size))
+
+
+def paper_field(rgb: np.ndarray, shrunk: int = 16, percentile: float = 95, window: int = 41, smooth: int = 15) -> np.ndarray:
+    """The paper's white at every pixel: a high percentile of its surroundings, smoothed, on a
+    shrunken copy and then interpolated. Sheets under one block have their maximum."""
+    h, w = rgb.shape[:2]
+    small = shrink(rgb, shrunk) if min(h, w) >= shrunk else rgb.max(axis=(0, 1), keepdims=True).astype(float)
+    rank = min(int(window * window * percentile / 100), window * window - 1)
+    field = np.empty(small.shape, np.float32)
+    for c in range(small.shape[2]):
+        around = _windows(small[..., c].astype(np.float32), window)
+        lit = np.empty(small.shape[:2], np.float32)
+        for y in range(0, lit.shape[0], 4):  # a window holds many pixels: few rows at a time
+            part = around[y : y + 4].reshape(-1, window * window)
+            lit[y : y + 4] = np.partition(part, rank, axis=1)[:, rank].reshape(-1, lit.shape[1])
+        for y in range(0, lit.shape[0], 64):
+            field[y : y + 64, :, c] = _windows(lit, smooth)[y : y + 64].mean(axis=(2, 3))
+
+    def between(n: int, blocks: int):
+        at = np.clip((np.arange(n) + 0.5) / shrunk - 0.5, 0, blocks - 1)
+        lo = np.minimum(at.astype(int), max(blocks - 2, 0))
+        return lo, np.minimum(lo + 1, blocks - 1), (at - lo).astype(np.float32)
+
+    (y0, y1, fy), (x0, x1, fx) = between(h, field.shape[0]), between(w, field.shape[1])
+    rows = field[y0] * (1 - fy)[:, None, None] + field[y1] * fy[:, None, None]
+    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+
+
+def distance(mask: np.ndarray) -> np.ndarray:
+    """How far a marked pixel is from the nearest unmarked one, exactly; infinite if there is
+    none. Beyond the image nothing is unmarked. The work grows with the widest mark."""
+    up = np.where(mask, np.inf, 0.0)
+    for y in range(1, mask.shape[0]):
+        up[y] = np.minimum(up[y], up[y - 1] + 1)
+    for y in range(mask.shape[0] - 2, -1, -1):
+        up[y] = np.minimum(up[y], up[y + 1] + 1)
+    column = up * up
+    out = column.copy()
+    for k in range(1, mask.shape[1]):
+        if k * k >= out.max(initial=0):
+            break
+        out[:, k:] = np.minimum(out[:, k:], column[:, :-k] + k * k)
+        out[:, :-k] = np.minimum(out[:, :-k], column[:, k:] + k * k)
+    return np.sqrt(out)
+
+
+def thin(mask: np.ndarray) -> np.ndarray:
+    """Marks thinned to lines of one pixel by the two alternating passes of Zhang and Suen."""
+    a = np.pad(mask.astype(np.int8), 1)
+    while True:
+        before = a.copy()
+        for first in (True, False):
+            # neighbours clockwise from above
+            n, ne, e, se, s, sw, w, nw = (np.roll(a, d, (0, 1)) for d in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1)))
+            ring = [n, ne, e, se, s, sw, w, nw]
+            count = sum(ring)
+            turns = sum((p == 0) & (q == 1) for p, q in zip(ring, ring[1:] + ring[:1], strict=True))
+            open_sides = (n * e * s == 0) & (e * s * w == 0) if first else (n * e * w == 0) & (n * s * w == 0)
+            a = np.where((a == 1) & (count >= 2) & (count <= 6) & (turns == 1) & open_sides, np.int8(0), a)
+        if (a == before).all():
+            return a[1:-1, 1:-1].astype(bool)
+
+
+def stroke_widths(mask: np.ndarray) -> np.ndarray:
+    """Twice the distance to the edge at every pixel of the thinned marks."""
+    return 2 * distance(mask)[thin(mask)] if mask.any() else np.zeros(0)
+
+
+def large_marks(mask: np.ndarray, least: int) -> np.ndarray:
+    """The marks of so many pixels or more."""
+    labels, n = label(mask)
+    return np.isin(labels, 1 + np.flatnonzero(np.bincount(labels.ravel(), minlength=n + 1)[1:] >= least))
+
+
+def survey(masks: Mapping[str, np.ndarray], groups: Mapping[str, Sequence[str]] | None = None, large: int = 200) -> list[dict]:
+    """A row for every plate, and for every group of plates taken as one: share of ink, widths
+    of strokes (null without ink), marks, marks over ``large`` pixels."""
+    rows = []
+    for name, mask in {**masks, **{g: np.logical_or.reduce([masks[p] for p in ps]) for g, ps in (groups or {}).items()}}.items():
+        widths, (labels, n) = stroke_widths(mask), label(mask)
+        sizes = np.bincount(labels.ravel(), minlength=n + 1)[1:]
+        at = {f"width_{k}": round(float(np.percentile(widths, p)), 1) if widths.size else None for k, p in (("p10", 10), ("median", 50), ("p90", 90))}
+        rows.append({"plate": name, "ink_share": round(float(mask.mean()), 5), **at, "marks": n, "large_marks": int((sizes > large).sum())})
+    return rows

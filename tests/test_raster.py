@@ -115,3 +115,36 @@ def test_neatline_and_windows(spark):
     masks, amount = ra.inks(rgb, np.array([250.0, 250.0, 250.0]), {"dark": (0.55, 0.58, 0.6), "red": (0.09, 0.66, 0.74)}, 0.1)
     assert masks["red"].tolist() == [[False, True]] and not masks["dark"].any() and amount[0, 0] == 0
     assert (ra.shrink(np.arange(35.0).reshape(5, 7), 2) == [[4, 6, 8], [18, 20, 22]]).all() and ra.crop(page, 0.5, 0, 1, 0.5).shape == (200, 300)
+
+
+def test_widths_and_survey():
+    for _ in range(5):
+        mask = RNG.random((13, 16)) < 0.8
+        free = np.argwhere(~mask)
+        want = [min(math.hypot(y - a, x - b) for a, b in free) for y in range(13) for x in range(16)]
+        assert np.allclose(ra.distance(mask).ravel(), want)
+    assert np.isinf(ra.distance(np.ones((3, 4), bool))).all() and ra.stroke_widths(np.zeros((3, 4), bool)).size == 0
+    mask = np.zeros((40, 60), bool)
+    mask[10:15, 5:55] = mask[20:39, 30] = True
+    lines = ra.thin(mask)
+    assert (lines <= mask).all() and ra.label(lines | np.roll(lines, 1, 0) | np.roll(lines, 1, 1))[1] == 2
+    assert lines[:, 20:40][8:17].sum(axis=0).max() == 1 and np.flatnonzero(lines[8:17, 25])[0] == 4
+    assert float(np.median(ra.stroke_widths(mask)[:40])) == 6.0
+    assert (ra.large_marks(mask, 100) == (mask & (np.arange(40)[:, None] < 15))).all()
+    dark, thin_line = ra.survey({"red": mask, "blue": np.zeros_like(mask)}, {"all": ["red", "blue"]})[0::2]
+    assert (dark["marks"], dark["large_marks"], dark["ink_share"]) == (2, 1, round(269 / 2400, 5)) and thin_line == dark | {"plate": "all"}
+    assert ra.survey({"none": np.zeros((4, 4), bool)})[0]["width_median"] is None
+
+
+def test_paper_and_ink():
+    page = np.full((160, 240, 3), 200, np.uint8)
+    page[::7] = 30
+    field = ra.paper_field(page, 4, 95, 9, 3)
+    assert field.shape == page.shape and (field[:140] > 150).all()
+    assert np.allclose(ra.paper_field(np.full((64, 64, 3), 180, np.uint8)), 180) and np.allclose(ra.paper_field(np.full((5, 9, 3), 7, np.uint8)), 7)
+    small = RNG.integers(0, 256, (12, 14)).astype(np.float32)
+    got = ra.paper_field(np.repeat(small[..., None], 3, axis=2), 1, 95, 5, 1)[..., 0]
+    for y, x in np.ndindex(small.shape):
+        near = sorted(small[min(max(y + d, 0), 11), min(max(x + c, 0), 13)] for d in range(-2, 3) for c in range(-2, 3))
+        assert got[y, x] == near[int(25 * 0.95)]
+    assert (ra.darker(page[..., 0], 0.9) == (page[..., 0] == 30)).all()
