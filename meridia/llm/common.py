@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The column of with_row_key.
+ROW = "_row"
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +52,11 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return a.join(b, on, how).drop("_jk", "_rk", *[f"_r_{k}" for k in keys])
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with a column _row, another number for every row, that stays as it is written."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def semi_join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left rows whose key, null included, is among right's."""
     b = right.select(F.col(key).alias("_rk"))

@@ -8,7 +8,8 @@ each distinct chunk once a map task, and never again.
 
 Defined cases: a null text is empty; an empty text has the empty recipe, so all empty
 texts are equal; a null doc_id loses against any other; rows that repeat both doc_id and
-text count in group_size and all carry the same decision; other columns are left alone.
+text count in group_size and all carry the same decision, but drop_exact_copies leaves
+one row of a group, whatever the ids; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import materialise, semi_join_null_safe, skew_join
+from meridia.llm.common import ROW, materialise, semi_join_null_safe, skew_join, with_row_key
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 16384, 11
 DIGEST = 16
@@ -68,8 +69,10 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield (x.as_py() or b"").lower()  # bytes.lower() changes A-Z only
 
 
-def recipes(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
-    """doc_id, text_sha256 and the digests of the text's chunks, in order, as one binary."""
+def recipes(docs: DataFrame, digest_bytes: int = DIGEST, key: str = "doc_id") -> DataFrame:
+    """doc_id, text_sha256 and the digests of the text's chunks, in order, as one binary;
+    and the column key, if another."""
+    names = list(dict.fromkeys(("doc_id", key)))
 
     def run(batches):
         for b in batches:
@@ -77,9 +80,10 @@ def recipes(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
             for data in _texts(b.column("text")):
                 sha.append(hashlib.sha256(data).hexdigest())
                 lists.append(b"".join(d for d, _ in chunks(data, digest_bytes)))
-            yield pa.record_batch([b.column("doc_id"), pa.array(sha, pa.string()), pa.array(lists, pa.binary())], names=["doc_id", "text_sha256", "recipe"])
+            yield pa.record_batch([*map(b.column, names), pa.array(sha, pa.string()), pa.array(lists, pa.binary())], names=[*names, "text_sha256", "recipe"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_sha256 string, recipe binary")
+    columns = [F.col(c).cast("long").alias(c) for c in names]
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", text_sha256 string, recipe binary")
 
 
 def chunk_contents(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
@@ -111,38 +115,47 @@ def content_numbers(contents: DataFrame, shared: DataFrame) -> DataFrame:
     return contents.join(shared, "digest").withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy("content")))
 
 
-def _patches(docs: DataFrame, numbers: DataFrame, digest_bytes: int) -> DataFrame:
+def _patches(docs: DataFrame, numbers: DataFrame, digest_bytes: int, key: str) -> DataFrame:
     """For documents with such a digest: where it stands and which content it is there."""
 
     def run(batches):
         for b in batches:
-            out = [(i.as_py(), k, d, part) for i, data in zip(b.column("doc_id"), _texts(b.column("text")), strict=True) for k, (d, part) in enumerate(chunks(data, digest_bytes))]
+            out = [(i.as_py(), k, d, part) for i, data in zip(b.column(key), _texts(b.column("text")), strict=True) for k, (d, part) in enumerate(chunks(data, digest_bytes))]
             i, k, d, part = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.record_batch([pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(d, pa.binary()), pa.array(part, pa.binary())], names=["row", "place", "digest", "content"])
 
-    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, place long, digest binary, content binary")
+    spread = docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, place long, digest binary, content binary")
     return spread.join(numbers, ["digest", "content"]).select("row", "place", "number")
 
 
-def exact_dedup(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256.
+def _contents(docs: DataFrame, digest_bytes: int = DIGEST, key: str = "doc_id") -> DataFrame:
+    """The recipes and, as patch, what tells contents of one digest apart: rows of equal
+    text, and no others, agree in both.
 
     With DIGEST bytes (128 bits) no digest is expected to stand for two contents; that
     none does is still checked on all bytes, and those that do are told apart. The
     check is one job over all chunks; only where it finds such digests is text read again."""
-    found = recipes(docs, digest_bytes)
+    found = recipes(docs, digest_bytes, key)
     shared = materialise(shared_digests(chunk_contents(docs, digest_bytes)))
     if shared.limit(1).count():
         numbers = materialise(content_numbers(chunk_contents(docs, digest_bytes), shared))
-        places = _patches(docs, numbers, digest_bytes).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "number"))).alias("patch"))
-        found = found.join(places, found["doc_id"].eqNullSafe(places["row"]), "left").drop("row").withColumn("patch", F.coalesce(F.to_json("patch"), F.lit("")))
+        places = _patches(docs, numbers, digest_bytes, key).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "number"))).alias("patch"))
+        found = found.join(places, found[key].eqNullSafe(places["row"]), "left").drop("row").withColumn("patch", F.coalesce(F.to_json("patch"), F.lit("")))
     else:
         found = found.withColumn("patch", F.lit(""))
-    found = materialise(found)
+    return materialise(found)
+
+
+def exact_dedup(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256."""
+    found = _contents(docs, digest_bytes)
     groups = found.groupBy("recipe", "patch").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return skew_join(found, groups, ["recipe", "patch"], "inner").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the copies; rows and columns otherwise as they are."""
-    return semi_join_null_safe(docs, exact_dedup(docs).where("kept").select("doc_id"), "doc_id")
+def drop_exact_copies(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
+    """docs with one row of each group, one that has the group's greatest doc_id; rows and
+    columns otherwise as they are."""
+    keyed = with_row_key(docs)
+    best = _contents(keyed, digest_bytes, ROW).groupBy("recipe", "patch").agg(F.max(F.struct("doc_id", ROW)).alias("best"))
+    return semi_join_null_safe(keyed, best.select(f"best.{ROW}"), ROW).select(*docs.columns)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import WORD, materialise, skew_join
+from meridia.llm.common import ROW, WORD, materialise, skew_join, with_row_key
 
 WEIGHTS, TOTAL, CAP, SEED = (5, 2, 1), 1.5, 2, 42
 #: Words that are left to the dynamic programme, and rows of a hash bucket.
@@ -75,9 +75,9 @@ def fit_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, exact
     return take
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, *keys: str) -> DataFrame:
     words = F.regexp_count(F.col("text").cast("string"), F.lit(WORD.replace(r"\x20\x09-\x0D", " \t-\r")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), *keys)
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
@@ -108,9 +108,10 @@ def _fit(seed_free: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "size", "n", "extra"]].assign(whole=whole)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and source: one row a document."""
-    sized = materialise(sizes(docs))
+def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP, seed: int = SEED, keys: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, copies, and the columns keys: one
+    row a document."""
+    sized = materialise(sizes(docs, *keys))
     counts = materialise(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     goals = materialise(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, total, cap))
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long")
@@ -132,15 +133,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: int = CAP,
     all_in, none_in = start + room <= F.col("extra"), start >= F.col("extra")
     sure = ended.where(all_in | none_in).withColumn("copies", F.col("whole") + F.when(all_in & (F.col("extra") > 0), 1).otherwise(0))
     # the one bucket of a length where its count ends: BUCKET rows or so, but for repeated ids
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("hash", F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("hash", F.col("doc_id").asc_nulls_last(), *keys))
     last = ended.where(~(all_in | none_in)).withColumn("copies", F.col("whole") + F.when(start + rank <= F.col("extra"), 1).otherwise(0))
     out = sure.unionByName(last)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", *keys)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a document taken twice is there twice, one not taken
-    is not. Columns are docs'."""
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]), "inner")
+    is not. Columns are docs'. Each row is there by its own copies, whatever its doc_id."""
+    keyed = with_row_key(docs)
+    taken = mix(keyed, keys=[ROW]).where("taken > 0").select(ROW, F.col("copies").alias("_copies"))
+    joined = keyed.join(taken, ROW, "inner")
     return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

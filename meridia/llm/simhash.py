@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import connected_components, materialise, semi_join_null_safe, skew_join
+from meridia.llm.common import ROW, connected_components, materialise, semi_join_null_safe, skew_join, with_row_key
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
 #: Bit blocks as (first bit, width); a pair within LIMIT bits agrees on BLOCKS - LIMIT of them.
@@ -55,15 +55,17 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; and the column key, if another."""
+    names = list(dict.fromkeys(("doc_id", key)))
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(x.as_py() or b"", shingle) for x in b.column("text").cast(pa.binary())], np.uint64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([*map(b.column, names), pa.array(fp.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col(c).cast("long").alias(c) for c in names]
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", fp long")
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
@@ -160,6 +162,11 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with the one document of each component whose id is the smallest."""
-    stays = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return semi_join_null_safe(docs, stays, "doc_id")
+    """docs with one row of each component, one that has its smallest doc_id, null last.
+    Rows are linked by a key of their own, so rows without a doc_id are linked as well."""
+    keyed = with_row_key(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)).alias("first")
+    distinct = materialise(fingerprints(keyed, key=ROW).groupBy("fp").agg(first).withColumn("id", F.col(f"first.{ROW}")))
+    parts = connected_components(links(distinct.select("fp", "id")), "a", "b").select(F.col("node").alias("id"), "component")
+    stays = distinct.join(parts, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("first"))
+    return semi_join_null_safe(keyed, stays.select(f"first.{ROW}"), ROW).select(*docs.columns)

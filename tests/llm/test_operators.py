@@ -241,3 +241,30 @@ def test_language(spark):
     got = {r.page_id: r.lang for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), train).collect()}
     assert got[1] == "en" and got[2] == "fr" and got[4] == "fr" and len(got) == 4
     assert language.identify(spark.createDataFrame([], "page_id long, url string, html string"), train.limit(0)).count() == 0
+
+
+def test_stages_with_repeated_ids(spark):
+    # each group once, whatever ids its rows have: repeated, null, or one that another group's kept row has
+    texts = ["A b", "a B", "a b", words(200, 21), words(200, 21), words(200, 22), words(200, 22), words(200, 23), words(200, 23)]
+    ids = [3, 3, 5, 5, 4, None, None, 4, 4]
+    df = spark.createDataFrame([(i, t, "en", "a", k, "clash") for k, (i, t) in enumerate(zip(ids, texts, strict=True))], DOCS)
+    for digest_bytes in (16, 1):
+        out = exact_dedup.drop_exact_copies(df, digest_bytes)
+        assert out.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(5, "a b"), (5, texts[3]), (0, texts[5]), (4, texts[7])])
+    near = simhash.drop_near_copies(df)
+    assert near.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in near.collect()) == sorted([(3, "a b"), (4, texts[3]), (0, texts[5]), (4, texts[7])])
+
+
+def test_mixture_with_repeated_ids(spark):
+    r = random.Random(23)
+    texts = [" ".join(["w"] * r.randint(1, 60)) for _ in range(300)]
+    rows = [(r.choice([None, 1, 2, k]), t, "en", r.choice("abc"), k, "clash") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixture.mixed_documents(df)
+    times = defaultdict(int)
+    for x in out.collect():
+        times[x.n_chars] += 1
+    assert out.columns == df.columns and max(times.values()) <= mixture.CAP
+    assert sum(len(texts[k].split()) * n for k, n in times.items()) == sum(x.taken for x in mixture.mix(df).collect())
