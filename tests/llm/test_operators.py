@@ -268,3 +268,15 @@ def test_mixture_with_repeated_ids(spark):
         times[x.n_chars] += 1
     assert out.columns == df.columns and max(times.values()) <= mixture.CAP
     assert sum(len(texts[k].split()) * n for k, n in times.items()) == sum(x.taken for x in mixture.mix(df).collect())
+
+
+def test_pipeline_keeps_tokens(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.STAGES[-1][1](spark, docs(spark, ["a b", None, "中文 c"]), None)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f), special_tokens={})
+    for r, t in zip(sorted(out.collect()), ["a b", "", "中文 c"], strict=True):
+        ids = [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]
+        assert ids == want.encode_ordinary(t) and len(ids) == r.n_tokens
