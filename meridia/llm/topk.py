@@ -10,7 +10,7 @@ compacted. Bounds are widened by one, so that rounding never drops a tie.
 Queries, every vector whose id is divisible by ``every``, are packed into blocks of at
 most QUERY_BLOCK rows on the executors; the driver passes them round in groups of at most
 PASS_BYTES, one scan of the candidates a group. Each task returns its k best by query and
-group, and these are merged by query.
+group, and these are merged by query and candidate row.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components, or
 that have a null id, take no part; a candidate of another length than the query's is no
@@ -29,17 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import materialise
+from meridia.llm.common import ROW, materialise, with_row_key
 
 K, EVERY, SCALE = 5, 50, 256
 DIMENSIONS, QUERY_BLOCK, CANDIDATE_BLOCK, PASS_BYTES = 16, 1024, 4096, 48 << 20
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, q): integer vectors as arrays of double, which holds them exactly."""
+    """(vec_id, q) and the other columns: integer vectors as arrays of double, which holds them exactly."""
     e = F.col(embedding).cast("array<double>")
     q = F.transform("e", _floor)
-    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("e")).where(F.col("vec_id").isNotNull() & F.coalesce(_sound("e"), F.lit(False))).select("vec_id", q.alias("q"))
+    also = [c for c in vectors.columns if c not in (vec_id, embedding)]
+    return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("e"), *also).where(F.col("vec_id").isNotNull() & F.coalesce(_sound("e"), F.lit(False))).select("vec_id", q.alias("q"), *also)
 
 
 def _sound(c: str):
@@ -79,9 +80,9 @@ class Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.found: list[list[tuple]] = [[] for _ in ids]  # (-score, vec_id), sorted
+        self.found: list[list[tuple]] = [[] for _ in ids]  # (-score, vec_id, row), sorted
 
-    def scan(self, ids: np.ndarray, candidates: np.ndarray) -> None:
+    def scan(self, ids: np.ndarray, rows: np.ndarray, candidates: np.ndarray) -> None:
         q, x = _typed(self.vectors, candidates)
         n = q.shape[1]
         x = np.ascontiguousarray(x.T)
@@ -106,14 +107,14 @@ class Best:
                     break
             if not len(score):
                 continue
-            names = ids if at is None else ids[at]
+            names, numbers = (ids, rows) if at is None else (ids[at], rows[at])
             others = names != own
-            names, score = names[others], score[others]
+            names, numbers, score = names[others], numbers[others], score[others]
             if len(score) > self.k:
                 cut = np.partition(np.asarray(score, np.float64), len(score) - self.k)[len(score) - self.k]
                 near = np.asarray(score, np.float64) >= cut
-                names, score = names[near], score[near]
-            best += [(-int(s), int(i)) for s, i in zip(score, names, strict=True)]
+                names, numbers, score = names[near], numbers[near], score[near]
+            best += [(-int(s), int(i), int(r)) for s, i, r in zip(score, names, numbers, strict=True)]
             best.sort()
             del best[self.k :]
 
@@ -138,8 +139,9 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for each query; see the module's text."""
     spark = vectors.sparkSession
-    all_vectors = usable(vectors)
-    blocks = materialise(all_vectors.where(F.col("vec_id") % every == 0).mapInArrow(_pack, "block binary, bytes long"))
+    # a row keeps its number in every scan
+    all_vectors = usable(with_row_key(vectors.select("vec_id", "embedding")))
+    blocks = materialise(all_vectors.where(F.col("vec_id") % every == 0).select("vec_id", "q").mapInArrow(_pack, "block binary, bytes long"))
     blocks = materialise(blocks.withColumn("number", F.monotonically_increasing_id()))
     groups, room = [], 0
     for row in blocks.select("number", "bytes").orderBy("number").toLocalIterator():
@@ -156,21 +158,24 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         def run(batches, sent=sent):
             best = [Best(*_unpack(x), k) for x in sent.value]
             for b in batches:
-                ids = b.column("vec_id").to_numpy()
+                ids, numbers = b.column("vec_id").to_numpy(), b.column(ROW).to_numpy()
                 for rows, m in _matrix(b.column("q")):
                     for a in range(0, len(rows), CANDIDATE_BLOCK):
+                        part = rows[a : a + CANDIDATE_BLOCK]
                         for block in best:
                             if block.vectors.shape[1] == m.shape[1]:
-                                block.scan(ids[rows[a : a + CANDIDATE_BLOCK]], m[a : a + CANDIDATE_BLOCK])
+                                block.scan(ids[part], numbers[part], m[a : a + CANDIDATE_BLOCK])
             for block in best:
-                rows = [(int(q), i, -s) for q, got in zip(block.ids, block.found, strict=True) for s, i in got]
+                rows = [(int(q), i, r, -s) for q, got in zip(block.ids, block.found, strict=True) for s, i, r in got]
                 if rows:
-                    q, i, s = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                    yield pa.record_batch(columns, names=["query_id", "vec_id", ROW, "score"])
 
-        part = all_vectors.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = all_vectors.mapInArrow(run, f"query_id long, vec_id long, {ROW} long, score long")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = spark.createDataFrame([], f"query_id long, vec_id long, {ROW} long, score long")
+    # a query id on several rows has a candidate row once, at its best score
+    found = found.groupBy("query_id", "vec_id", ROW).agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", ROW)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

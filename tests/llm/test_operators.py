@@ -280,3 +280,17 @@ def test_pipeline_keeps_tokens(spark):
     for r, t in zip(sorted(out.collect()), ["a b", "", "中文 c"], strict=True):
         ids = [int.from_bytes(r.ids[k : k + 4], "little") for k in range(0, len(r.ids), 4)]
         assert ids == want.encode_ordinary(t) and len(ids) == r.n_tokens
+
+
+def test_top_k_repeated_query(spark):
+    import math
+
+    r = random.Random(29)
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(20)]) for i in range(1, 120)]
+    first = [r.uniform(-1, 1) for _ in range(20)]
+    vectors += [(0, first), (0, [x + 0.01 for x in first]), (0, [-x for x in first]), (7, vectors[6][1])]
+    usable = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
+    best = sorted((-max(sum(a * b for a, b in zip(q, v, strict=True)) for k, q in usable if k == 0), i) for i, v in usable if i != 0)[:5]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
