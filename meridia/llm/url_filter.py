@@ -54,11 +54,41 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """path, which starts with a slash, without its . and .. segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, p: F.when(p == ".", done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(p))),
+    )
+    open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(kept, open_end), "/")
+
+
+def resolve(base: Column, to: Column) -> Column:
+    """The URL that to, as it stands on the page base, leads to. Targets of a scheme without
+    :// and relative ones on a base without it are null."""
+    scheme = F.regexp_extract(base, r"^(.*?)://", 1)
+    path, tail = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(base), r"^.*/", 0)
+    full_path = F.when(path.startswith("/"), without_dots(path)).otherwise(without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)))
+    query = F.regexp_extract(rest_of(base), r"^[^?#]*(\?[^#]*)?", 1)
+    own = F.concat(path_of(base), F.when(to.startswith("#"), query).otherwise(F.lit("")))
+    on_host = F.concat(scheme, F.lit("://"), host_of(base), F.when(path == "", own).otherwise(full_path), tail)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), to))
+        .when(scheme == "", F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), F.regexp_extract(to, r"^//[^/?#]*", 0), without_dots(F.regexp_extract(to, r"^//[^/?#]*([^?#]*)", 1)), tail))
+        .otherwise(on_host)
+    )
+
+
 def html_edges(pages: DataFrame) -> DataFrame:
     """(a, b): a page's URL and where its canonical links and refresh redirects lead.
 
     Only pages whose markup holds one of the two words are taken apart. A relative
-    target is taken on the page's scheme and host."""
+    target is resolved on the page's URL."""
     html = F.col("html")
     marked = pages.where(F.col("url").isNotNull() & (F.lower(html).contains("canonical") | F.lower(html).contains("refresh")))
     tags = marked.select("url", F.explode(F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))).alias("tag"))
@@ -66,9 +96,7 @@ def html_edges(pages: DataFrame) -> DataFrame:
     refresh = F.when(F.col("tag").rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.regexp_extract("tag", _REFRESH, 1))
     target = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
     found = tags.select("url", target.alias("to")).where("to <> ''")
-    scheme = F.regexp_extract("url", r"^(.*?)://", 1)
-    full = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("to")))
-    return found.select(F.col("url").alias("a"), full.alias("b")).where("b is not null and a <> b")
+    return found.select(F.col("url").alias("a"), resolve(F.col("url"), F.col("to")).alias("b")).where("b is not null and a <> b")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:

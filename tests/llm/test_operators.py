@@ -294,3 +294,28 @@ def test_top_k_repeated_query(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df).where("query_id = 0").orderBy("rank").collect()]
     assert got == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+
+
+def test_url_resolve(spark):
+    base = "http://h.net/a/b/c.html?x=1#top"
+    want = [
+        (base, "page.html", "http://h.net/a/b/page.html"), (base, "./x", "http://h.net/a/b/x"), (base, "../x?y=2", "http://h.net/a/x?y=2"), (base, "../../../x", "http://h.net/x"),
+        (base, "?id=2", "http://h.net/a/b/c.html?id=2"), (base, "#end", "http://h.net/a/b/c.html?x=1#end"), (base, "..", "http://h.net/a/"), (base, ".", "http://h.net/a/b/"),
+        (base, "/go?u=http://x/", "http://h.net/go?u=http://x/"), (base, "/p/./q/../r/", "http://h.net/p/r/"), (base, "go?u=http://x/", "http://h.net/a/b/go?u=http://x/"),
+        (base, "//o.org/x/../y", "http://o.org/y"), (base, "//o.org", "http://o.org"), (base, "https://o.org/a/../b", "https://o.org/a/../b"), (base, "mailto:a@b", None),
+        ("http://h.net", "x", "http://h.net/x"), ("http://h.net?q=/z/", "x", "http://h.net/x"), ("http://h.net/a/", "x/y", "http://h.net/a/x/y"), ("nothing", "x", None),
+    ]
+    df = spark.createDataFrame([(k, a, to) for k, (a, to, _) in enumerate(want)], "k int, base string, target string")
+    got = df.select("k", url_filter.resolve(F.col("base"), F.col("target")).alias("url")).orderBy("k").collect()
+    assert [r.url for r in got] == [b for _, _, b in want]
+
+
+def test_url_filter_relative(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    pages = [
+        (1, "http://e.org/es/a/one", ""), (2, "http://e.org/en/b", link.format("../es/a/one")), (3, "http://e.org/es2/x/p", refresh.format("two")),
+        (4, "http://e.org/es2/x/two", link.format("?id=2")), (5, "http://e.org/es2/x/two?id=2", link.format("http://e.org/es/a/one")), (6, "http://n.net/", link.format("/go?u=http://e.org/es/a/one")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_pages(df, (("block", "e.org/es/"),)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
