@@ -192,6 +192,51 @@ def test_pii_query(spark):
     assert pii.span_digests(docs(spark, [])).count() == 0
 
 
+def test_pii_method(spark):
+    """Planted spans of every kind are added, stand-ins and look-alikes are not; other columns may clash."""
+    r = random.Random(31)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    value = lambda n: "".join(r.choice("abcdef0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + number(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    made = {
+        "card": card, "secret": lambda: f'token = "{value(40)}"', "hidden": lambda: f"api_key: {value(24)}", "spelt": lambda: f"mail joe.{value(4)} [at] example [dot] com", "long": lambda: f"+1 (2{number(2)}) 555-{number(4)} {number(16)}",
+        "decoy": lambda: next(x for _ in range(99) if not pii.luhn(x := "7" + number(15))), "stand": lambda: "password=your_password_here", "mail": lambda: f"{value(5)}@mail.example.com", "prose": lambda: "meet bob at home. then go on: dot by dot at last",
+    }
+    texts, kinds = [], []
+    for k in range(270):
+        kind = list(made)[k % 9]
+        texts.append(f"{words(6, k)} {made[kind]()} {words(5, k + 1)}")
+        kinds.append(kind)
+    df = docs(spark, texts).withColumn("spans", F.lit(1)).withColumn("votes", F.lit("x")).withColumn("base", F.lit(2))
+    hit, total = defaultdict(int), defaultdict(int)
+    for x in pii.span_digests(df).collect():
+        found = {"secret": x.n_secret, "hidden": x.n_secret, "spelt": x.n_other, "long": x.n_other, "card": x.n_card, "mail": x.n_email}.get(kinds[x.doc_id], int(x.personal) or x.n_secret + x.n_other)
+        total[kinds[x.doc_id]] += 1
+        hit[kinds[x.doc_id]] += found > 0
+        assert kinds[x.doc_id] in ("decoy", "stand", "prose") or x.personal
+    assert all(hit[k] == total[k] for k in ("card", "secret", "hidden", "spelt", "long", "mail")), hit
+    assert not any(hit[k] for k in ("decoy", "stand", "prose")), hit
+
+
+def test_pii_reliability():
+    # of three labelers on hidden truths, the one that is wrong half the time comes out as least reliable
+    r = random.Random(37)
+    counts = defaultdict(float)
+    for _ in range(2000):
+        truth = r.random() < 0.5
+        counts[tuple(int(truth if r.random() < right else not truth) for right in (0.95, 0.9, 0.55, 0.92))] += 1
+    import numpy as np
+
+    votes = np.array(list(counts))
+    p, right = pii.estimate(votes, np.array(list(counts.values())))
+    assert [round(float(x), 1) for x in right] == [0.9, 0.9, 0.6, 0.9] or right.argmin() == 2
+    assert p[[tuple(v) == (1, 1, 1, 1) for v in votes]].min() > 0.95 and p[[tuple(v) == (0, 0, 0, 0) for v in votes]].max() < 0.05
+
+
 def test_quality(spark):
     good, bad = [words(80, i) for i in range(60)], ["%%% ".join(words(80, i).upper().split()) for i in range(60)]
     texts = [x for pair in zip(good, bad, strict=True) for x in pair] + [None, ""]
