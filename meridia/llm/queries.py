@@ -104,6 +104,57 @@ FROM sized GROUP BY conv_id
 """
 
 
+# The parts of a URL, of an attribute and of a path without dots, as SQL; from the contract
+# and the standards of HTML and URLs, not from the operator's expressions.
+def _after(u: str) -> str:
+    return f"substr({u}, nullif(strpos({u}, '://'), 0) + 3)"
+
+
+def _host(u: str) -> str:
+    return f"coalesce(translate(regexp_extract({_after(u)}, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '')"
+
+
+def _path(u: str) -> str:
+    return f"coalesce(regexp_extract({_after(u)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _scheme(u: str) -> str:
+    return f"substr({u}, 1, strpos({u}, '://') - 1)"
+
+
+def _alias(u: str) -> str:
+    whole = f"split_part({u}, '#', 1)"
+    return f"CASE WHEN strpos({u}, '://') > 0 THEN translate({_scheme(u)}, '{_UPPER}', '{_LOWER}') || '://' || {_host(u)} || regexp_replace({_after(whole)}, '^[^/?]*', '') END"
+
+
+_QUOTES = "'\"''" + "'"
+
+
+def _attribute(name: str) -> str:
+    found = rf"""regexp_extract(tag, '(?is)[\s"''/]{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
+    return f"trim(trim({found}, {_QUOTES}))"
+
+
+def _no_dots(path: str) -> str:
+    step = "CASE p WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || p END"
+    return rf"(list_reduce(list_concat([''], string_split({path}, '/')[2:]), lambda done, p: {step}) || CASE WHEN regexp_matches({path}, '/\.\.?$') THEN '/' ELSE '' END)"
+
+
+def _resolved(base: str, to: str) -> str:
+    only = f"regexp_extract({to}, '^[^?#]*')"
+    tail = f"substr({to}, length({only}) + 1)"
+    folder = f"CASE WHEN strpos({_path(base)}, '/') > 0 THEN regexp_replace({_path(base)}, '[^/]*$', '') ELSE '/' END"
+    site = f"{_scheme(base)} || '://' || {_host(base)}"
+    return f"""CASE
+      WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {to}
+      WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR strpos({base}, '://') = 0 THEN NULL
+      WHEN starts_with({to}, '//') THEN {_scheme(base)} || ':' || {to}
+      WHEN starts_with({to}, '#') THEN split_part({base}, '#', 1)
+      WHEN {only} = '' THEN {site} || {_path(base)} || {tail}
+      WHEN starts_with({only}, '/') THEN {site} || {_no_dots(only)} || {tail}
+      ELSE {site} || {_no_dots(f"(({folder}) || {only})")} || {tail} END"""
+
+
 def _op6() -> str:
     # written out from the rules, longest last, so that a later CASE stands before it
     order = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[0] != "allow", r[1]))
@@ -112,35 +163,32 @@ def _op6() -> str:
         at, start = rule.split("/", 1)
         fits.append((f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{start}')", rule, verdict))
     pick = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
-    parts = lambda c: (
-        f"coalesce(translate(regexp_extract(substr({c}, nullif(strpos({c}, '://'), 0) + 3), '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '') AS host, "
-        f"coalesce(regexp_extract(substr({c}, nullif(strpos({c}, '://'), 0) + 3), '^[^/?#]*([^?#]*)', 1), '') AS path"
-    )
+    parts = lambda c: f"{_host(c)} AS host, {_path(c)} AS path"
     return rf"""
-WITH RECURSIVE tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
+WITH RECURSIVE marked AS (
+  SELECT url, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS html FROM pages
   WHERE url IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+based AS (SELECT url, html, {_attribute("href").replace("(tag,", "(regexp_extract(html, '(?is)<base" + chr(92) + "b[^>]*>'),")} AS told FROM marked),
+tags AS (
+  SELECT url, CASE WHEN told = '' THEN url ELSE coalesce({_resolved("url", "told")}, url) END AS base,
+         unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM based),
 targets AS (
-  SELECT url, replace(CASE
-    WHEN regexp_matches(tag, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]+\s*;\s*url\s*=\s*["'']?([^"''\s>]+)', 1)
+  SELECT url, base, replace(CASE
+    WHEN list_contains(string_split_regex(lower({_attribute("rel")}), '\s+'), 'canonical') THEN {_attribute("href")}
+    WHEN lower({_attribute("http-equiv")}) = 'refresh' THEN regexp_extract({_attribute("content")}, '(?is)^\s*[0-9.]+\s*[;,]\s*url\s*=\s*["'']?([^"''\s]+)', 1)
     END, '&amp;', '&') AS t FROM tags),
-edges AS (
-  SELECT DISTINCT a, b FROM (SELECT url AS a, CASE
-    WHEN contains(t, '://') THEN t
-    WHEN starts_with(t, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '^(.*?)://', 1) || '://' || lower(regexp_extract(substr(url, nullif(strpos(url, '://'), 0) + 3), '^[^/?#]*')) || t
-    END AS b FROM targets WHERE t <> '') WHERE b IS NOT NULL AND a <> b),
+links AS (SELECT url AS a, {_resolved("base", "t")} AS b FROM targets WHERE t <> ''),
+edges AS (SELECT DISTINCT a, b FROM (SELECT {_alias("a")} AS a, {_alias("b")} AS b FROM links) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (
-  SELECT DISTINCT a AS url, a AS other FROM both_ways
-  UNION SELECT r.url, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
-others AS (SELECT r.url, {parts('r.other')} FROM reach r),
-reached AS (SELECT url, max(({pick(2)}) = 'allow') AS allows, max(({pick(2)}) = 'block') AS blocks FROM others GROUP BY url),
-own AS (SELECT page_id, url, {parts('url')} FROM pages)
+  SELECT DISTINCT a AS alias, a AS other FROM both_ways
+  UNION SELECT r.alias, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+others AS (SELECT r.alias, {parts('r.other')} FROM reach r),
+reached AS (SELECT alias, max(({pick(2)}) = 'allow') AS allows, max(({pick(2)}) = 'block') AS blocks FROM others GROUP BY alias),
+own AS (SELECT page_id, {_alias('url')} AS alias, {parts('url')} FROM pages)
 SELECT o.page_id, host, path, {pick(1)} AS rule,
        coalesce({pick(2)}, CASE WHEN r.allows THEN 'allow' WHEN r.blocks THEN 'block' END, 'allow') AS verdict
-FROM own o LEFT JOIN reached r ON o.url = r.url
+FROM own o LEFT JOIN reached r ON o.alias = r.alias
 """
 
 

@@ -364,3 +364,58 @@ def test_url_filter_relative(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in url_filter.judge_pages(df, (("block", "e.org/es/"),)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
+def test_url_filter_aliases(spark):
+    """Chains over mixed case, fragments, relative forms and a base element, by brute force and by the SQL."""
+    import duckdb
+
+    from meridia.llm import queries
+
+    link, refresh = '<link rel="canonical" href="{}">', '<meta content="0; URL={}" http-equiv="Refresh">'
+    pages = [
+        (1, "HTTP://A.example.ORG/es/x", ""), (2, "http://b.net/1", link.format("http://a.EXAMPLE.org/es/x#top")), (3, "http://B.net/1#part", ""), (4, "http://c.net/", refresh.format("HTTP://b.NET/1#z")),
+        (5, "http://d.net/q/r", "<link rel='alternate canonical' href='../s?id=1'>"), (6, "http://D.net/s?id=1#u", link.format("http://c.net/#")), (7, "http://e.net/", '<link rel="canonical" data-href="http://c.net/" >'),
+        (8, "http://f.net/", "<!-- " + link.format("http://c.net/") + " -->"), (9, "http://g.net/", '<base href="http://x.com/fr/"><link href=one rel=canonical>'), (10, "http://x.com/fr/one", ""),
+        (11, "http://h.net/", link.format("http://g.net/") + link.format("http://x.com/de/1")), (12, None, link.format("http://c.net/")), (13, "none", link.format("/a")), (14, "http://i.net/", None), (3, "http://B.net/1#part", ""),
+    ]
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, rule string, node int")
+    got = sorted(map(tuple, url_filter.judge_pages(df).collect()), key=str)
+    want = {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "allow", 10: "allow", 11: "allow", 12: "allow", 13: "allow", 14: "allow"}
+    assert {r[0]: r[4] for r in got} == want and len(got) == len(pages)
+    db = duckdb.connect()
+    db.register("pages", df.select("page_id", "url", "html").toPandas())
+    assert got == sorted(db.sql(queries.oracle_sql()["op6_url_filter"]).fetchall(), key=str)
+    assert url_filter.judge_pages(df.limit(0)).count() == 0
+
+
+def test_url_filter_random(spark):
+    # random graphs of links against a plain search
+    r = random.Random(41)
+    hosts = ["a.example.org", "b.net", "c.com", "d.com", "e.io"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['es', 'en', 'de', 'fr', 'x'])}/{k}" for k in range(120)]
+    links = [(r.choice(urls), r.choice(urls)) for _ in range(70)]
+    html = defaultdict(str)
+    for a, b in links:
+        html[a] += f'<link rel="canonical" href="{b if r.random() < 0.5 else b.upper().replace("/ES/", "/es/").replace("/EN/", "/en/").replace("/DE/", "/de/").replace("/FR/", "/fr/").replace("/X/", "/x/")}">'
+
+    def rule(u):
+        host, path = u[7:].split("/", 1)
+        fit = [(len(x), v) for v, x in url_filter.RULES if (host == x.split("/", 1)[0] or host.endswith("." + x.split("/", 1)[0])) and path.startswith(x.split("/", 1)[1])]
+        return max(fit)[1] if fit else None
+
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for k, u in enumerate(urls):
+        seen, todo = {u}, [u]
+        while todo:
+            for v in near[todo.pop()] - seen:
+                seen.add(v)
+                todo.append(v)
+        found = {rule(v) for v in seen}
+        want[k] = rule(u) or ("allow" if "allow" in found else "block" if "block" in found else "allow")
+    df = spark.createDataFrame([(k, u, html[u]) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {x.page_id: x.verdict for x in url_filter.judge_pages(df).collect()} == want
