@@ -39,19 +39,22 @@ def read_ranks(lines) -> dict[bytes, int]:
 
 
 class Trie:
-    """Children of a node by byte, and the node's token if it ends one."""
+    """Children by node << 8 | byte, and of each node the token that it ends, if any, and
+    whether it has children."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}
         self.token: list[int] = [-1]
+        self.inner: list[bool] = [False]
         for token, rank in ranks.items():
             at = 0
             for byte in token:
-                nxt = self.children[at].get(byte)
+                nxt = self.child.get(at << 8 | byte)
                 if nxt is None:
-                    nxt = self.children[at][byte] = len(self.children)
-                    self.children.append({})
+                    nxt = self.child[at << 8 | byte] = len(self.token)
+                    self.inner[at] = True
                     self.token.append(-1)
+                    self.inner.append(False)
                 at = nxt
             self.token[at] = rank
 
@@ -70,10 +73,11 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        # a hypothesis is node << 32 | token + 1; a state is a tuple of them
+        # a hypothesis is node << 32 | token + 1; a state is a tuple of them; a move, by
+        # state << 8 | byte, is the next state << 32 | token + 1
         self.states: dict[tuple, int] = {(0,): 0}
         self.sets: list[tuple] = [(0,)]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        self.moves: dict[int, int] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Encoding by merging the pair of lowest rank, leftmost first: for short strings."""
@@ -132,31 +136,33 @@ class Transducer:
         self.agree[a << 32 | b] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the token that ends the encoding there (-1: none does)."""
+    def _number(self, hypotheses: tuple) -> int:
+        number = self.states.get(hypotheses)
+        if number is None:
+            number = self.states[hypotheses] = len(self.sets)
+            self.sets.append(hypotheses)
+        return number
+
+    def _move(self, state: int, byte: int) -> int:
+        """The next state << 32 | the token that ends the encoding there + 1 (0: none does)."""
         live, ended = [], -1
-        children, tokens, agree = self.trie.children, self.trie.token, self.agree
+        child, tokens, inner, agree = self.trie.child, self.trie.token, self.trie.inner, self.agree
         for h in self.sets[state]:
-            nxt = children[h >> 32].get(byte)
+            nxt = child.get(h >> 32 << 8 | byte)
             if nxt is None:
                 continue
-            if children[nxt]:
+            if inner[nxt]:
                 live.append(nxt << 32 | h & 0xFFFFFFFF)
-            token = tokens[nxt]
-            if token >= 0 and ended < 0:
-                last = (h & 0xFFFFFFFF) - 1
-                fits = agree.get(last << 32 | token) if last >= 0 else None
-                if fits or fits is None and self.follows(last, token):
-                    ended = token
+            if ended < 0:
+                token = tokens[nxt]
+                if token >= 0:
+                    last = (h & 0xFFFFFFFF) - 1
+                    fits = agree.get(last << 32 | token) if last >= 0 else None
+                    if fits or fits is None and self.follows(last, token):
+                        ended = token
         if ended >= 0:
             live.append(ended + 1)
-        new = tuple(live)
-        number = self.states.get(new)
-        if number is None:
-            number = self.states[new] = len(self.sets)
-            self.sets.append(new)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, ended)
+        move = self.moves[state << 8 | byte] = self._number(tuple(live)) << 32 | ended + 1
         return move
 
     def _back(self, ends: list[int], base: int, at: int) -> list[int]:
@@ -177,14 +183,16 @@ class Transducer:
             return [whole]
         if len(self.sets) > self.most:
             self._clear()
-        state, ends, moves = 0, [], self.moves
-        if len(piece) <= FLUSH:
-            for byte in piece:
-                move = moves[state].get(byte)
-                state, token = move if move is not None else self._move(state, byte)
-                ends.append(token)
-            return self._back(ends, 0, len(piece))
-        return [t for part in self.stream([piece]) for t in part]
+        if len(piece) > FLUSH:
+            return [t for part in self.stream([piece]) for t in part]
+        state, ends, known = 0, [], self.moves.get
+        for byte in piece:
+            move = known(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            state = move >> 32
+            ends.append((move & 0xFFFFFFFF) - 1)
+        return self._back(ends, 0, len(piece))
 
     def stream(self, parts) -> Iterator[list[int]]:
         """Encodes one piece that comes in parts, holding back FLUSH bytes at most."""
@@ -194,15 +202,14 @@ class Transducer:
                 if len(self.sets) > self.most:  # keep the set at hand only
                     at = self.sets[state]
                     self._clear()
-                    state = self.states.setdefault(at, len(self.sets))
-                    if state == len(self.sets):
-                        self.sets.append(at)
-                        self.moves.append({})
-                moves = self.moves
+                    state = self._number(at)
+                known = self.moves.get
                 for byte in part[a : a + FLUSH]:
-                    move = moves[state].get(byte)
-                    state, token = move if move is not None else self._move(state, byte)
-                    ends.append(token)
+                    move = known(state << 8 | byte)
+                    if move is None:
+                        move = self._move(state, byte)
+                    state = move >> 32
+                    ends.append((move & 0xFFFFFFFF) - 1)
                 # places where a live hypothesis begins; where their encodings meet is settled
                 end = base + len(ends)
                 live = {end} if ends[-1] >= 0 else set()
@@ -219,30 +226,48 @@ class Transducer:
         yield self._back(ends, base, base + len(ends))
 
 
+def _utf8_rows() -> list[bytes]:
+    """The automaton of well-formed UTF-8: for each state and byte the next state. State 0
+    stands between characters, 1 is broken, 2 to 4 await one to three more bytes, 5 to 8
+    await bytes of which the next has a narrower range (after E0, ED, F0 and F4)."""
+    rows = [bytearray([1] * 256) for _ in range(9)]
+    rows[0][:0x80] = bytes(0x80)
+    for lead, state in ((range(0xC2, 0xE0), 2), (range(0xE1, 0xF0), 3), ([0xE0], 5), ([0xED], 6), ([0xF0], 7), (range(0xF1, 0xF4), 4), ([0xF4], 8)):
+        for byte in lead:
+            rows[0][byte] = state
+    for state, low, high, to in ((2, 0x80, 0xBF, 0), (3, 0x80, 0xBF, 2), (4, 0x80, 0xBF, 3), (5, 0xA0, 0xBF, 2), (6, 0x80, 0x9F, 2), (7, 0x90, 0xBF, 3), (8, 0x80, 0x8F, 3)):
+        for byte in range(low, high + 1):
+            rows[state][byte] = to
+    return [bytes(r) for r in rows]
+
+
+_UTF8 = _utf8_rows()
+
+
 class Utf8Machine:
-    """Incremental UTF-8 decoder: state is the bytes still awaited and the code point so
-    far; a broken sequence gives U+FFFD and begins anew, as in bytes.decode."""
+    """Incremental UTF-8 decoder. Its state after each piece is the automaton's, with the
+    bytes of the character begun; what the automaton has accepted goes out at once. Broken
+    bytes give U+FFFD and the automaton begins anew, as in bytes.decode."""
 
     def __init__(self):
         self.held = b""
 
-    @staticmethod
-    def _tail(data: bytes) -> int:
-        """Bytes at the end of data that begin a character and may be completed."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte >= 0xC0:
-                need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                return back if back < need else 0
-            if byte < 0x80:
-                return 0
-        return 0
-
     def feed(self, data: bytes, last: bool = False) -> str:
         data = self.held + data
-        keep = 0 if last else self._tail(data)
-        self.held = data[len(data) - keep :]
-        return data[: len(data) - keep].decode("utf-8", errors="replace")
+        # a character has four bytes at most, so the state at the end comes from there on
+        start = max(0, len(data) - 3)
+        while start < len(data) and 0x80 <= data[start] < 0xC0:
+            start += 1
+        state = 0
+        for at in range(start, len(data)):
+            if state <= 1:
+                begun = at
+            state = _UTF8[state if state != 1 else 0][data[at]]
+            if state == 1 and at > begun:  # the byte that broke it may begin the next
+                begun, state = at, _UTF8[0][data[at]]
+        cut = begun if state > 1 and not last else len(data)
+        self.held = data[cut:]
+        return data[:cut].decode("utf-8", errors="replace")
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
