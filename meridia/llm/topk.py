@@ -5,7 +5,10 @@ vertical layout, one row a dimension; scores accumulate dimension block by dimen
 block. After each block a candidate's score is bounded by what it has plus the product of
 the remaining masses (the norms over the dimensions to come, by Cauchy-Schwarz);
 candidates that cannot reach the k-th best score so far are dropped and the survivors
-compacted. Bounds are widened by one, so that rounding never drops a tie.
+compacted. Bounds are widened by one, so that rounding never drops a tie. The k-th best
+score starts from what the query finds among SEED_ROWS vectors, any of the table's, sent
+to all tasks: a bound that holds for the whole table, whichever they are. Dimensions
+are taken in the order of their mass in these vectors, so that little is left early.
 
 Queries, every vector whose id is divisible by ``every``, are packed into blocks of at
 most QUERY_BLOCK rows on the executors; the driver passes them round in groups of at most
@@ -16,13 +19,15 @@ Defined cases: vectors that are null, empty, or hold null or non-finite componen
 that have a null id, take no part; a candidate of another length than the query's is no
 candidate; rows with the query's own id are its own; a query id on several rows gets the
 best over these rows, each candidate row once; repeated candidate rows count one by one;
-no candidates: no rows.
+no candidates: no rows; a score beyond the range of a long is given as that end of it, and
+such scores tie; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from meridia.llm.common import ROW, materialise, with_row_key
 
 K, EVERY, SCALE = 5, 50, 256
-DIMENSIONS, QUERY_BLOCK, CANDIDATE_BLOCK, PASS_BYTES = 16, 1024, 4096, 48 << 20
+DIMENSIONS, QUERY_BLOCK, CANDIDATE_BLOCK, PASS_BYTES, SEED_ROWS = 16, 1024, 4096, 48 << 20, 512
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -76,11 +82,15 @@ def _typed(queries: np.ndarray, candidates: np.ndarray):
 
 
 class Best:
-    """The k best candidates so far of each query of a block."""
+    """The k best candidates so far of each query of a block. ``floors`` are scores that
+    each query's k-th best is known to reach; ``scored`` counts, by dimension block, the
+    candidates that were still alive in it."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, floors: np.ndarray | None = None):
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.floors = np.full(len(ids), -np.inf) if floors is None else floors
         self.found: list[list[tuple]] = [[] for _ in ids]  # (-score, vec_id, row), sorted
+        self.scored = np.zeros(-(-vectors.shape[1] // DIMENSIONS), np.int64)
 
     def scan(self, ids: np.ndarray, rows: np.ndarray, candidates: np.ndarray) -> None:
         q, x = _typed(self.vectors, candidates)
@@ -92,15 +102,17 @@ class Best:
         first = q[:, :DIMENSIONS] @ x[:DIMENSIONS]
         for k, own in enumerate(self.ids):
             best = self.found[k]
-            floor = -best[self.k - 1][0] if len(best) >= self.k else -math.inf
+            floor = max(self.floors[k], -best[self.k - 1][0] if len(best) >= self.k else -math.inf)
             at, score = None, first[k]
             for b, a in enumerate(starts):
                 if b:
                     score = score + q[k, a : a + DIMENSIONS] @ (x[a : a + DIMENSIONS] if at is None else x[a : a + DIMENSIONS, at])
+                self.scored[b] += len(score)
                 if floor == -math.inf:
                     continue
                 bound = np.asarray(score, np.float64) + left_q[b, k] * (left_x[b] if at is None else left_x[b, at]) * (1 + 1e-9) + 1
-                stay = np.flatnonzero(bound >= floor)
+                # past 2^53 sums are rounded: leave room for that, too
+                stay = np.flatnonzero(bound + np.abs(bound) * 1e-12 >= floor)
                 if len(stay) < len(bound):
                     at, score = (stay if at is None else at[stay]), score[stay]
                 if not len(score):
@@ -110,6 +122,8 @@ class Best:
             names, numbers = (ids, rows) if at is None else (ids[at], rows[at])
             others = names != own
             names, numbers, score = names[others], numbers[others], score[others]
+            if score.dtype == object:
+                score = np.array([min(MOST, max(LEAST, s)) for s in score], object)
             if len(score) > self.k:
                 cut = np.partition(np.asarray(score, np.float64), len(score) - self.k)[len(score) - self.k]
                 near = np.asarray(score, np.float64) >= cut
@@ -118,22 +132,62 @@ class Best:
             best.sort()
             del best[self.k :]
 
+    def kth(self) -> np.ndarray:
+        """Each query's k-th best score so far; -inf where it has fewer. Rounded down."""
+        return np.array([np.nextafter(float(-f[self.k - 1][0]), -np.inf) if len(f) >= self.k else -np.inf for f in self.found])
 
-def _pack(batches):
-    """Blocks of at most QUERY_BLOCK queries of one length, as bytes."""
-    for b in batches:
-        ids = b.column("vec_id").to_numpy()
-        out = []
-        for rows, m in _matrix(b.column("q")):
-            for a in range(0, len(rows), QUERY_BLOCK):
-                part = rows[a : a + QUERY_BLOCK]
-                out.append(struct.pack("<qq", len(part), m.shape[1]) + ids[part].tobytes() + m[a : a + QUERY_BLOCK].tobytes())
-        yield pa.record_batch([pa.array(out, pa.binary()), pa.array([len(x) for x in out], pa.int64())], names=["block", "bytes"])
 
+@dataclass
+class Seeds:
+    """Some of the table's vectors, by length: ids, vectors, order of the dimensions."""
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(rows: list) -> Seeds:
+        out = {}
+        for n in {len(r["q"]) for r in rows}:
+            m = np.array([r["q"] for r in rows if len(r["q"]) == n], np.float64)
+            with np.errstate(over="ignore"):
+                order = np.argsort(-np.square(m).sum(axis=0), kind="stable")
+            out[n] = np.array([r["vec_id"] for r in rows if len(r["q"]) == n], np.int64), m, order
+        return Seeds(out)
+
+    def order(self, n: int) -> np.ndarray:
+        return self.by_length[n][2] if n in self.by_length else np.arange(n)
+
+    def floors(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+        if vectors.shape[1] not in self.by_length:
+            return np.full(len(ids), -np.inf)
+        names, m, _ = self.by_length[vectors.shape[1]]
+        block = Best(ids, vectors, k)
+        block.scan(names, np.arange(len(names)), m)
+        return block.kth()
+
+
+def _packer(sent, k: int):
+    """Blocks of at most QUERY_BLOCK queries of one length and their floors, as bytes."""
+
+    def run(batches):
+        seeds = sent.value
+        for b in batches:
+            ids = b.column("vec_id").to_numpy()
+            out = []
+            for rows, m in _matrix(b.column("q")):
+                order = seeds.order(m.shape[1])
+                for a in range(0, len(rows), QUERY_BLOCK):
+                    own, part = ids[rows[a : a + QUERY_BLOCK]], m[a : a + QUERY_BLOCK]
+                    floors = seeds.floors(own, part, k)
+                    out.append(struct.pack("<qq", *part.shape) + own.tobytes() + floors.tobytes() + part[:, order].tobytes())
+            yield pa.record_batch([pa.array(out, pa.binary()), pa.array([len(x) for x in out], pa.int64())], names=["block", "bytes"])
+
+    return run
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, vectors, floors"""
     n, d = struct.unpack("<qq", block[:16])
-    return np.frombuffer(block, np.int64, n, 16), np.frombuffer(block, np.float64, n * d, 16 + 8 * n).reshape(n, d)
+    return np.frombuffer(block, np.int64, n, 16), np.frombuffer(block, np.float64, n * d, 16 + 16 * n).reshape(n, d), np.frombuffer(block, np.float64, n, 16 + 8 * n)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -141,7 +195,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     spark = vectors.sparkSession
     # a row keeps its number in every scan
     all_vectors = usable(with_row_key(vectors.select("vec_id", "embedding")))
-    blocks = materialise(all_vectors.where(F.col("vec_id") % every == 0).select("vec_id", "q").mapInArrow(_pack, "block binary, bytes long"))
+    seeds = spark.sparkContext.broadcast(Seeds.of(all_vectors.select("vec_id", "q").limit(SEED_ROWS).collect()))
+    blocks = materialise(all_vectors.where(F.col("vec_id") % every == 0).select("vec_id", "q").mapInArrow(_packer(seeds, k), "block binary, bytes long"))
     blocks = materialise(blocks.withColumn("number", F.monotonically_increasing_id()))
     groups, room = [], 0
     for row in blocks.select("number", "bytes").orderBy("number").toLocalIterator():
@@ -156,10 +211,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         sent = spark.sparkContext.broadcast([r["block"] for r in blocks.where(F.col("number").between(low, high)).select("block").collect()])
 
         def run(batches, sent=sent):
-            best = [Best(*_unpack(x), k) for x in sent.value]
+            best = [Best(ids, vectors, k, floors) for ids, vectors, floors in map(_unpack, sent.value)]
             for b in batches:
                 ids, numbers = b.column("vec_id").to_numpy(), b.column(ROW).to_numpy()
                 for rows, m in _matrix(b.column("q")):
+                    m = m[:, seeds.value.order(m.shape[1])]
                     for a in range(0, len(rows), CANDIDATE_BLOCK):
                         part = rows[a : a + CANDIDATE_BLOCK]
                         for block in best:
