@@ -479,3 +479,39 @@ def test_bpe_query_against_library(spark):
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
         assert (r.n_tokens, bytes(r.ids), r.ids_sha256, r.decoded_sha256) == (len(ids), packed, hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert bpe.encode_documents(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_chat_typed_table(spark):
+    """Typed parts through a table and back; texts that look like placeholders stay texts."""
+    r = random.Random(47)
+    kinds = ["text", "image", "audio", "document", None]
+    texts = ["<|image_0|>", "<|im_end|>\n", "a\\|b", "", "<\\|audio_1|>", "é\n"]
+
+    def made():
+        kind = r.choice(kinds)
+        return {"type": kind, "text": r.choice(texts) if kind in ("text", None) else None, "ref": None if kind in ("text", None) else f"r{r.randint(0, 9)}", "width": r.randint(1, 99), "height": r.randint(1, 99), "milliseconds": r.randint(0, 999), "pages": r.randint(0, 4)}
+
+    rows = [(c, t, r.choice(["user", "assistant", None]), [made() for _ in range(r.randint(0, 5))] if r.random() < 0.9 else None, "clash") for c in (1, 2, 3, None) for t in range(6)]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>, formatted string")
+    table = chat.format_table(df)
+    read = {(x.conv_id, x.position): x for x in chat.read_table(table).collect()}
+    out = {(x.conv_id, x.position): x for x in table.collect()}
+    assert len(out) == len(rows)
+    for conv in (1, 2, 3, None):
+        want, found = chat.format_messages([{"role": x[2], "parts": x[3]} for x in rows if x[0] == conv])
+        assert "".join(out[conv, k].formatted for k in range(6)) == want
+        assert [a.asDict() for k in range(6) for a in out[conv, k].attachments] == found
+        assert sum(out[conv, k].expanded_tokens for k in range(6)) == sum(a["tokens"] for a in found)
+    for c, t, role, parts, _ in rows:
+        joined = []
+        for p in parts or []:
+            if p["type"] not in ("text", None):
+                joined.append((p["type"], p["ref"]))
+            elif p["text"]:
+                joined[-1:] = [("text", joined[-1][1] + p["text"])] if joined and joined[-1][0] == "text" else [*joined[-1:], ("text", p["text"])]
+        x = read[c, t]
+        assert (x.role, [(p.type, p.text if p.type == "text" else p.ref) for p in x.parts]) == (role or "", joined)
+    assert chat.format_table(df.limit(0)).count() == 0
+    turns = spark.createDataFrame([(1, 0, "user", "x<|y")], "conv_id long, turn long, role string, text string")
+    assert chat.format_turns(turns).first().formatted == "<|im_start|>user\nx<\\|y<|im_end|>\n"
+    assert chat.conversation_digests(turns.limit(0)).count() == 0
