@@ -6,16 +6,20 @@ shape terms (repeated lines, repeated words, long and short words). Log counts t
 inverse document frequency, projected on the leading singular vectors of the labelled
 rows, give its latent vector. The labelled vectors are broadcast: at most MAX_LABELLED of
 them, a documented bound; for every document the cosines with all of them are computed
-exactly, in blocks, and labels vote with weight exp(SHARPNESS * cosine), each class
-weighted by its share of all training labels.
+exactly, in blocks, and labels vote with weight exp(sharpness * cosine), each class
+weighted by its share of all training labels. Sharpness, the number of dimensions and
+whether shape terms are used are those of the lists below under which the training rows
+foretell one another best: each is left out of its own vote, and the mean log loss counts.
 
-Only rows whose crc32(doc_id as text) mod 5 is not 0 are ever learned from; the sample of
-them is the MAX_LABELLED / 2 of each label that come first in seeded hash order.
+Only rows whose crc32(doc_id as text) mod 5 is not 0 are ever learned from, settings
+included; the sample of them is the MAX_LABELLED / 2 of each label that come first in
+seeded hash order. Byte pairs are hashed to N_BYTES terms.
 
 Defined cases: a null text is empty; an empty text, and any text when there are no labels
 at all, scores the training share of label 1 (0.5 without labels); labels null or other
 than 0 and 1, or without a document, are ignored; of several labels of one document the
-larger counts; repeated rows each get the same score; other columns are left alone.
+larger counts; repeated rows each get the same score; equal cosines vote alike; texts of
+any length are read whole; no documents: no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LABELLED, DIMENSIONS, SHARPNESS, THRESHOLD, SEED = 2400, 32, 60.0, 0.3, 9
+MAX_LABELLED, THRESHOLD, SEED = 2400, 0.3, 9
+#: The settings that the training rows choose from.
+DIMENSIONS, SHARPNESS = (16, 32, 64), (10.0, 20.0, 40.0, 60.0, 80.0)
 #: Weight of a shape term, and documents scored at a time.
 SHAPE, BLOCK = 4.0, 256
 
@@ -89,37 +95,64 @@ class Model:
     vectors: np.ndarray
     weights: np.ndarray  # by vector and class
     prior: float
+    sharpness: float = SHARPNESS[0]
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts, self.idf) @ self.projection
-        return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+        return unit(weighted(counts, self.idf) @ self.projection)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(counts), self.prior)
         full = counts[:, :N_PAIRS].sum(axis=1) > 0
         cosine = self.embed(counts) @ self.vectors.T
-        near = np.exp(SHARPNESS * (cosine - cosine.max(axis=1, keepdims=True)))
+        near = np.exp(self.sharpness * (cosine - cosine.max(axis=1, keepdims=True)))
         votes = near @ self.weights
         share = votes[:, 1] / np.maximum(1e-12, votes.sum(axis=1))
         return np.where(full, share, self.prior).astype(np.float64)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, prior: float, dimensions: int = DIMENSIONS) -> Model:
+def unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+
+
+def own_loss(vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray, sharpness: float) -> float:
+    """Mean log loss of the rows' votes on one another, each left out of its own; a class
+    counts by its weights."""
+    loss = 0.0
+    for a in range(0, len(vectors), BLOCK):
+        cosine = vectors[a : a + BLOCK] @ vectors.T
+        rows = np.arange(len(cosine))
+        cosine[rows, a + rows] = -np.inf
+        votes = np.exp(sharpness * (cosine - cosine.max(axis=1, keepdims=True))) @ weights
+        share = votes[rows, labels[a : a + BLOCK].astype(int)] / np.maximum(1e-12, votes.sum(axis=1))
+        own = weights[a : a + BLOCK].sum(axis=1)
+        loss -= float((own * np.log(np.clip(share, 1e-3, 1))).sum())
+    return loss / max(1e-12, float(weights.sum()))
+
+
+def fit(counts: np.ndarray, labels: np.ndarray, prior: float) -> Model:
     """From the sample's term counts; prior is the share of label 1 in all training rows."""
     if not len(counts):
         return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2), np.float32), prior)
-    idf = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
-    x = weighted(counts, idf)
-    _, vectors = np.linalg.eigh(x.T @ x)
-    del x
-    model = Model(idf, None, np.zeros((0, 1)), np.zeros((0, 2)), prior)
-    # the first direction is what all texts share
-    model.projection = np.ascontiguousarray(vectors[:, ::-1][:, 1 : dimensions + 1].astype(np.float32))
-    model.vectors = model.embed(counts)
     ones = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    model.weights = np.stack([(labels == 0) * (1 - prior) / ones[1], (labels == 1) * prior / ones[0]], axis=1).astype(np.float32)
-    return model
+    weights = np.stack([(labels == 0) * (1 - prior) / ones[1], (labels == 1) * prior / ones[0]], axis=1).astype(np.float32)
+    full = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    best, found = np.inf, None
+    for shapes in (True, False):
+        idf = full if shapes else np.where(np.arange(N_TERMS) < N_PAIRS + N_BYTES, full, 0).astype(np.float32)
+        x = weighted(counts, idf)
+        # the first direction is what all texts share
+        directions = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, 1 : max(DIMENSIONS) + 1].astype(np.float32)
+        latent = x @ directions
+        del x
+        for n in DIMENSIONS:
+            vectors = unit(latent[:, :n])
+            for sharpness in SHARPNESS:
+                loss = own_loss(vectors, labels, weights, sharpness)
+                if loss < best - 1e-6:
+                    best, found = loss, (idf, np.ascontiguousarray(directions[:, :n]), vectors, sharpness)
+    idf, projection, vectors, sharpness = found
+    return Model(idf, projection, vectors, weights, prior, sharpness)
 
 
 def held_out(c: str = "doc_id"):

@@ -515,3 +515,40 @@ def test_chat_typed_table(spark):
     turns = spark.createDataFrame([(1, 0, "user", "x<|y")], "conv_id long, turn long, role string, text string")
     assert chat.format_turns(turns).first().formatted == "<|im_start|>user\nx<\\|y<|im_end|>\n"
     assert chat.conversation_digests(turns.limit(0)).count() == 0
+
+
+def test_quality_vote():
+    """The blocked votes against plain loops, and settings that no held-out row touches."""
+    import math
+
+    import numpy as np
+
+    texts = [words(60, k) if k % 2 else " ".join(words(60, k).upper().split()[::-1]) + "!!" * (k % 5) for k in range(80)]
+    counts = np.stack([quality.terms(t) for t in texts])
+    labels = np.array([k % 2 for k in range(80)])
+    model = quality.fit(counts, labels, 0.7)
+    assert model.sharpness in quality.SHARPNESS and model.projection.shape[1] in quality.DIMENSIONS
+    more = np.stack([quality.terms(t) for t in [words(30, 99), "A B C", "x" * 100_000, ""]])
+    vectors = model.embed(more)
+    for row, score in zip(vectors[:3], model.score(more)[:3], strict=True):
+        cosine = [sum(float(a) * float(b) for a, b in zip(row, v, strict=True)) for v in model.vectors]
+        vote = [math.exp(model.sharpness * (c - max(cosine))) for c in cosine]
+        one, zero = (sum(v * s for v, y in zip(vote, labels, strict=True) if y == k) for k, s in ((1, 0.7 / 40), (0, 0.3 / 40)))
+        assert abs(score - one / (one + zero)) < 1e-3
+    assert abs(model.score(more)[3] - 0.7) < 1e-6
+
+
+def test_quality_never_learns_from_held_out_rows(spark):
+    import zlib
+
+    texts = [words(80, i) if i % 2 else "%%% ".join(words(80, i).upper().split()) for i in range(100)] + [None]
+    df = docs(spark, texts).withColumn("quality", F.lit(0)).withColumn("terms", F.lit("clash"))
+    out = {i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0}
+    scores = []
+    for flip in (False, True):
+        rows = [(i, (1 - i % 2 if flip else i % 2) if i in out else i % 2, 0) for i in range(100)]
+        got = quality.score_documents(df, spark.createDataFrame(rows, "doc_id long, quality int, toxic int")).collect()
+        assert {r.doc_id for r in got if r.held_out} == {i for i in range(101) if zlib.crc32(str(i).encode()) % 5 == 0}
+        scores.append({r.doc_id: r.score for r in got})
+    assert scores[0] == scores[1] and all((scores[0][i] >= 0.3) == (i % 2 == 1) for i in out)
+    assert quality.score_documents(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
