@@ -19,21 +19,36 @@ ROW = "_row"
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, a temporary folder will
+    do for a session of one process (as in tests) and for no other."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="meridia-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it back: lineage ends here,
-    and a lost executor costs no more than the files' next read."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes df to a table in the shared folder and reads it back: lineage ends here, and a
+    lost executor costs no more than the files' next read. The table's path comes with it."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/meridia/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """As stored, for a table that stays: what comes of it may still be read."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table from which nothing will be read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -69,7 +84,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     node and a join, until the edges stop changing. Nothing is collected but a count
     and a checksum a round. Self-loops and nulls are ignored."""
     lo, hi = F.least(a, b), F.greatest(a, b)
-    state = materialise(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct())
+    spark = edges.sparkSession
+    state, path = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct())
 
     def mark(df: DataFrame):
         # the sum is taken modulo 2^64 by way of decimal to keep ANSI mode from overflowing
@@ -83,8 +99,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = skew_join(large, least, ["u"], "inner")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        state = materialise(small)
+        last = path
+        state, path = stored(small)
         now = mark(state)
+        discard(spark, last)
         if tuple(now) == tuple(before):
             break
         before = now

@@ -1,23 +1,36 @@
 """SimHash near-dedup with pivot distance tables.
 
-Each document gets a 64-bit fingerprint: bit by bit the majority of the XXH64 of its
-word shingles. Distinct fingerprints that agree on some two of five bit blocks meet in a
-cell (any two that differ in at most three bits do, for three bits touch at most three
-blocks). Within a cell the Hamming distances to fixed reference fingerprints (pivots) are
-tabulated; as the triangle inequality bounds every coordinate's difference by the pair's
-distance, a pair whose largest coordinate difference exceeds the limit is discarded, and
-survivors are verified. A cell hands on a spanning forest of its links, never all of them;
-cells over CELL fingerprints are cut into pairs of parts, each its own group. Components
-are found by the distributed star algorithm.
+Each document gets a fingerprint: bit by bit the majority of the XXH64 of its word
+shingles. Distinct fingerprints meet in cells. Within a cell the Hamming distances to
+reference fingerprints (pivots) are tabulated; as the triangle inequality bounds every
+coordinate's difference by the pair's distance, a pair whose largest coordinate difference
+exceeds the limit is discarded, and survivors are verified. A cell hands on a spanning
+forest of its links, nearest first, never all of them; cells over CELL fingerprints are
+cut into pairs of parts, each its own group. Components are found by the distributed star
+algorithm.
+
+``simhash_components``: 64 bits, three words, at most three bits apart. Fingerprints that
+agree on some two of five bit blocks share a cell (any two that differ in at most three
+bits do, for three bits touch at most three blocks), so no link is lost.
+
+``drop_near_copies``: a similarity of 0.8 of five-word shingles moves about 15 % of the
+bits, too many for blocks. Fingerprints have WIDE bits, and cells are the KEYS smallest
+shingle hashes: two documents of similarity 0.8 have none of them in common once in 600
+times. A hash that more than CELL documents share (a passage many documents hold) is split
+by each other one of the document's SPARE smallest, then into parts as above.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer
 words than a shingle: the whole sequence is the one shingle; a null doc_id keeps a null
-id, and a component of such rows only has a null component_id; repeated rows each get
-the same answer.
+id, and a component of such rows only has a null component_id; rows of one doc_id and
+several texts are one node of the graph, whose links are those of all its texts; repeated
+rows each get the same answer; no documents: no rows; other columns, whatever their
+names, are left alone.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -34,25 +47,71 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Most fingerprints of a cell that one group compares.
 CELL = 2048
 N_PIVOTS = 24
-PIVOTS = np.array([xxhash.xxh64_intdigest(bytes([i]), seed=SEED) for i in range(N_PIVOTS)], np.uint64)
+PIVOTS = np.array([[xxhash.xxh64_intdigest(bytes([i]), seed=SEED)] for i in range(N_PIVOTS)], np.uint64)
 
+#: The near-copy stage: words of a shingle, similarity, fingerprint bits, the hashes that
+#: name a document's cells, and those that split a crowded one.
+NEAR_SHINGLE, SIMILARITY, WIDE, KEYS, SPARE = 5, 0.8, 512, 4, 8
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of the text's shingles in order, repeats included; none for a text without words."""
     words = data.lower().split()  # on bytes: A-Z only; space, \t, \n, \v, \f, \r
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest, seed = xxhash.xxh64_intdigest, SEED
     if len(words) <= shingle:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        starts = [0, *accumulate(len(w) + 1 for w in words)]
-        hashes = np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:], strict=False)), np.uint64, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+        return np.array([digest(joined, seed)], np.uint64)
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    return np.fromiter((digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:], strict=False)), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    """The bits that are set in over half of the rows; a row's words, highest bit first."""
+    ones = np.zeros(hashes.shape[1] * 64, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        part = hashes[at : at + (1 << 13)].astype(">u8").view(np.uint8).reshape(-1, hashes.shape[1] * 8)
         ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    return int.from_bytes(majority(shingle_hashes(data, shingle)[:, None]), "big")
+
+
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """words hashes of 64 bits from each: the output function of SplitMix64 (fixed values)."""
+    x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signature(data: bytes) -> tuple[bytes, list[int]]:
+    """The near-copy stage's fingerprint, and the SPARE smallest shingle hashes."""
+    hashes = shingle_hashes(data, NEAR_SHINGLE)
+    if not len(hashes):
+        return bytes(WIDE // 8), [0]
+    least = np.unique(hashes)[:SPARE]
+    return majority(_spread(hashes, WIDE // 64)), least.view(np.int64).tolist()
+
+
+def expected_bits(similarity: float = SIMILARITY, bits: int = WIDE) -> int:
+    """Differing bits up to which a pair counts as near: what a pair of this similarity (of
+    sets; its cosine follows for sets of one size) differs in on average, and most of a
+    standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 0.75 * math.sqrt(bits * share * (1 - share)))
+
+
+@dataclass
+class Tally:
+    """Pairs in a cell, those that the pivots leave, and those within the limit."""
+
+    pairs: int = 0
+    left: int = 0
+    near: int = 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -> DataFrame:
@@ -68,63 +127,74 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str = "doc_id") -
     return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", fp long")
 
 
-def pivot_table(fps: np.ndarray) -> np.ndarray:
-    """Distances of the fingerprints to the pivots: N_PIVOTS rows."""
-    return np.bitwise_count(fps[None, :] ^ PIVOTS[:, None]).astype(np.int8)
+def pivot_table(fps: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
+    """Distances of the fingerprints (rows of words) to the pivots: a row a pivot."""
+    return np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in pivots])
 
 
-def near_pairs(fps: np.ndarray, limit: int = LIMIT, left: int | None = None):
-    """Blocks of index arrays (i, j), i < j, of all pairs within limit bits; with left
-    set, only pairs of one of the first ``left`` and one of the rest."""
+def members(fps: np.ndarray, n: int = 12) -> np.ndarray:
+    """Pivots taken from the fingerprints themselves, spread over their order: where copies
+    of some texts crowd, these lie near one crowd and far from the others."""
+    return fps[np.unique(np.linspace(0, len(fps) - 1, n).astype(int))]
+
+
+def near_pairs(fps: np.ndarray, limit: int = LIMIT, left: int | None = None, pivots: np.ndarray = PIVOTS, tally: Tally | None = None):
+    """Blocks of index arrays (i, j), i < j, and distances of all pairs within limit bits;
+    with left set, only pairs of one of the first ``left`` and one of the rest."""
     n = len(fps)
-    table = pivot_table(fps)
+    table = pivot_table(fps, pivots)
     step = max(1, (1 << 20) // max(n, 1))
     for a in range(0, n if left is None else left, step):
         rows = np.arange(a, min(a + step, n if left is None else left))
-        keep = np.abs(table[0, rows][:, None] - table[0][None, :]) <= limit
-        if left is None:
-            keep &= np.arange(n)[None, :] > rows[:, None]
-        else:
-            keep[:, :left] = False
-        i, j = np.nonzero(keep)
+        keep = np.arange(n)[None, :] > rows[:, None] if left is None else np.broadcast_to(np.arange(n)[None, :] >= left, (len(rows), n))
+        if tally:
+            tally.pairs += int(keep.sum())
+        i, j = np.nonzero(keep & (np.abs(table[0, rows][:, None] - table[0][None, :]) <= limit))
         i = rows[i]
         for coordinate in table[1:]:
-            if not len(i):
-                break
             close = np.abs(coordinate[i] - coordinate[j]) <= limit
             i, j = i[close], j[close]
-        if len(i):
-            true = np.bitwise_count(fps[i] ^ fps[j]) <= limit
-            yield i[true], j[true]
-
-
-def _forest(fps: np.ndarray, left: int | None) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs: (member, root) by index."""
-    root = list(range(len(fps)))
+            if not len(i):
+                break
+        if not len(i):
+            continue
+        distance = np.zeros(len(i), np.int16)
+        for w in range(fps.shape[1]):
+            distance += np.bitwise_count(fps[i, w] ^ fps[j, w])
+        true = distance <= limit
+        if tally:
+            tally.left += len(i)
+            tally.near += int(true.sum())
+        yield i[true].astype(np.int32), j[true].astype(np.int32), distance[true]
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for i, j in near_pairs(fps, left=left):
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    return [(x, r) for x in range(len(fps)) if (r := find(x)) != x]
+def forest(fps: np.ndarray, limit: int = LIMIT, left: int | None = None, pivots: np.ndarray = PIVOTS) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs within limit bits, nearest first, by index."""
+    found = list(near_pairs(fps, limit, left, pivots))
+    if not found:
+        return []
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    label, out = np.arange(len(fps)), []
+    for at in np.unique(d):
+        x, y = i[d == at], j[d == at]
+        while True:
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                break
+            # one pair a tree, taken in turn: each joins its tree to another, or to one just joined
+            _, first = np.unique(label[x], return_index=True)
+            for k in first.tolist():
+                a, b = label[x[k]], label[y[k]]
+                if a != b:
+                    label[label == max(a, b)] = min(a, b)
+                    out.append((int(x[k]), int(y[k])))
+    return out
 
 
-def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between the ids of distinct fingerprints (fp, id) that connect all
-    within LIMIT bits of each other."""
-    spots = []
-    for number, kept in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - LIMIT)):
-        mask = sum(((1 << BLOCKS[k][1]) - 1) << BLOCKS[k][0] for k in kept)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        spots.append(F.struct(F.lit(number).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
-    rows = distinct.select("fp", "id", F.explode(F.array(*spots)).alias("s")).select("fp", "id", "s.t", "s.key")
+def _compare(rows: DataFrame, limit: int, own_pivots: bool, cell: int) -> DataFrame:
+    """Edges (a, b) from rows (key columns t and key, fp as big-endian binary, id): the
+    forests of all cells of more than one row."""
     crowded = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("t", "key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     pairs = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
@@ -136,20 +206,61 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
             a, c = [], []
             lists, i, j = b.column("all"), b.column("i").to_pylist(), b.column("j").to_pylist()
             offsets, flat = lists.offsets.to_numpy(), lists.values
-            own, fp, ids = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("own", "fp", "id"))
+            own, ids = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("own", "id"))
             for k, (x, y) in enumerate(zip(i, j, strict=True)):
                 at = slice(offsets[k], offsets[k + 1])
-                order = np.lexsort((fp[at], own[at] != x))
-                f, d = fp[at][order].view(np.uint64), ids[at][order]
+                raw = flat.field("fp").slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist()
+                fps = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+                # in order of the fingerprint's first word, the first part's rows before the second's
+                order = np.lexsort((ids[at], fps[:, 0], own[at] != x))
+                fps, d = fps[order], ids[at][order]
                 left = None if x == y else int((own[at] == x).sum())
-                for member, root in _forest(f, left):
-                    a.append(d[member])
-                    c.append(d[root])
+                for m, n in forest(fps, limit, left, members(fps) if own_pivots else PIVOTS):
+                    a.append(d[m])
+                    c.append(d[n])
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
     return grouped.select("i", "j", "all").mapInArrow(run, "a long, b long")
 
 
+def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between the ids of distinct fingerprints (fp, id) that connect all
+    within LIMIT bits of each other."""
+    spots = []
+    for number, kept in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - LIMIT)):
+        mask = sum(((1 << BLOCKS[k][1]) - 1) << BLOCKS[k][0] for k in kept)
+        signed = mask - (1 << 64) if mask >> 63 else mask
+        spots.append(F.struct(F.lit(number).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
+    word = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    rows = distinct.select(word.alias("fp"), "id", F.explode(F.array(*spots)).alias("s")).select("fp", "id", "s.t", "s.key")
+    return _compare(rows, LIMIT, False, cell)
+
+
+def near_links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between the ids of distinct (fp, least, id) of the near-copy stage."""
+    keyed = distinct.select("fp", "id", "least", F.explode(F.slice("least", 1, KEYS)).alias("key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    shared = skew_join(keyed, counts, ["key"], "inner")
+    plain = shared.where(F.col("n") <= cell).select("fp", "id", F.lit(0).cast("byte").alias("t"), "key")
+    # the common hash with each other one; a text of that one hash stands by itself
+    others = F.expr("filter(least, x -> x <> key)")
+    pair = F.transform(F.when(F.size(others) > 0, others).otherwise(F.array("key")), lambda x: F.xxhash64(F.least(x, F.col("key")), F.greatest(x, F.col("key"))))
+    split = shared.where(F.col("n") > cell).select("fp", "id", F.lit(1).cast("byte").alias("t"), F.explode(pair).alias("key")).distinct()
+    return _compare(plain.unionByName(split), expected_bits(), True, cell).distinct()
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """_row, doc_id, fp, least of docs that have a row key."""
+
+    def run(batches):
+        for b in batches:
+            made = [signature(x.as_py() or b"") for x in b.column("text").cast(pa.binary())]
+            yield pa.record_batch([b.column(ROW), b.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.list_(pa.int64()))], names=[ROW, "doc_id", "fp", "least"])
+
+    rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"{ROW} long, doc_id long, fp binary, least array<long>")
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     found = materialise(fingerprints(docs, shingle))
@@ -161,12 +272,12 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return skew_join(found, known, ["fp"], "inner").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, one that has its smallest doc_id, null last.
-    Rows are linked by a key of their own, so rows without a doc_id are linked as well."""
+def drop_near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """docs with one row of each group of near copies, one that has its smallest doc_id, null
+    last. Rows are linked by a key of their own, so rows without a doc_id are linked as well."""
     keyed = with_row_key(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)).alias("first")
-    distinct = materialise(fingerprints(keyed, key=ROW).groupBy("fp").agg(first).withColumn("id", F.col(f"first.{ROW}")))
-    parts = connected_components(links(distinct.select("fp", "id")), "a", "b").select(F.col("node").alias("id"), "component")
-    stays = distinct.join(parts, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("first"))
+    distinct = materialise(signatures(keyed).groupBy("fp", "least").agg(first).withColumn("id", F.col(f"first.{ROW}")))
+    parts = connected_components(near_links(distinct.select("fp", "least", "id"), cell), "a", "b").select(F.col("node").alias("id"), "component")
+    stays = distinct.select("id", "first").join(parts, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("first"))
     return semi_join_null_safe(keyed, stays.select(f"first.{ROW}"), ROW).select(*docs.columns)
