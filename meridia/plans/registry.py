@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with a QUERIES table: name -> (function, SQL or None).
-MODULES = ("catalogue", "relational", "ordered", "spatial", "georeference")
+MODULES = ("catalogue", "coding", "relational", "ordered", "spatial", "georeference")
 
 
 def _tables() -> dict:
