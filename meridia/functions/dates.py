@@ -13,26 +13,34 @@ def first_year(c: Column) -> Column:
     return F.regexp_extract(c, r"(1[0-9]{3}|20[0-2][0-9])", 1).try_cast("int")
 
 
-def _token_bound(token: Column, digit: str) -> Column:
-    """``18..`` with its dots as a digit; needs two digits at least, the first 1 or 2."""
-    t = F.regexp_replace(F.trim(token), r"[^0-9.]", "")
-    return F.when(t.rlike(r"^[12][0-9][0-9.]{0,2}$"), F.rpad(F.replace(t, F.lit("."), F.lit(digit)), 4, digit).try_cast("int"))
+def _token_bounds(token: Column) -> Column:
+    """struct<low, high> of ``1888``, ``188.`` or ``18..``; null unless the token is two to four
+    digits, the first 1 or 2, and dots."""
+    digits = F.regexp_extract(F.trim(token), r"^([12][0-9]{1,3})[.\s]*$", 1)
+    return F.when(digits != "", F.struct(F.rpad(digits, 4, "0").try_cast("int").alias("low"), F.rpad(digits, 4, "9").try_cast("int").alias("high")))
 
 
-def _bounds(c: Column, digit: str, pick) -> Column:
-    bare = F.regexp_replace(c, r"[\[\]()?\s]", "")
+def _bounds(text: Column) -> Column:
+    """struct<low, high> of a text: an ISO date, or tokens between dashes and strokes."""
+    bare = F.regexp_replace(F.trim(text), r"^[\[\]]+|[\[\]]+$", "")
     # an ISO date holds dashes too, so it is tried before the text is split at them
-    iso = F.when(bare.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.left(bare, F.lit(4)).try_cast("int"))
-    tokens = F.filter(F.transform(F.split(bare, r"[-/]"), lambda t: _token_bound(t, digit)), lambda x: x.isNotNull())
-    return F.coalesce(iso, pick(tokens))
+    iso = F.regexp_extract(bare, r"^([0-9]{4})-[0-9]{2}-[0-9]{2}$", 1).try_cast("int")
+    found = F.filter(F.transform(F.split(bare, r"\s*[-/]\s*"), _token_bounds), lambda x: x.isNotNull())
+    spread = F.struct(F.array_min(F.transform(found, lambda x: x["low"])).alias("low"), F.array_max(F.transform(found, lambda x: x["high"])).alias("high"))
+    return F.when(iso.isNotNull(), F.struct(iso.alias("low"), iso.alias("high"))).when(F.size(found) > 0, spread)
+
+
+def bounds(texts: Column) -> Column:
+    """struct<low, high> of the first of several texts that states a date; else null."""
+    return F.try_element_at(F.filter(F.transform(texts, _bounds), lambda x: x.isNotNull()), F.lit(1))
 
 
 def earliest(c: Column) -> Column:
-    return _bounds(c, "0", F.array_min)
+    return _bounds(c)["low"]
 
 
 def latest(c: Column) -> Column:
-    return _bounds(c, "9", F.array_max)
+    return _bounds(c)["high"]
 
 
 def century(low: Column, high: Column) -> Column:
@@ -62,3 +70,8 @@ def years_in(c: Column, low: int, high: int) -> Column:
 
 def date_label(low: Column, high: Column) -> Column:
     return F.when(low.isNull(), "n.d.").when(low == high, low.cast("string")).otherwise(F.concat_ws("–", low.cast("string"), high.cast("string")))
+
+
+def century_key(label: Column) -> Column:
+    """A number to sort century labels by; 99 without one."""
+    return F.coalesce(F.regexp_replace(label, "[^0-9]", "").try_cast("int"), F.lit(99))

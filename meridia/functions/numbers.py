@@ -33,17 +33,57 @@ def coded_dms(c: Column) -> Column:
     return F.when(part(1) != "", dms(part(2).try_cast("double"), part(3).try_cast("double"), part(4).try_cast("double"), part(1)))
 
 
+#: A stated pair of sides, and centimetres of a unit, in the order they are looked for
+#: (fixed values, as are the limits below).
+PAIR = r"([0-9]+(?:[.,][0-9]+)?)\s*[x×]\s*([0-9]+(?:[.,][0-9]+)?)"
+SIDE_UNITS = ((r"\s*cm", 1.0), (r"\s*mm", 0.1), (r"\s*m\b", 100.0))
+
+
 def dimensions(c: Column) -> Column:
-    """struct<height, width> in centimetres from a stated size. A unit decides; without
-    one, sizes under 10 are metres, up to 250 centimetres, and beyond millimetres. A
-    blank after a decimal comma is repaired. Sides beyond 1 to 1000 cm make it null."""
-    fixed = F.regexp_replace(c, r"([0-9]),\s+([0-9])", "$1,$2")
-    pattern = r"([0-9]+(?:[.,][0-9]+)?)\s*(?:cm|mm|m)?\s*[x×]\s*([0-9]+(?:[.,][0-9]+)?)\s*(cm|mm|m)?\b"
-    a, b, unit = decimal(F.regexp_extract(fixed, pattern, 1)), decimal(F.regexp_extract(fixed, pattern, 2)), F.regexp_extract(fixed, pattern, 3)
-    top = F.greatest(a, b)
-    factor = F.when(unit == "cm", 1.0).when(unit == "mm", 0.1).when(unit == "m", 100.0).when(top < 10, 100.0).when(top <= 250, 1.0).otherwise(0.1)
-    sound = (a * factor).between(1, 1000) & (b * factor).between(1, 1000)
-    return F.when(sound, F.struct((a * factor).alias("height"), (b * factor).alias("width")))
+    """struct<width, height, area> in centimetres from a stated size: the first pair in
+    centimetres anywhere in the text, else in millimetres, else in metres; a pair without
+    unit is metres if both are under 10, centimetres up to 250, and millimetres beyond.
+    Blanks around a decimal comma are repaired. Sides beyond 1 to 1000 cm make it null."""
+    fixed = F.regexp_replace(c, r"([0-9])\s*,\s*([0-9])", "$1,$2")
+
+    def sides(pattern: str, factor) -> Column:
+        a, b = (decimal(F.regexp_extract(fixed, pattern, k)) for k in (1, 2))
+        f = F.lit(factor) if factor else F.when(F.greatest(a, b) < 10, 100.0).when(F.greatest(a, b) <= 250, 1.0).otherwise(0.1)
+        return F.when(fixed.rlike(pattern), F.struct((a * f).alias("width"), (b * f).alias("height")))
+
+    found = F.coalesce(*[sides(PAIR + unit, factor) for unit, factor in SIDE_UNITS], sides(PAIR, None))
+    width, height = found["width"], found["height"]
+    return F.when(width.between(1, 1000) & height.between(1, 1000), F.struct(width.alias("width"), height.alias("height"), (width * height).alias("area")))
+
+
+def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """struct<west, south, east, north> from two opposite corners in any order."""
+    return F.struct(F.least(x1, x2).alias("west"), F.least(y1, y2).alias("south"), F.greatest(x1, x2).alias("east"), F.greatest(y1, y2).alias("north"))
+
+
+#: Metres of a degree at the equator and of latitude; half of the last stated unit in
+#: degrees; minutes that a sheet's sides lie between (fixed values).
+METRES_LON, METRES_LAT = 111_320.0, 111_132.0
+HALF_UNIT = {"degree": 0.5, "minute": 0.5 / 60, "second": 0.5 / 3600, "finer": 0.5 / 3600}
+WIDTH_MINUTES, HEIGHT_MINUTES = (12.0, 32.0), (7.0, 16.0)
+
+
+def uncertainty(b: Column, metres_per_pixel: Column) -> Column:
+    """What a stated box (struct<west, south, east, north>) and a scan's pixel let one place a
+    point by: half of the finest unit that a side is stated in, in metres; two pixels for
+    the grid and four for a symbol's centre; whether the sheet's size is plausible."""
+    unit = stated_unit(b["west"], b["east"], b["north"], b["south"])
+    half = F.lit(HALF_UNIT["finer"])
+    for name, size in HALF_UNIT.items():
+        half = F.when(unit == name, size).otherwise(half)
+    middle = (b["north"] + b["south"]) / 2
+    width, height = (b["east"] - b["west"]) * 60, (b["north"] - b["south"]) * 60
+    coarse = unit.isin("degree", "minute")
+    return F.struct(
+        unit.alias("corner_unit"), F.round(half * METRES_LON * F.cos(F.radians(middle))).alias("lon_m"), F.round(half * METRES_LAT).alias("lat_m"), F.round(width, 2).alias("width_arcmin"), F.round(height, 2).alias("height_arcmin"),
+        (width.between(*WIDTH_MINUTES) & height.between(*HEIGHT_MINUTES)).alias("plausible"), F.round(2 * metres_per_pixel).alias("grid_m"), F.round(4 * metres_per_pixel).alias("symbol_m"),
+        F.when(coarse, "kilometric_grid").otherwise("kilometric_grid (bbox usable as fallback)").alias("control"),
+    )
 
 
 def band(c: Column, rules: Sequence[tuple[float, str]], beyond: str, missing: str = "unknown", closed: bool = True) -> Column:
@@ -79,5 +119,8 @@ def stated_unit(*degrees: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in ("degree", "minute", "second", "finer")]), finest + 1)
 
 
-def dpi(width_px: Column, height_px: Column, width_cm: Column, height_cm: Column) -> Column:
-    return F.greatest(width_px, height_px) / (F.greatest(width_cm, height_cm) / 2.54)
+def dpi(width_px: Column, height_px: Column, width_cm: Column, height_cm: Column, sheets: Column | None = None) -> Column:
+    """Dots an inch of a scan, longest side over longest side. With ``sheets``, only where
+    that is empty, null or 1: a scan shows one sheet, and a catalogue measures the set."""
+    out = F.greatest(width_px, height_px) / (F.greatest(width_cm, height_cm) / 2.54)
+    return out if sheets is None else F.when(F.coalesce(sheets.cast("string"), F.lit("")).isin("", "1"), out)

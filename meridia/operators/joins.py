@@ -141,3 +141,20 @@ def source_agreement(labels: DataFrame, entity: str, source: str, order: Column)
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
     both = ranked.groupBy(entity).agg(F.count("*").alias("n"), *[pick(k, c).alias(f"{c}{k}") for k in (1, 2) for c in (source, "x", "y")])
     return both.where("n = 2").drop("n")
+
+
+def word_windows(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, _w): hashes of a text's runs of so many words, the whole text, each run once."""
+    w = F.regexp_extract_all(F.col(text), F.lit("[^ \t\n\x0B\f\r]+"), F.lit(0))
+    rows = df.select(key, w.alias("_ws")).where(F.size("_ws") >= words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_ws") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_ws", i, words), " ")))
+    return rows.select(key, F.explode(F.array_distinct(runs)).alias("_w"))
+
+
+def shared_windows(items: DataFrame, item: str, docs: DataFrame, doc: str, text: str, words: int) -> DataFrame:
+    """item, n: how many documents hold a run of so many words of the item's text, anywhere
+    in it. An equality join on the runs: Spark sends the items' round if they are small,
+    and deals both sides by run if not. Hits are counted by document, so the pairs that
+    meet are distinct first."""
+    hits = word_windows(docs, doc, text, words).join(word_windows(items, item, text, words), "_w").select(item, doc).distinct()
+    return items.select(item).join(hits.groupBy(item).agg(F.count("*").alias("n")), item, "left").fillna({"n": 0})

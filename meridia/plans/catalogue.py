@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import dates, numbers, text
-from meridia.operators import rules
+from meridia.operators import joins, rules
 from meridia.plans.common import sql_values, t, values
 
 QUERIES: dict = {}
@@ -26,8 +26,9 @@ _TAG_SQL = ", ".join(f"CASE WHEN regexp_matches(strip_accents(lower(text)), '{p}
 
 @query("SELECT doc_id, strip_accents(lower(text)) AS folded, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) AS normal, length(regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g')) AS letters FROM documents")
 def q_text_fold(spark, d):
-    c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", text.fold(c).alias("folded"), text.normalise(c).alias("normal"), F.length(text.squash(c)).cast("long").alias("letters"))
+    folded = t(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    c = F.col("folded")
+    return folded.select("doc_id", "folded", F.trim(F.regexp_replace(c, "[^a-z0-9]+", " ")).alias("normal"), F.length(F.regexp_replace(c, "[^a-z]", "")).cast("long").alias("letters"))
 
 
 @query(f"SELECT tag, count(*) AS n, min(doc_id) AS first_seen FROM (SELECT doc_id, unnest(list_filter([{_TAG_SQL}], lambda x: x IS NOT NULL)) AS tag FROM documents) GROUP BY tag")
@@ -38,13 +39,15 @@ def q_tag_distribution(spark, d):
     return tagged.groupBy("tag").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_seen"))
 
 
-@query("SELECT item_id, count(doc_id) AS n FROM (SELECT item_id, substr(text, 1, 40) AS phrase FROM benchmark) b LEFT JOIN documents d ON contains(d.text, b.phrase) GROUP BY item_id")
+WINDOW = 8
+
+
+@query(f"""WITH w AS (SELECT 'b' AS side, item_id AS id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS ws FROM benchmark UNION ALL SELECT 'd', doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') FROM documents),
+g AS (SELECT DISTINCT side, id, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS phrase FROM (SELECT side, id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
+h AS (SELECT DISTINCT b.id AS item_id, d.id AS doc_id FROM g b JOIN g d ON b.side = 'b' AND d.side = 'd' AND b.phrase = d.phrase)
+SELECT item_id, count(doc_id) AS n FROM benchmark LEFT JOIN h USING (item_id) GROUP BY item_id""")
 def q_tag_theta_join(spark, d):
-    # the phrases are a fixed benchmark; each document tests them all, in one expression
-    phrases = t(spark, d, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("phrase"))
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    hits = docs.join(F.broadcast(phrases), F.contains(docs["text"], F.col("phrase"))).groupBy("item_id").agg(F.count("*").alias("n"))
-    return phrases.select("item_id").join(hits, "item_id", "left").fillna({"n": 0})
+    return joins.shared_windows(t(spark, d, "benchmark"), "item_id", t(spark, d, "documents"), "doc_id", "text", WINDOW)
 
 
 @query(r"SELECT p_partkey, regexp_matches(regexp_replace(lower(p_name || ' ' || p_type), 'large brushed', ' ', 'g'), '\b(?:standard|brushed|steel|red)\b') AS hit FROM part")
@@ -62,10 +65,11 @@ def q_signal_first_match(spark, d):
 
 
 def _html_sql() -> str:
+    # the references that the given pages hold, the ampersand last, so that nothing is read twice
     out = r"regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs')"
-    for e, c in text.ENTITIES:
-        out = f"replace({out}, '{e}', '{c.replace(chr(39), chr(39) * 2)}')"
-    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+    for name, char in (("&nbsp;", "chr(160)"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&eacute;", "'é'"), ("&amp;", "'&'")):
+        out = f"replace({out}, '{name}', {char})"
+    return rf"trim(regexp_replace(replace({out}, chr(160), ' '), '\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, {_html_sql()} AS plain FROM pages")
@@ -141,21 +145,6 @@ def q_layer_score(spark, d):
     return s.select("p_partkey", F.round("s", 9).alias("score"), band.alias("band"))
 
 
-DATES = (("1888", 1), ("17..", 2), ("188.", 3), ("16..-17..", 4), ("1801-01-01", 5), ("[1881]", 6), ("1...", 7), ("1850/1859", 8), ("", 9), (None, 10))
-
-
-@query(f"""WITH p AS (SELECT k, d, regexp_replace(d, '[\\[\\]()?\\s]', '', 'g') AS b FROM {sql_values('d, k', *DATES)}),
-tok AS (SELECT k, regexp_replace(trim(unnest(string_split_regex(b, '[-/]'))), '[^0-9.]', '', 'g') AS x FROM p),
-ok AS (SELECT k, min(TRY_CAST(rpad(replace(x, '.', '0'), 4, '0') AS INT)) AS lo, max(TRY_CAST(rpad(replace(x, '.', '9'), 4, '9') AS INT)) AS hi FROM tok WHERE regexp_full_match(x, '[12][0-9][0-9.]{{0,2}}') GROUP BY k),
-f AS (SELECT p.k, CASE WHEN regexp_full_match(b, '[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?') THEN CAST(b[1:4] AS INT) ELSE lo END AS low, CASE WHEN regexp_full_match(b, '[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?') THEN CAST(b[1:4] AS INT) ELSE hi END AS high FROM p LEFT JOIN ok ON p.k = ok.k)
-SELECT k, low, high, CASE WHEN low // 100 = high // 100 THEN (low // 100 + 1) || 'th c.' ELSE '' END AS century,
-CASE WHEN low IS NULL THEN 'none' WHEN high = low THEN 'exact' WHEN high - low <= 9 THEN 'decade' WHEN high - low <= 99 THEN 'century' ELSE 'multi' END AS kind FROM f""")
-def q_date_bounds(spark, d):
-    c = F.col
-    df = values(spark, "d string, k int", *DATES).withColumn("low", dates.earliest(c("d"))).withColumn("high", dates.latest(c("d")))
-    return df.select("k", "low", "high", dates.century(c("low"), c("high")).alias("century"), dates.precision(c("low"), c("high")).alias("kind"))
-
-
 @query(r"""SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\b([0-9]{4})\b', 1), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 1000 AND 8000))) AS years FROM documents""")
 def q_years_in_text(spark, d):
     return t(spark, d, "documents").select("doc_id", dates.years_in(F.col("text"), 1000, 8000).alias("years"))
@@ -172,34 +161,6 @@ def q_date_precision_gap(spark, d):
     return j.select("o_orderkey", "cat", F.size(kept).alias("kept"), F.array_min(kept).alias("first_kept"), same.alias("same"))
 
 
-SCALES = ((1, "Échelle(s) : 1:100 000"), (2, "Échelle : 52 1/2 [= 1:13 900 000]"), (3, "Référence : 41:1.2(1640)"), (4, "Titre | Échelle 1:50000 | 1:9"), (5, None))
-
-
-@query(f"""SELECT k, (SELECT v FROM (SELECT TRY_CAST(regexp_replace(unnest(regexp_extract_all(s, '1\\s*:\\s*([0-9][0-9 .]*)', 1)), '[^0-9]', '', 'g') AS BIGINT) AS v) WHERE v >= 10 LIMIT 1) AS scale
-FROM (SELECT k, array_to_string(list_filter(string_split(s, '|'), lambda x: contains(x, 'chelle')), '|') AS s FROM {sql_values('k, s', *SCALES)})""")
-def q_scale_parse(spark, d):
-    return values(spark, "k int, s string", *SCALES).select("k", numbers.scale_denominator(F.col("s")).alias("scale"))
-
-
-CODED = ((1, "E0133000"), (2, "W0092300"), (3, "X1"), (4, "S0361530"))
-
-
-@query(f"""SELECT k, round(CASE WHEN regexp_full_match(s, '[EWNS][0-9]{{7}}') THEN (CASE WHEN s[1] IN ('W', 'S') THEN -1 ELSE 1 END) * (CAST(s[2:4] AS DOUBLE) + CAST(s[5:6] AS DOUBLE) / 60 + CAST(s[7:8] AS DOUBLE) / 3600) END, 9) AS degrees FROM {sql_values('k, s', *CODED)}""")
-def q_dms(spark, d):
-    return values(spark, "k int, s string", *CODED).select("k", F.round(numbers.coded_dms(F.col("s")), 9).alias("degrees"))
-
-
-SIZES = ((1, "56 x 76 cm"), (2, "500 x 380"), (3, "0,49 x 0,35 m"), (4, "0,49 x 0,35"), (5, "77, 5 x 65, 9 cm"), (6, "no size"))
-_P = r"([0-9]+(?:[.,][0-9]+)?)\s*(?:cm|mm|m)?\s*[x×]\s*([0-9]+(?:[.,][0-9]+)?)\s*(cm|mm|m)?\b"
-
-
-@query(rf"""SELECT k, round(a * f, 6) AS height, round(b * f, 6) AS width FROM (SELECT k, a, b, CASE u WHEN 'cm' THEN 1.0::DOUBLE WHEN 'mm' THEN 0.1 WHEN 'm' THEN 100 ELSE CASE WHEN greatest(a, b) < 10 THEN 100 WHEN greatest(a, b) <= 250 THEN 1 ELSE 0.1 END END AS f FROM
-(SELECT k, TRY_CAST(replace(regexp_extract(z, '{_P}', 1), ',', '.') AS DOUBLE) AS a, TRY_CAST(replace(regexp_extract(z, '{_P}', 2), ',', '.') AS DOUBLE) AS b, regexp_extract(z, '{_P}', 3) AS u FROM (SELECT k, regexp_replace(s, '([0-9]),\s+([0-9])', '\1,\2', 'g') AS z FROM {sql_values('k, s', *SIZES)})))""")
-def q_dims(spark, d):
-    x = values(spark, "k int, s string", *SIZES).withColumn("d", numbers.dimensions(F.col("s")))
-    return x.select("k", F.round("d.height", 6).alias("height"), F.round("d.width", 6).alias("width"))
-
-
 @query("""WITH RECURSIVE r(k, n, s) AS (SELECT p_partkey, CAST(p_partkey % 90 + 1 AS INT), '' FROM part
 UNION ALL SELECT k, n - CASE WHEN n >= 90 THEN 90 WHEN n >= 50 THEN 50 WHEN n >= 40 THEN 40 WHEN n >= 10 THEN 10 WHEN n >= 9 THEN 9 WHEN n >= 5 THEN 5 WHEN n >= 4 THEN 4 ELSE 1 END,
 s || CASE WHEN n >= 90 THEN 'XC' WHEN n >= 50 THEN 'L' WHEN n >= 40 THEN 'XL' WHEN n >= 10 THEN 'X' WHEN n >= 9 THEN 'IX' WHEN n >= 5 THEN 'V' WHEN n >= 4 THEN 'IV' ELSE 'I' END FROM r WHERE n > 0)
@@ -230,23 +191,10 @@ def q_report_rows(spark, d):
     return t(spark, d, "part").select("p_partkey", text.escape_cell(c("p_name")).alias("cell"), text.truncate(c("p_type"), 12).alias("short"), text.ordinal(c("p_size")).alias("place"), text.thousands(c("p_partkey") * 1234).alias("grouped"))
 
 
-STATED = ((1, "8,57 Mo"), (2, "12 Ko"), (3, "1.5 GB"), (4, "none"))
-
-
-@query(f"""SELECT k, CAST(TRY_CAST(replace(nullif(regexp_extract(s, '([0-9]+(?:[.,][0-9]+)?)', 1), ''), ',', '.') AS DOUBLE) * CASE lower(regexp_extract(s, '[0-9]\\s*([kKmMgG][oObB])', 1)) WHEN 'ko' THEN 1024 WHEN 'kb' THEN 1024 WHEN 'mo' THEN 1048576 WHEN 'mb' THEN 1048576 WHEN 'go' THEN 1073741824 WHEN 'gb' THEN 1073741824 END - 0.5 AS BIGINT) AS bytes FROM {sql_values('k, s', *STATED)}""")
-def q_stated_bytes(spark, d):
-    return values(spark, "k int, s string", *STATED).select("k", text.stated_bytes(F.col("s")).alias("bytes"))
-
-
-@query("SELECT doc_id, CASE WHEN n_chars % 10 = 0 THEN 'degree' ELSE 'minute' END AS unit FROM documents")
-def q_stated_unit(spark, d):
-    whole = F.col("n_chars") % 10 == 0
-    return t(spark, d, "documents").select("doc_id", numbers.stated_unit(F.lit(37.0), F.when(whole, 36.0).otherwise(36.85)).alias("unit"))
-
-
 @query("SELECT doc_id, list_distinct(a) AS x, len(list_intersect(a, ['article', 'number'])) AS both, len(list_filter(a, lambda x: NOT list_contains(['article'], x))) AS rest FROM (SELECT doc_id, list_filter([" + _TAG_SQL + "], lambda x: x IS NOT NULL) AS a FROM documents)".replace("list_distinct(a) AS x", "a"))
 def q_list_setops(spark, d):
-    tags = t(spark, d, "documents").select("doc_id", rules.tag_rules(text.fold(F.col("text")), TAGS).alias("a"))
+    folded = t(spark, d, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+    tags = folded.select("doc_id", rules.tag_rules(F.col("folded"), TAGS).alias("a"))
     other = F.array(F.lit("article"), F.lit("number"))
     return tags.select("doc_id", F.array_sort(F.array_distinct(F.concat("a", F.array()))).alias("x"), F.size(F.array_intersect("a", other)).cast("long").alias("both"), F.size(F.array_except("a", F.array(F.lit("article")))).cast("long").alias("rest"))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from meridia.functions import text
 from meridia.operators import aggregates as agg
 from meridia.operators import joins
-from meridia.plans.common import sql_values, t, values
+from meridia.plans.common import t
+from meridia.sources import tables
 
 QUERIES: dict = {}
 
@@ -31,9 +32,10 @@ def q_semi(spark, d):
     return t(spark, d, "customer").select("c_custkey", "c_name").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL)")
 def q_anti(spark, d):
-    return t(spark, d, "customer").select("c_custkey", "c_name").join(t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    # targets that the cache lacks, and those whose value there is null
+    return tables.pending(t(spark, d, "documents").select("doc_id", "source"), t(spark, d, "labels"), "doc_id", "quality")
 
 
 @query("""SELECT doc_id, coalesce(a, b, c) AS v, CASE WHEN a IS NOT NULL THEN 'label' WHEN b IS NOT NULL THEN 'conversation' ELSE 'document' END AS basis FROM (
@@ -46,18 +48,6 @@ def q_precedence_merge(spark, d):
     return joins.precedence_merge([("label", labels), ("conversation", conv), ("document", docs)], "doc_id", "v")
 
 
-VARIANTS = (("ouled riah", "Riah"), ("riah", "Riah"), ("hammama", "Hammama"), ("ouled aziz", "Aziz"))
-NAMES = ((1, "o riah"), (2, "riah"), (3, "oulad hammama"), (4, "od aziz"), (5, "nobody"))
-
-
-@query(f"""SELECT k, coalesce(a.canonical, b.canonical, c.canonical, s) AS canonical, coalesce(a.canonical, b.canonical, c.canonical) IS NOT NULL AS matched FROM {sql_values('k, s', *NAMES)}
-LEFT JOIN (SELECT * FROM {sql_values('variant, canonical', *VARIANTS)}) a ON s = a.variant LEFT JOIN (SELECT * FROM {sql_values('variant, canonical', *VARIANTS)}) b ON regexp_replace(s, '^(o|od|oulad|ouled)\\s+', 'ouled ') = b.variant
-LEFT JOIN (SELECT * FROM {sql_values('variant, canonical', *VARIANTS)}) c ON regexp_replace(s, '^(o|od|oulad|ouled)\\s+', '') = c.variant""")
-def q_vocab_lookup(spark, d):
-    names = values(spark, "k int, s string", *NAMES)
-    return joins.resolve_names(names, "s", values(spark, "variant string, canonical string", *VARIANTS), ["o", "od", "oulad", "ouled"], "ouled").drop("s")
-
-
 @query("""SELECT o_custkey, o_orderpriority, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS flagged, max(CASE WHEN o_orderstatus <> 'F' THEN o_orderkey END) AS other FROM orders GROUP BY ALL HAVING count(*) = 2 AND count(*) FILTER (WHERE o_orderstatus = 'F') = 1""".replace("GROUP BY ALL", "GROUP BY o_custkey, o_orderpriority"))
 def q_edition_pairs(spark, d):
     return joins.flagged_pairs(t(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderkey", F.col("o_orderstatus") == "F")
@@ -83,12 +73,12 @@ def q_dedup_merge(spark, d):
     return agg.dedup_merge(e, "user_id", "event_id", ["event_type"], ["kinds"], ["all_big"])
 
 
-_NEW = "SELECT o_orderkey + 5 AS o_orderkey, 'N' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0"
+_NEW = "SELECT o_orderkey + 5 AS o_orderkey, 'N' AS o_orderstatus, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderstatus = 'P'"
 
 
 def _orders(spark, d):
     old = t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = old.where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + 5).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    new = old.where("o_orderstatus = 'P'").select((F.col("o_orderkey") + 5).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), (F.col("o_totalprice") * 2).alias("o_totalprice"))
     return old, new
 
 
@@ -174,11 +164,11 @@ def q_topn(spark, d):
     return t(spark, d, "part").select("p_partkey", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
 
 
-@query("SELECT p_partkey, p_type, p_size FROM part ORDER BY CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'LARGE' THEN 3 ELSE 9 END, p_size DESC, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_type, p_size, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'SMALL' THEN 2 WHEN 'LARGE' THEN 3 ELSE 9 END AS rank FROM part ORDER BY rank, p_size DESC, p_partkey")
 def q_enum_sort(spark, d):
     order = F.create_map(*[F.lit(x) for kv in (("ECONOMY", 1), ("SMALL", 2), ("LARGE", 3)) for x in kv])
-    rank = F.coalesce(order[F.split("p_type", " ")[0]], F.lit(9))
-    return t(spark, d, "part").select("p_partkey", "p_type", "p_size").orderBy(rank, F.desc("p_size"), "p_partkey").limit(50)
+    rank = F.coalesce(F.try_element_at(order, F.col("p_type")), F.lit(9))
+    return t(spark, d, "part").select("p_partkey", "p_type", "p_size", rank.alias("rank")).orderBy("rank", F.desc("p_size"), "p_partkey")
 
 
 @query("SELECT s_suppkey, s_nationkey, s_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS k FROM supplier) WHERE k = 1 ORDER BY s_acctbal, s_suppkey LIMIT 10")
