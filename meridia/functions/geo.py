@@ -185,3 +185,52 @@ def unproject(east: Column, north: Column, z: Zone) -> Column:
         return _iterate(math.pi / 2 - 2 * F.atan(t), step, 6)
 
     return _let(_shifted(F.atan2(dx, dy) / n + math.radians(z.lon0), _let(t, latitude), z.a, z.rf, WGS_A, WGS_RF, z.shift), lambda q: point(F.degrees(q["lon"]), F.degrees(q["lat"])))
+
+
+def spread_of(ring: Column) -> Column:
+    """Twice the area of the corner at a quadrilateral's second point: a cheap measure of two
+    nearly parallel sheets' sizes."""
+    p = lambda k: F.element_at(ring, k)
+    return F.abs((p(2)["x"] - p(1)["x"]) * (p(3)["y"] - p(2)["y"]) - (p(2)["y"] - p(1)["y"]) * (p(3)["x"] - p(2)["x"]))
+
+
+def shared_footprint(first: Column, second: Column, inset_by: float) -> Column:
+    """What two sheets of the same ground share: the smaller of the two quadrilaterals, each
+    drawn in towards its centre; the first of equals."""
+    a, b = inset(first, inset_by), inset(second, inset_by)
+    return F.when(spread_of(b) < spread_of(a), b).otherwise(a)
+
+
+def clip_box(box: Column, corners: Column) -> Column:
+    """A stated box moved to where a sheet's corners (array of points) have their middle: the
+    size of the one, the position of the other. Without corners the box as it is; without a
+    box, null."""
+    n = F.size(corners)
+    mean = lambda axis: F.aggregate(F.transform(corners, lambda p: p[axis]), F.lit(0.0), lambda t, v: t + v) / n
+    x, y = (box["east"] - box["west"]) / 2, (box["north"] - box["south"]) / 2
+    moved = F.struct((mean("x") - x).alias("west"), (mean("y") - y).alias("south"), (mean("x") + x).alias("east"), (mean("y") + y).alias("north"))
+    as_is = F.struct(*[box[k].cast("double").alias(k) for k in ("west", "south", "east", "north")])
+    return F.when(box.isNull(), F.lit(None)).when(corners.isNull() | (n == 0), as_is).otherwise(moved)
+
+
+def in_clip(x: Column, y: Column, box: Column, margin: float) -> Column:
+    """Whether a point lies in a box drawn in by a margin; any point does where there is none."""
+    return box.isNull() | (x.between(box["west"] + margin, box["east"] - margin) & y.between(box["south"] + margin, box["north"] - margin))
+
+
+def evidence_points(at: Column, extent: Column) -> Column:
+    """A label's points on a plane: the one it stands at or, where its printed name was
+    measured, the name's two ends."""
+    end = lambda sign: point(at["x"] + sign * extent / 2, at["y"])
+    return F.when(F.coalesce(extent, F.lit(0.0)) != 0, F.array(end(-1), end(1))).otherwise(F.array(point(at["x"], at["y"])))
+
+
+def corner_spans(north_west: Column, north_east: Column, south_west: Column, east: tuple[Column, Column], north: tuple[Column, Column]) -> Column:
+    """struct<width_km, height_km, scale_x, scale_y, rotation_deg> of a sheet placed by its
+    corners: distances in kilometres, and what the map's coefficients (easting and northing
+    by pixel column and row) say of its scales and its turn."""
+    span = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]) / 1000
+    return F.struct(
+        span(north_west, north_east).alias("width_km"), span(north_west, south_west).alias("height_km"), F.hypot(east[0], north[0]).alias("scale_x"), F.hypot(east[1], north[1]).alias("scale_y"),
+        F.degrees(F.atan2(-north[0], east[0])).alias("rotation_deg"),
+    )

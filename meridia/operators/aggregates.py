@@ -15,10 +15,35 @@ def distribution(df: DataFrame, c: str, seen: str) -> DataFrame:
     return df.groupBy(c).agg(F.count("*").alias("n"), F.min(seen).alias("first_seen"))
 
 
-def upper_median(c: str) -> Column:
-    """The upper of the two middle values when their number is even."""
-    values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
+def upper_median(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
+    """keys, upper_median: the upper of the two middle values when their number is even. By
+    the values' counts, so a group's equal values are one row and none is collected."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy(c)
+    upto = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.sum("_n").over(Window.partitionBy(*keys))
+    placed = counts.withColumn("_upto", upto).withColumn("_total", total)
+    return placed.where("_upto > floor(_total / 2)").groupBy(*keys).agg(F.min(c).alias("upper_median"))
+
+
+def envelope(df: DataFrame, keys: Sequence[str], margin: float = 0.0) -> DataFrame:
+    """keys, west, south, east, north, n: what all boxes of a group lie in, and a margin."""
+    m = F.lit(float(margin))
+    return df.groupBy(*keys).agg((F.min("west") - m).alias("west"), (F.min("south") - m).alias("south"), (F.max("east") + m).alias("east"), (F.max("north") + m).alias("north"), F.count("*").alias("n"))
+
+
+def summary(df: DataFrame, counts: dict[str, Column], extremes: dict[str, Column], distributions: Sequence[str]) -> DataFrame:
+    """One row that sums up a table: how many rows, how many each condition holds for, the
+    least and greatest of each measure, and a map of counts by value of each column named:
+    a column of few values. One pass for the first three, a small join for each map."""
+    measures = [a for k, c in extremes.items() for a in (F.min(c).alias(f"least_{k}"), F.max(c).alias(f"greatest_{k}"))]
+    out = df.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(k) for k, c in counts.items()], *measures)
+    for c in distributions:
+        by = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
+        ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "v", "n")))
+        pairs = F.transform(ordered, lambda x: F.struct(x["v"].alias("key"), x["n"].alias("value")))
+        out = out.crossJoin(F.broadcast(by.agg(F.map_from_entries(pairs).alias(f"by_{c}"))))
+    return out
 
 
 def vote(df: DataFrame, keys: Sequence[str], value: str, seen: str) -> DataFrame:
@@ -34,8 +59,8 @@ def resolve(df: DataFrame, keys: Sequence[str], value: str, scores: Sequence[Col
 
 
 def share_of_total(df: DataFrame, c: str) -> DataFrame:
-    """Adds each group's share. df is an aggregate: one row a group."""
-    return df.withColumn("share", F.col(c) / F.sum(c).over(Window.partitionBy()))
+    """Adds each row's share of the total, a single row that is sent to all."""
+    return df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("_total")))).withColumn("share", F.col(c) / F.col("_total")).drop("_total")
 
 
 def reconcile(df: DataFrame, c: str, stated: float) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.shared import connected_components, materialise
+
 
 def left_default(left: DataFrame, right: DataFrame, key: str, defaults: dict[str, str]) -> DataFrame:
     """Left join; what the right side lacks gets its coded default."""
@@ -26,6 +28,19 @@ def precedence_merge(sources: Sequence[tuple[str, DataFrame]], key: str, value:
     return best.select(key, F.col(f"b.{value}").alias(value), "b.basis")
 
 
+def rename_by_alias(values: Column, aliases: dict[str, str]) -> Column:
+    """An array's values with those that have an alias renamed."""
+    if not aliases:
+        return values
+    known = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.transform(values, lambda v: F.coalesce(F.try_element_at(known, v), v))
+
+
+def ordered_union(first: Column, more: Column, aliases: dict[str, str]) -> Column:
+    """The first array's values, then those of the other, renamed, that are new; in order."""
+    return F.array_distinct(F.concat(first, rename_by_alias(more, aliases)))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows by key, the new one where there are both."""
     rest = [c for c in old.columns if c != key]
@@ -71,10 +86,22 @@ def greedy_match(early: DataFrame, late: DataFrame, radius: float) -> DataFrame:
     return first_per_key(one, ["r_id"], [F.col("distance"), F.col("id")]).select("id", F.col("r_id").alias("late_id"), "distance")
 
 
-def match_counts(early: DataFrame, late: DataFrame, radius: float) -> DataFrame:
-    matched = greedy_match(early, late, radius).agg(F.count("*").alias("matched"))
+def match_counts(early: DataFrame, late: DataFrame, radii: Sequence[float]) -> DataFrame:
+    """radius, matched, early_only, late_only. Pairs are found once, at the greatest radius:
+    a point's nearest partner stays its nearest within any radius that holds it."""
+    matched = greedy_match_within(early, late, radii)
     a, b = early.agg(F.count("*").alias("a")), late.agg(F.count("*").alias("b"))
-    return matched.crossJoin(a).crossJoin(b).select(F.lit(float(radius)).alias("radius"), "matched", (F.col("a") - F.col("matched")).alias("early_only"), (F.col("b") - F.col("matched")).alias("late_only"))
+    wanted = early.sparkSession.createDataFrame([(float(r),) for r in radii], "radius double")
+    counts = wanted.join(matched.groupBy("radius").agg(F.count("*").alias("matched")), "radius", "left").fillna({"matched": 0})
+    return counts.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b)).select("radius", "matched", (F.col("a") - F.col("matched")).alias("early_only"), (F.col("b") - F.col("matched")).alias("late_only"))
+
+
+def greedy_match_within(early: DataFrame, late: DataFrame, radii: Sequence[float]) -> DataFrame:
+    """radius, id, late_id, distance: greedy_match for each of several radii."""
+    near = radius_join(early.select("id", "x", "y"), late.select("id", "x", "y"), max(radii))
+    one = first_per_key(near, ["id"], [F.col("distance"), F.col("r_id")])
+    each = one.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))).where("distance <= radius")
+    return first_per_key(each, ["radius", "r_id"], [F.col("distance"), F.col("id")]).select("radius", "id", F.col("r_id").alias("late_id"), "distance")
 
 
 def box_overlap_join(left: DataFrame, right: DataFrame, size: float, least: float = 0.15) -> DataFrame:
@@ -95,21 +122,33 @@ def box_overlap_join(left: DataFrame, right: DataFrame, size: float, least: floa
     return j.withColumn("share", width * height / smaller).where(F.col("share") >= least).select("a_id", "b_id", "share")
 
 
-def nearest_1d(left: DataFrame, right: DataFrame, x: str, grid: str, partition: Sequence[str] = ()) -> DataFrame:
-    """Each left value's nearest right value, by one ordered pass over both: the last grid
-    value at or before it and the first at or after it; the lower one on a tie. Give a
-    partition wherever the data have one: an order over all rows is one task."""
+def nearest_1d(left: DataFrame, right: DataFrame, x: str, grid: str, width: float, partition: Sequence[str] = ()) -> DataFrame:
+    """Each left value's nearest right value; the lower one on a tie. Values are dealt to
+    cells of the line, ``width`` wide; within a cell an ordered pass gives the last grid value
+    at or before and the first at or after, and each cell is told the nearest grid value
+    below and above it, by an order over the cells alone."""
     keys = list(partition)
+    cell = F.floor(F.col("_x") / width).cast("long")
     a = left.withColumns({"_x": F.col(x).cast("double"), "_g": F.lit(None).cast("double")})
-    b = right.select(*keys, F.col(grid).cast("double").alias("_x")).withColumn("_g", F.col("_x"))
-    both = a.withColumn("_own", F.lit(True)).unionByName(b.withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_x")
+    b = right.select(*keys, F.col(grid).cast("double").alias("_x")).where("_x is not null").distinct().withColumn("_g", F.col("_x"))
+    both = a.withColumn("_own", F.lit(True)).unionByName(b.withColumn("_own", F.lit(False)), allowMissingColumns=True).withColumn("_cell", cell)
+    line = Window.partitionBy(*keys).orderBy("_cell")
+    cells = both.groupBy(*keys, "_cell").agg(F.min("_g").alias("_low"), F.max("_g").alias("_high"))
+    told = cells.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_cell").alias("_kc"),
+        F.last("_high", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.first("_low", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_above"),
+    )
+    order = Window.partitionBy(*keys, "_cell").orderBy("_x")
     before = F.last("_g", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first("_g", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    out = both.withColumns({"_b": before, "_a": after}).where("_own")
+    near = both.withColumns({"_b": before, "_a": after}).where("_own")
+    on = near["_cell"].eqNullSafe(told["_kc"])
+    for k in keys:
+        on = on & near[k].eqNullSafe(told[f"_k_{k}"])
+    out = near.join(told, on, "left").withColumns({"_b": F.coalesce("_b", "_below"), "_a": F.coalesce("_a", "_above")})
     low = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_x") - F.col("_b") <= F.col("_a") - F.col("_x")))
     nearest = F.when(low, F.col("_b")).otherwise(F.col("_a"))
-    return out.withColumn("nearest", nearest).withColumn("distance", F.abs(F.col("_x") - F.col("nearest"))).drop("_x", "_g", "_own", "_b", "_a")
+    return out.withColumn("nearest", nearest).withColumn("distance", F.abs(F.col("_x") - F.col("nearest"))).select(*left.columns, "nearest", "distance")
 
 
 def winner_and_runner_up(scored: DataFrame, key: str, entity: str, distance: str) -> DataFrame:
@@ -158,3 +197,91 @@ def shared_windows(items: DataFrame, item: str, docs: DataFrame, doc: str, text:
     meet are distinct first."""
     hits = word_windows(docs, doc, text, words).join(word_windows(items, item, text, words), "_w").select(item, doc).distinct()
     return items.select(item).join(hits.groupBy(item).agg(F.count("*").alias("n")), item, "left").fillna({"n": 0})
+
+
+def first_and_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n and the last n rows of each group's ranking, with their place and end; a
+    row of a short group comes once. Two partial top-n passes, no whole sort of a group."""
+    up = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n).withColumn("side", F.lit("first"))
+    back = [c.desc_nulls_last() for c in order]
+    down = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*back))).where(F.col("place") <= n).withColumn("side", F.lit("last"))
+    size = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    last = down.join(size, list(keys)) if keys else down.crossJoin(F.broadcast(size))
+    return up.unionByName(last.where(F.col("_size") - F.col("place") >= n).drop("_size"))
+
+
+def line_intersections(lines: DataFrame, sheet: str) -> DataFrame:
+    """sheet, i, j, x, y: where a sheet's eastings (x - tan_e y = u) and northings (y - tan_n x
+    = v) cross. lines: sheet, axis ('e' or 'n'), number, constant, tan. Pairs are within a
+    sheet, of some dozens of lines an axis."""
+    e = lines.where("axis = 'e'").select(sheet, F.col("number").alias("i"), F.col("constant").alias("u"), F.col("tan").alias("tan_e"))
+    n = lines.where("axis = 'n'").select(sheet, F.col("number").alias("j"), F.col("constant").alias("v"), F.col("tan").alias("tan_n"))
+    c, det = F.col, 1 - F.col("tan_e") * F.col("tan_n")
+    return e.join(n, sheet).where(det != 0).select(sheet, "i", "j", ((c("u") + c("tan_e") * c("v")) / det).alias("x"), ((c("v") + c("tan_n") * c("u")) / det).alias("y"))
+
+
+#: Pixels ahead and aside, and degrees, within which a fragment continues another (fixed values).
+AHEAD, ASIDE, TURN = 26.0, 5.0, 35.0
+
+
+def corridor_links(fragments: DataFrame, ahead: float = AHEAD, aside: float = ASIDE, turn: float = TURN) -> DataFrame:
+    """(a, b, a_end, b_end): ends of two fragments of which one lies in the corridor ahead of
+    the other, where both point about the same way. fragments: id, x0, y0, x1, y1 (its ends)
+    and ax, ay (its axis, a unit vector from the first end to the second)."""
+    c = F.col
+    two = F.array(F.struct(F.lit(0).alias("k"), c("x0").alias("x"), c("y0").alias("y"), (-c("ax")).alias("ox"), (-c("ay")).alias("oy")), F.struct(F.lit(1).alias("k"), c("x1").alias("x"), c("y1").alias("y"), c("ax").alias("ox"), c("ay").alias("oy")))
+    ends = fragments.select("id", "ax", "ay", F.explode(two).alias("e")).select("id", "ax", "ay", "e.*")
+    near = radius_join(ends, ends, ahead).where("id <> r_id")
+    dx, dy = c("r_x") - c("x"), c("r_y") - c("y")
+    forward, side = dx * c("ox") + dy * c("oy"), F.abs(dy * c("ox") - dx * c("oy"))
+    held = near.where((forward > 0) & (forward <= ahead) & (side <= aside) & (F.abs(c("ax") * c("r_ax") + c("ay") * c("r_ay")) >= F.cos(F.radians(F.lit(float(turn))))))
+    swap = c("id") > c("r_id")
+    pick = lambda p, q: F.when(swap, c(q)).otherwise(c(p))
+    return held.select(pick("id", "r_id").alias("a"), pick("r_id", "id").alias("b"), pick("k", "r_k").alias("a_end"), pick("r_k", "k").alias("b_end")).distinct()
+
+
+#: Pixels between characters of a line and of their baselines, and the share by which heights
+#: may differ (fixed values).
+GAP, BASELINE, HEIGHT_SHARE = 70.0, 5.0, 0.30
+
+
+def without_line_neighbours(boxes: DataFrame, sheet: str, gap: float = GAP, baseline: float = BASELINE, share: float = HEIGHT_SHARE) -> DataFrame:
+    """Boxes (sheet, id, x0, y0, x1, y1; y1 the foot) beside which no other stands as the next
+    character would: close, on the same baseline, of about the same height. Boxes are dealt
+    to the cells that they and the gap around them cover."""
+    at = lambda c, size: F.floor(c / size).cast("long")
+    c, p = F.col, "o_"
+    other = boxes.select(*[F.col(n).alias(p + n) for n in (sheet, "id", "x0", "y0", "x1", "y1")])
+    other = other.withColumn("_cx", F.explode(F.sequence(at(c(p + "x0"), gap), at(c(p + "x1"), gap)))).withColumn("_cy", at(c(p + "y1"), baseline))
+    own = boxes.withColumn("_cx", F.explode(F.sequence(at(c("x0") - gap, gap), at(c("x1") + gap, gap)))).withColumn("_dy", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn("_cy", at(c("y1"), baseline) + c("_dy"))
+    height = c("y1") - c("y0")
+    beside = F.greatest(c(p + "x0") - c("x1"), c("x0") - c(p + "x1")) <= gap
+    level = F.abs(c(p + "y1") - c("y1")) <= baseline
+    alike = F.abs((c(p + "y1") - c(p + "y0")) - height) <= share * height
+    met = own.join(other, (own["_cx"] == other["_cx"]) & (own["_cy"] == other["_cy"]) & (own[sheet] == other[p + sheet]) & (own["id"] != other[p + "id"]) & beside & level & alike, "left_semi")
+    return boxes.join(met.select(sheet, "id").distinct(), [sheet, "id"], "left_anti")
+
+
+def linked_runs(fragments: DataFrame, passes: int = 3) -> DataFrame:
+    """id, members, x0, y0, x1, y1, ax, ay: fragments joined into runs. Each pass links what the
+    corridors join, and a run's longer axis lets the next pass link ends that a dash alone
+    could not orient; it ends when a pass finds no new link. What a pass hands on is one
+    row a run."""
+    c = F.col
+    state = fragments.select("id", F.lit(1).cast("long").alias("members"), "x0", "y0", "x1", "y1", "ax", "ay")
+    for _ in range(passes):
+        state = materialise(state)
+        links = materialise(corridor_links(state))
+        if not links.limit(1).count():
+            break
+        run = state.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left").withColumn("run", F.coalesce("component", "id"))
+        ends = run.select("run", "members", F.explode(F.array(F.struct(c("x0").alias("x"), c("y0").alias("y"), F.lit(1).alias("first")), F.struct(c("x1").alias("x"), c("y1").alias("y"), F.lit(0).alias("first")))).alias("e")).select("run", "members", "e.*")
+        axis = ends.groupBy("run").agg((F.lit(0.5) * F.atan2(2 * F.covar_pop("x", "y"), F.var_pop("x") - F.var_pop("y"))).alias("t"), F.sum(c("members") * c("first")).alias("n"))
+        along = ends.join(axis, "run").withColumn("u", c("x") * F.cos("t") + c("y") * F.sin("t"))
+        far = F.struct("u", "x", "y")
+        state = along.groupBy("run").agg(F.first("n").alias("members"), F.min(far).alias("p"), F.max(far).alias("q"))
+        dx, dy = c("q.x") - c("p.x"), c("q.y") - c("p.y")
+        size = F.sqrt(dx * dx + dy * dy)
+        unit = lambda d: F.when(size > 0, d / size).otherwise(0.0)
+        state = state.select(c("run").alias("id"), c("members").cast("long").alias("members"), c("p.x").alias("x0"), c("p.y").alias("y0"), c("q.x").alias("x1"), c("q.y").alias("y1"), unit(dx).alias("ax"), unit(dy).alias("ay"))
+    return state

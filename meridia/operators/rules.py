@@ -46,3 +46,8 @@ def layer_score(weights: Column, factor: Column) -> Column:
     """Mean weight of the known layers, times a factor; null if none is known."""
     known = F.filter(weights, lambda w: w.isNotNull())
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, w: a + w) / F.size(known) * factor)
+
+
+def gate(provisional: Column, confident: Column) -> Column:
+    """Whether a row may be used: not provisional, and confident; null counts against it."""
+    return ~F.coalesce(provisional, F.lit(True)) & F.coalesce(confident, F.lit(False))

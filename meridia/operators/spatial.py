@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
+from meridia.operators.shared import connected_components
 
 
 def point_in_units(points: DataFrame, units: DataFrame, cell: float) -> DataFrame:
@@ -19,8 +20,10 @@ def point_in_units(points: DataFrame, units: DataFrame, cell: float) -> DataFram
     dealt = units.withColumn("_cx", F.explode(F.sequence(at(F.array_min(xs)), at(F.array_max(xs))))).withColumn("_cy", F.explode(F.sequence(at(F.array_min(ys)), at(F.array_max(ys)))))
     p = points.withColumns({"_cx": at(F.col("x")), "_cy": at(F.col("y"))})
     hit = F.when(geo.in_ring(F.col("x"), F.col("y"), F.col("ring")), F.struct("place", "unit"))
-    own = [F.first(c).alias(c) for c in points.columns if c != "id"]
-    return p.join(dealt, ["_cx", "_cy"], "left").groupBy("id").agg(F.min(hit).alias("_h"), *own).withColumn("unit", F.col("_h.unit")).drop("_h")
+    # by row, so that rows of one id each keep their own place
+    rows = p.withColumn("_row", F.struct(*points.columns))
+    found = rows.select("_row", "_cx", "_cy", "x", "y").distinct().join(dealt, ["_cx", "_cy"]).groupBy("_row").agg(F.min(hit).alias("_h"))
+    return rows.join(found, "_row", "left").withColumn("unit", F.col("_h.unit")).select(*points.columns, "unit")
 
 
 def lattice_coverage(boxes: DataFrame, west: float, south: float, columns: int, rows: int, step: float) -> DataFrame:
@@ -102,26 +105,9 @@ def one_hop(candidates: DataFrame, grounded: DataFrame, edges: DataFrame, least:
     return candidates.join(grounded.select("id"), "id", "left_anti").join(held.where(F.col("support") >= least), "id")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, component): the least label reaches all. Labels jump to their label's label
-    each round, so rounds grow with the logarithm of a chain's length; each round is cut
-    off by checkpoint(), and a count of changes is all that the driver sees."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("l", F.col("node"))
-    for _ in range(most_rounds):
-        least = both.join(label, both["b"] == label["node"]).groupBy(both["a"].alias("node")).agg(F.min("l").alias("m"))
-        step = label.join(least, "node").select("node", F.least("l", "m").alias("l"), F.col("l").alias("was"))
-        jump = step.join(step.select(F.col("node").alias("l"), F.col("l").alias("ll")), "l").select("node", F.least("l", "ll").alias("l"), "was").checkpoint()
-        changed = jump.where("l <> was").limit(1).count()
-        label = jump.select("node", "l")
-        if not changed:
-            break
-    return label.select("node", F.col("l").alias("component"))
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of edges (a, b): the least node reachable, however far."""
+    return connected_components(edges, "a", "b")
 
 
 def colours(edges: DataFrame, group: str) -> DataFrame:

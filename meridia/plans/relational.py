@@ -103,16 +103,16 @@ def q_conditional_counts(spark, d):
     return t(spark, d, "lineitem").groupBy("l_linestatus").agg(F.count_if(F.col("l_discount") > 0.05).alias("deep"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3, round(sqrt(avg(l_tax * l_tax)), 9) AS rms, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3, round(sqrt(avg(l_tax * l_tax)), 9) AS rms, max(abs(l_tax)) AS worst, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY l_returnflag")
 def q_stats(spark, d):
     p = F.percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), p.alias("p"), F.round(F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))), 9).alias("rms"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
-    return out.select("l_returnflag", "n", "mean", F.col("p")[1].alias("median"), F.col("p")[0].alias("q1"), F.col("p")[2].alias("q3"), "rms", "low", "high")
+    out = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), p.alias("p"), F.round(F.sqrt(F.avg(F.col("l_tax") * F.col("l_tax"))), 9).alias("rms"), F.max(F.abs("l_tax")).alias("worst"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+    return out.select("l_returnflag", "n", "mean", F.col("p")[1].alias("median"), F.col("p")[0].alias("q1"), F.col("p")[2].alias("q3"), "rms", "worst", "low", "high")
 
 
 @query("SELECT l_suppkey, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey")
 def q_upper_median(spark, d):
-    return t(spark, d, "lineitem").groupBy("l_suppkey").agg(agg.upper_median("l_extendedprice").alias("upper_median"))
+    return agg.upper_median(t(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice")
 
 
 @query("SELECT class, count(*) AS n FROM (SELECT CAST(1 + len(list_filter((SELECT quantile_cont(c_acctbal, [1/7.0::DOUBLE, 2/7.0::DOUBLE, 3/7.0::DOUBLE, 4/7.0::DOUBLE, 5/7.0::DOUBLE, 6/7.0::DOUBLE]) FROM customer), lambda b: b < c_acctbal)) AS INT) AS class FROM customer) GROUP BY class")

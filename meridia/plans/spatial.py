@@ -101,11 +101,7 @@ def q_radius_pairs(spark, d):
 @query(" UNION ALL ".join(f"""SELECT {r}.0::DOUBLE AS radius, count(*) FILTER (WHERE k = 1) AS matched, (SELECT count(*) FROM customer) - count(*) FILTER (WHERE k = 1) AS early_only, (SELECT count(*) FROM supplier) - count(*) FILTER (WHERE k = 1) AS late_only FROM (SELECT *, row_number() OVER (PARTITION BY late ORDER BY dist, id) AS k FROM
 (SELECT c.id, s.id AS late, sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) AS dist, row_number() OVER (PARTITION BY c.id ORDER BY dist, s.id) AS n FROM ({_CUST}) c JOIN ({_SUPP}) s ON sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) <= {r}) WHERE n = 1)""" for r in (1, 3, 6)))
 def q_greedy_match(spark, d):
-    out = None
-    for r in (1.0, 3.0, 6.0):
-        part = joins.match_counts(_cust(spark, d), _supp(spark, d), r)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return joins.match_counts(_cust(spark, d), _supp(spark, d), (1.0, 3.0, 6.0))
 
 
 @query("""WITH g AS (SELECT DISTINCT CAST(s_nationkey AS INT) AS k, s_acctbal AS g FROM supplier), c AS (SELECT c_custkey, c_nationkey, c_acctbal FROM customer)
@@ -113,7 +109,7 @@ SELECT c_custkey, nearest, round(abs(c_acctbal - nearest), 6) AS distance FROM (
 def q_nearest_1d(spark, d):
     c = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k"), "c_acctbal")
     g = t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("g"))
-    return joins.nearest_1d(c, g, "c_acctbal", "g", ["k"]).select("c_custkey", "nearest", F.round("distance", 6).alias("distance"))
+    return joins.nearest_1d(c, g, "c_acctbal", "g", 500.0, ["k"]).select("c_custkey", "nearest", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""WITH p AS (SELECT c.id, s.id % 7 AS e, min(sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2))) AS d FROM ({_CUST}) c JOIN ({_SUPP}) s ON sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) <= 12 GROUP BY c.id, s.id % 7), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, e) AS n FROM p)
@@ -214,28 +210,37 @@ def q_shoelace_inset(spark, d):
     return _boxes(_cust(spark, d), 5).withColumn("r", ring).select("id", F.round(geo.shoelace(c("r")), 6).alias("area"), F.round(geo.shoelace(geo.inset(c("r"), 0.25)), 6).alias("inner_area"))
 
 
-_EDGE = "SELECT s_suppkey AS a, s_suppkey + 7 AS b FROM supplier WHERE s_suppkey % 5 <> 0"
+# A supplier and a part that meet on a line of more than 48 pieces are linked; suppliers are
+# numbered below zero, parts from zero on.
+_EDGE = "SELECT DISTINCT -l_suppkey - 1 AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 48"
 
 
 def _edges(spark, d):
-    k = F.col("s_suppkey")
-    return t(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(k.alias("a"), (k + 7).alias("b"))
+    return t(spark, d, "lineitem").where("l_quantity > 48").select((-F.col("l_suppkey") - 1).alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
-@query(f"WITH RECURSIVE e AS ({_EDGE}), z AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS node, a AS other FROM z UNION SELECT r.node, z.b FROM r JOIN z ON r.other = z.a) SELECT node, min(other) AS component FROM r GROUP BY node")
+@query(None)
 def q_components(spark, d):
+    # no SQL: a recursion over all pairs of a large component is too slow
     return sp.components(_edges(spark, d))
 
 
-@query(f"WITH e AS ({_EDGE}), z AS (SELECT a, b FROM e UNION SELECT b, a FROM e), g AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0) SELECT z.a AS id, count(*) AS support FROM z JOIN g ON z.b = g.id JOIN supplier s ON s.s_suppkey = z.a WHERE z.a NOT IN (SELECT id FROM g) GROUP BY z.a HAVING count(*) >= 2")
+_GROUNDED = "SELECT DISTINCT -l_suppkey - 1 AS id FROM lineitem WHERE l_quantity > 49"
+
+
+@query(f"WITH e AS ({_EDGE}), z AS (SELECT a, b FROM e UNION SELECT b, a FROM e), g AS ({_GROUNDED}), nodes AS (SELECT DISTINCT a AS id FROM z) SELECT z.a AS id, count(*) AS support FROM z JOIN g ON z.b = g.id JOIN nodes ON nodes.id = z.a WHERE z.a NOT IN (SELECT id FROM g) GROUP BY z.a HAVING count(*) >= 2")
 def q_one_hop(spark, d):
-    all_nodes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    return sp.one_hop(all_nodes, all_nodes.where("id % 2 = 0"), _edges(spark, d)).select("id", "support")
+    edges = _edges(spark, d)
+    nodes = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    grounded = t(spark, d, "lineitem").where("l_quantity > 49").select((-F.col("l_suppkey") - 1).alias("id")).distinct()
+    return sp.one_hop(nodes, grounded, edges).select("id", "support")
 
 
 @query(None)
 def q_colouring(spark, d):
-    return sp.colours(_edges(spark, d).withColumn("sheet", F.col("a") % 3), "sheet")
+    # no SQL: the greedy order is sequential; a sheet is a nation's suppliers and their parts
+    nation = t(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("a"), F.col("s_nationkey").alias("sheet"))
+    return sp.colours(_edges(spark, d).join(nation, "a"), "sheet")
 
 
 @query(None)
