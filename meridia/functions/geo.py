@@ -72,17 +72,18 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def inset(ring: Column, metres: float) -> Column:
-    """Corners moved towards their mean by a length, no further than the mean."""
+    """A ring drawn in towards its corners' mean by about a length: all corners by the same
+    share, that of the length in their mean distance. A ring no larger stays as it is."""
     n = F.size(ring)
-    mean = F.aggregate(ring, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda t, p: F.struct((t["x"] + p["x"]).alias("x"), (t["y"] + p["y"]).alias("y")))
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    total = F.aggregate(ring, zero, lambda t, p: F.struct((t["x"] + p["x"]).alias("x"), (t["y"] + p["y"]).alias("y")))
 
-    def move(p):
-        dx, dy = mean["x"] / n - p["x"], mean["y"] / n - p["y"]
-        far = F.sqrt(dx * dx + dy * dy)
-        f = F.when(far > 0, F.least(F.lit(1.0), F.lit(float(metres)) / far)).otherwise(0.0)
-        return F.struct((p["x"] + dx * f).alias("x"), (p["y"] + dy * f).alias("y"))
+    def drawn(mean: Column) -> Column:
+        far = F.aggregate(ring, F.lit(0.0), lambda t, p: t + F.hypot(p["x"] - mean["x"], p["y"] - mean["y"])) / n
+        part = F.when(far > metres, 1 - F.lit(float(metres)) / far).otherwise(1.0)
+        return F.transform(ring, lambda p: F.struct((mean["x"] + (p["x"] - mean["x"]) * part).alias("x"), (mean["y"] + (p["y"] - mean["y"]) * part).alias("y")))
 
-    return F.transform(ring, move)
+    return _let(F.struct((total["x"] / n).alias("x"), (total["y"] / n).alias("y")), drawn)
 
 
 def apply_affine(m, x: Column, y: Column) -> tuple[Column, Column]:

@@ -168,7 +168,32 @@ def q_principal_axis(spark, d):
     return e.groupBy("event_type").agg(F.round(agg.principal_axis(F.col("value"), F.col("x")), 9).alias("angle"))
 
 
-@query(None)
+def _lambert_sql() -> str:
+    """The projection of points, as SQL: geodetic to geocentric metres, the datum's shift, back
+    by five rounds, and the cone, written from the formulas' published form."""
+    import math
+
+    z, e2w = geo.NORTH, (2 - 1 / geo.WGS_RF) / geo.WGS_RF
+    e2 = (2 - 1 / z.rf) / z.rf
+    e, p = math.sqrt(e2), math.radians(z.lat0)
+    iso0 = math.tan(math.pi / 4 - p / 2) * ((1 + e * math.sin(p)) / (1 - e * math.sin(p))) ** (e / 2)
+    grand = z.a / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    r0 = z.k0 * grand / math.tan(p)
+    d = lambda v: f"{v!r}::DOUBLE"
+    rounds, last = "", "atan2(z, q * (1 - " + d(e2) + "))"
+    for k in range(5):
+        rounds += f", f{k} AS (SELECT *, {last} AS l{k} FROM {'s' if not k else f'f{k - 1}'})"
+        last = f"atan2(z + {d(e2)} * ({d(z.a)} / sqrt(1 - {d(e2)} * pow(sin(l{k}), 2))) * sin(l{k}), q)"
+    rounds += f", g AS (SELECT id, atan2(y, x) AS lon, {last} AS lat FROM f4)"
+    iso = f"tan(pi() / 4 - lat / 2) * pow((1 + {d(e)} * sin(lat)) / (1 - {d(e)} * sin(lat)), {d(e / 2)})"
+    n = math.sin(p)
+    return f"""WITH a AS (SELECT id, radians(8 + x / 40) AS lon, radians(34.5 + y / 40) AS lat FROM ({_CUST})), m AS (SELECT *, {d(geo.WGS_A)} / sqrt(1 - {d(e2w)} * pow(sin(lat), 2)) AS v FROM a),
+s AS (SELECT *, sqrt(x * x + y * y) AS q FROM (SELECT id, v * cos(lat) * cos(lon) - ({z.shift[0]}) AS x, v * cos(lat) * sin(lon) - ({z.shift[1]}) AS y, v * (1 - {d(e2w)}) * sin(lat) - ({z.shift[2]}) AS z FROM m)){rounds},
+c AS (SELECT id, {d(r0)} * pow(({iso}) / {d(iso0)}, {d(n)}) AS r, {d(n)} * (lon - {d(math.radians(z.lon0))}) AS t FROM g)
+SELECT id, round({d(z.east0)} + r * sin(t), 3) AS easting, round({d(z.north0)} + {d(r0)} - r * cos(t), 3) AS northing, true AS returns FROM c"""
+
+
+@query(_lambert_sql())
 def q_lambert(spark, d):
     p = _cust(spark, d).select("id", (F.lit(8.0) + F.col("x") / 40).alias("lon"), (F.lit(34.5) + F.col("y") / 40).alias("lat"))
     p = p.withColumn("g", geo.project(F.col("lon"), F.col("lat"), geo.NORTH)).withColumn("back", geo.unproject(F.col("g.x"), F.col("g.y"), geo.NORTH))

@@ -8,9 +8,9 @@ def test_csv_and_geojson(spark, tmp_path):
     df = spark.createDataFrame([("1", None, 'a "b" | c'), ("2", "x", "")], "id string, v string, t string")
     tables.write_csv(df, str(tmp_path / "c"), ["id", "v", "t"])
     assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "c"), ["id", "v", "t"]).collect()))[0] == ("1", None, 'a "b" | c')
-    f = tables.geojson_features(spark.createDataFrame([(1.5, 2.5, "n")], "x double, y double, name string"), "x", "y", ["name"]).first()[0]
+    f = tables.geojson_features(spark.createDataFrame([(1.5, 2.5, "n")], "x double, y double, name string"), tables.point_geometry("x", "y"), ["name"]).first().value
     (tmp_path / "g.json").write_text('{"type":"FeatureCollection","features":[' + f + "]}")
-    assert tuple(tables.read_geojson(spark, str(tmp_path / "g.json"), "struct<name:string>").first())[:3] == ("n", 1.5, 2.5)
+    assert tuple(tables.read_geojson(spark, str(tmp_path / "g.json"), "struct<name:string>").first())[:4] == ("n", "Point", 1.5, 2.5)
     (tmp_path / "k.json").write_text('{"a":{"n":1},"b":{"n":null}}')
     keyed = tables.read_keyed_json(spark, str(tmp_path / "k.json"), "id", "struct<n:int>")
     assert sorted(map(tuple, keyed.collect())) == [("a", 1), ("b", None)]
