@@ -1,75 +1,63 @@
-"""What the operators of this subpackage share: scratch tables, joins on keys that
-may hold a third of all rows, and distributed connected components."""
+"""What the operators of this subpackage share: row keys, words, and the tables they write."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What separates words everywhere here: space and \t \n \v \f \r.
-WORD = r"[^\x20\x09-\x0D]+"
+from meridia.operators import shared
+from meridia.operators.shared import connected_components, discard, skew_join
 
+__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "fields", "restored", "semi_join_null_safe", "text_or_empty", "table"]
 
-#: The column of with_row_key.
-ROW = "_row"
+#: What separates words everywhere here: space and \t \n \v \f \r.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Where it is unset, a temporary folder will
-    do for a session of one process (as in tests) and for no other."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="meridia-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: The columns of with_row_key.
+ROW, DOC = "_row", "_doc"
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Writes df to a table in the shared folder and reads it back: lineage ends here, and a
-    lost executor costs no more than the files' next read. The table's path comes with it."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/meridia/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+_recorders: list[list[str]] = []
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """As stored, for a table that stays: what comes of it may still be read."""
-    return stored(df)[0]
+    """df written to the shared folder and read back."""
+    out, path = shared.stored(df)
+    for made in _recorders:
+        made.append(path)
+    return out
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a stored table from which nothing will be read again."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that materialise writes meanwhile."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Equi-join (null keys match) whose left rows may crowd on one key.
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """_row, another number for every row, that stays as it is written, and _doc, a struct of
+    docs' own columns, whose names can so clash with none."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*docs.columns).alias(DOC)))
 
-    ``right`` has one row a key, and is often an aggregate that Spark would leave
-    partitioned by the key, so that a crowded key could not be split. The added hash
-    key makes both sides exchange for this join, and adaptive execution then splits
-    the crowded partition by map output."""
-    mixed = F.xxhash64(*keys, F.lit(7))
-    a = left.withColumn("_jk", mixed)
-    b = right.select(mixed.alias("_rk"), *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = a["_jk"] == b["_rk"]
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[f"_r_{k}"])
-    return a.join(b, on, how).drop("_jk", "_rk", *[f"_r_{k}" for k in keys])
 
+def fields(keyed: DataFrame, *names: str) -> DataFrame:
+    """_row and some of the columns of a keyed table; no others are read."""
+    return keyed.select(ROW, *[F.col(f"{DOC}.{n}").alias(n) for n in names])
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with a column _row, another number for every row, that stays as it is written."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+def restored(keyed: DataFrame) -> DataFrame:
+    """docs' own columns of a keyed table."""
+    return keyed.select(f"{DOC}.*")
 
 
 def semi_join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -78,38 +66,6 @@ def semi_join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return left.join(b, left[key].eqNullSafe(b["_rk"]), "left_semi")
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) for every node on an edge; component is the smallest node
-    reachable. Alternates large-star and small-star steps, each a partial minimum by
-    node and a join, until the edges stop changing. Nothing is collected but a count
-    and a checksum a round. Self-loops and nulls are ignored."""
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    spark = edges.sparkSession
-    state, path = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(hi.alias("u"), lo.alias("v")).distinct())
-
-    def mark(df: DataFrame):
-        # the sum is taken modulo 2^64 by way of decimal to keep ANSI mode from overflowing
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = mark(state)
-    while before[0]:
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = skew_join(both.where("v > u"), least, ["u"], "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = skew_join(large, least, ["u"], "inner")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        last = path
-        state, path = stored(small)
-        now = mark(state)
-        discard(spark, last)
-        if tuple(now) == tuple(before):
-            break
-        before = now
-    roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

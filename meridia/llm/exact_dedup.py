@@ -9,7 +9,8 @@ each distinct chunk once a map task, and never again.
 Defined cases: a null text is empty; an empty text has the empty recipe, so all empty
 texts are equal; a null doc_id loses against any other; rows that repeat both doc_id and
 text count in group_size and all carry the same decision, but drop_exact_copies leaves
-one row of a group, whatever the ids; other columns are left alone.
+one row of a group, whatever the ids; no documents: no rows; other columns, whatever
+their names, are left alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, materialise, semi_join_null_safe, skew_join, with_row_key
+from meridia.llm.common import ROW, fields, materialise, restored, semi_join_null_safe, skew_join, with_row_key
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 16384, 11
 DIGEST = 16
@@ -157,5 +158,5 @@ def drop_exact_copies(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
     """docs with one row of each group, one that has the group's greatest doc_id; rows and
     columns otherwise as they are."""
     keyed = with_row_key(docs)
-    best = _contents(keyed, digest_bytes, ROW).groupBy("recipe", "patch").agg(F.max(F.struct("doc_id", ROW)).alias("best"))
-    return semi_join_null_safe(keyed, best.select(f"best.{ROW}"), ROW).select(*docs.columns)
+    best = _contents(fields(keyed, "doc_id", "text"), digest_bytes, ROW).groupBy("recipe", "patch").agg(F.max(F.struct("doc_id", ROW)).alias("best"))
+    return restored(semi_join_null_safe(keyed, best.select(f"best.{ROW}"), ROW))

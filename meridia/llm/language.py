@@ -15,7 +15,8 @@ split a crowded host. A page's own share is taken out of its host's and domain's
 
 Defined cases: null html or url is empty; a page without visible text keeps the other
 evidence; no labelled documents: one language, ``und``; repeated rows count each; a tie
-goes to the language that comes first by code point; extra columns are left alone.
+goes to the language that comes first by code point; html of any length is read whole; no
+pages: no rows; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

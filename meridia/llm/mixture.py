@@ -14,7 +14,8 @@ is above. The rounds are small aggregates over the sources; only two sums reach
 
 Defined cases: a null text has size 0; documents of size 0 count but are never taken; no
 words at all: targets are 0; rows of equal doc_id hash alike and then go by size, so a
-rerun takes the same number of them; other columns are left alone.
+rerun takes the same number of them; a text of any length counts whole; no documents: no
+rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, WORD, materialise, skew_join, with_row_key
+from meridia.llm.common import ROW, WORD, fields, materialise, restored, skew_join, with_row_key
 
 WEIGHTS, TOTAL, CAP, SEED = (5, 2, 1), 1.5, 2, 42
 #: Words that are left to the dynamic programme, and rows of a hash bucket.
@@ -143,6 +144,5 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a document taken twice is there twice, one not taken
     is not. Columns are docs'. Each row is there by its own copies, whatever its doc_id."""
     keyed = with_row_key(docs)
-    taken = mix(keyed, keys=[ROW]).where("taken > 0").select(ROW, F.col("copies").alias("_copies"))
-    joined = keyed.join(taken, ROW, "inner")
-    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    taken = mix(fields(keyed, "doc_id", "source", "text"), keys=[ROW]).where("taken > 0").select(ROW, F.col("copies").cast("int").alias("copies"))
+    return restored(keyed.join(taken, ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))

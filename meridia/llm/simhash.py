@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, connected_components, materialise, semi_join_null_safe, skew_join, with_row_key
+from meridia.llm.common import ROW, connected_components, fields, materialise, restored, semi_join_null_safe, skew_join, with_row_key
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
 #: Bit blocks as (first bit, width); a pair within LIMIT bits agrees on BLOCKS - LIMIT of them.
@@ -277,7 +277,7 @@ def drop_near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:
     last. Rows are linked by a key of their own, so rows without a doc_id are linked as well."""
     keyed = with_row_key(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)).alias("first")
-    distinct = materialise(signatures(keyed).groupBy("fp", "least").agg(first).withColumn("id", F.col(f"first.{ROW}")))
+    distinct = materialise(signatures(fields(keyed, "doc_id", "text")).groupBy("fp", "least").agg(first).withColumn("id", F.col(f"first.{ROW}")))
     parts = connected_components(near_links(distinct.select("fp", "least", "id"), cell), "a", "b").select(F.col("node").alias("id"), "component")
     stays = distinct.select("id", "first").join(parts, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("first"))
-    return semi_join_null_safe(keyed, stays.select(f"first.{ROW}"), ROW).select(*docs.columns)
+    return restored(semi_join_null_safe(keyed, stays.select(f"first.{ROW}"), ROW))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, materialise, with_row_key
+from meridia.llm.common import ROW, fields, materialise, with_row_key
 
 K, EVERY, SCALE = 5, 50, 256
 DIMENSIONS, QUERY_BLOCK, CANDIDATE_BLOCK, PASS_BYTES, SEED_ROWS = 16, 1024, 4096, 48 << 20, 512
@@ -194,7 +194,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score for each query; see the module's text."""
     spark = vectors.sparkSession
     # a row keeps its number in every scan
-    all_vectors = usable(with_row_key(vectors.select("vec_id", "embedding")))
+    all_vectors = usable(fields(with_row_key(vectors.select("vec_id", "embedding")), "vec_id", "embedding"))
     seeds = spark.sparkContext.broadcast(Seeds.of(all_vectors.select("vec_id", "q").limit(SEED_ROWS).collect()))
     blocks = materialise(all_vectors.where(F.col("vec_id") % every == 0).select("vec_id", "q").mapInArrow(_packer(seeds, k), "block binary, bytes long"))
     blocks = materialise(blocks.withColumn("number", F.monotonically_increasing_id()))

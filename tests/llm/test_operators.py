@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 from itertools import combinations
 
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from meridia.llm import bpe, chat, exact_dedup, language, mixture, pii, quality, simhash, topk, url_filter
-from meridia.llm.common import connected_components
+from meridia.operators.shared import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
 
@@ -168,8 +169,6 @@ def test_fit_budget():
 
 
 def test_pii_base():
-    import re
-
     r = random.Random(13)
     alphabet = "a1.@+-% 4()255,Z_é"
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -552,3 +551,184 @@ def test_quality_never_learns_from_held_out_rows(spark):
         scores.append({r.doc_id: r.score for r in got})
     assert scores[0] == scores[1] and all((scores[0][i] >= 0.3) == (i % 2 == 1) for i in out)
     assert quality.score_documents(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
+
+
+def _majority(text, n, bits):
+    """A fingerprint and shingles by plain loops, apart from the operator's code."""
+    import xxhash
+
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = [x for x in re.split("[ \\t\\n\\x0b\\x0c\\r]+", low) if x]
+    shingles = [" ".join(w[k : k + n]) for k in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(bits) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), set(shingles)
+
+
+def test_simhash_fingerprint():
+    for k, t in enumerate([*TEXTS, *(words(n, n) for n in range(1, 30)), "É a\x0bB\x85c d"]):
+        assert simhash.fingerprint((t or "").encode()) == _majority(t, 3, 64)[0], k
+
+
+def test_simhash_pivots_discard():
+    """The pivot tables lose no near pair and leave few others, counted before and after."""
+    import numpy as np
+
+    r = np.random.default_rng(53)
+    fps = r.integers(0, 2**63, 600, dtype=np.uint64)
+    near = fps[:40] ^ (np.uint64(1) << r.integers(0, 60, 40).astype(np.uint64))
+    rows = np.concatenate([fps, near])[:, None]
+    tally = simhash.Tally()
+    got = {(int(i), int(j)) for a, b, _ in simhash.near_pairs(rows, tally=tally) for i, j in zip(a, b, strict=True)}
+    want = {(i, j) for i, j in combinations(range(640), 2) if int(rows[i, 0] ^ rows[j, 0]).bit_count() <= 3}
+    assert got == want and tally.pairs == 640 * 639 // 2 and tally.near == len(want) >= 40
+    assert tally.left < tally.pairs / 1000 + 2 * tally.near
+    # pivots from the members: crowds around two texts fall apart
+    wide = r.integers(0, 2**63, (2, 8), dtype=np.uint64)
+    crowd = np.concatenate([wide[k] ^ (np.uint64(1) << r.integers(0, 60, (200, 8)).astype(np.uint64)) for k in (0, 1)])
+    tally = simhash.Tally()
+    assert sum(len(x[0]) for x in simhash.near_pairs(crowd, simhash.expected_bits(), pivots=simhash.members(crowd), tally=tally)) == 2 * (200 * 199 // 2)
+    assert tally.left == tally.near and tally.pairs > 2 * tally.left - 400
+
+
+def _edited(text, n, seed):
+    r, w = random.Random(seed), text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies_against_brute_force(spark):
+    """Pairs of similarity 0.8 or more, five words, by sets: at least nine in ten lose one;
+    rows that are like no other stay. Crowded cells are split without losing any."""
+    r = random.Random(59)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    passage = text(60)
+    bases = [text(r.choice([60, 150, 400])) for _ in range(60)]
+    texts = [*bases, *(_edited(b, r.choice([1, 2, 4]), k) for k, b in enumerate(bases)), *(passage + " " + text(80) for _ in range(60)), "", "one two", "One  two"]
+    sets = [_majority(t, 5, 1)[1] for t in texts]
+    like = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    pairs = [(i, j) for i, j in combinations(range(len(texts)), 2) if sets[i] and like(i, j) >= 0.8]
+    best = {i: max(like(i, j) for j in range(len(texts)) if j != i) for i in range(len(texts))}
+    df = docs(spark, texts).withColumn("_row", F.lit(1)).withColumn("id", F.lit("clash"))
+    for cell in (2048, 16):
+        out = simhash.drop_near_copies(df, cell)
+        kept = {x.doc_id for x in out.collect()}
+        assert out.columns == df.columns
+        caught = sum(not (i in kept and j in kept) for i, j in pairs)
+        assert len(pairs) > 30 and caught >= 0.9 * len(pairs)
+        assert all(i in kept for i in best if best[i] < 0.6)
+    assert simhash.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_language_fusion(spark):
+    """The posterior by plain loops on pages whose evidence conflicts, and accuracy apart from
+    the rows that were learned from."""
+    import math
+
+    import numpy as np
+
+    texts = {"en": "the house and the garden of the king with", "fr": "la maison et le jardin du roi avec une", "de": "das haus und der garten des koenigs mit einer"}
+    r = random.Random(61)
+    made = lambda lang, n: " ".join(r.choice(texts[lang].split()) for _ in range(n))
+    train = spark.createDataFrame([(k, made(lang, 60), lang) for k, lang in enumerate(list(texts) * 12)], "doc_id long, text string, lang string")
+    hosts = {"en": "a.example.uk", "fr": "b.example.fr", "de": "c.other.de"}
+    pages, truth = [], {}
+    for k in range(90):
+        lang = list(texts)[k % 3]
+        truth[k] = lang
+        said = lang if r.random() < 0.8 else r.choice(list(texts))
+        pages.append((k, f"http://{hosts[lang if r.random() < 0.9 else 'en']}/{k}", f'<html lang="{said}"><p>{made(lang, r.choice([0, 1, 3, 30]))}</p>'))
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string")
+    got = {x.page_id: x for x in language.identify(df, train).collect()}
+    names, logs = language.fit_text(train)
+    rows = {x.page_id: x for x in language.evidence(df, names, logs).collect()}
+    host = {k: u.split("/")[2] for k, u, _ in pages}
+    domain, suffix = ({k: ".".join(h.split(".")[-n:]) for k, h in host.items()} for n in (2, 1))
+    p = {k: np.array(x.p) for k, x in rows.items()}
+    total = sum(p.values())
+    base = (total + 1) / (total.sum() + 3)
+
+    def given(value):
+        n = len(set(value.values()))
+        return {k: np.log((sum(p[j] for j in p if value[j] == v) + 1) / (total + n)) for k, v in value.items()}
+
+    log_declared, log_suffix = given({k: x.declared for k, x in rows.items()}), given(suffix)
+    for k in p:
+        in_domain = np.maximum(sum(p[j] for j in p if domain[j] == domain[k]) - p[k], 0)
+        d = (in_domain + language.KAPPA_DOMAIN * base) / (in_domain.sum() + language.KAPPA_DOMAIN)
+        in_host = np.maximum(sum(p[j] for j in p if host[j] == host[k]) - p[k], 0)
+        h = (in_host + language.KAPPA_HOST * d) / (in_host.sum() + language.KAPPA_HOST)
+        log = np.array(rows[k].loglik) + np.log(h) + log_declared[k] + log_suffix[k]
+        assert got[k].lang == names[int(log.argmax())] and math.isclose(got[k].probability, 1 / np.exp(log - log.max()).sum(), rel_tol=1e-9)
+    assert sum(got[k].lang == truth[k] for k in truth) >= 0.9 * len(truth)
+    assert sum(got[k].lang != rows[k].declared for k in truth) > 5
+
+
+def test_mixture_targets(spark):
+    """Targets against a plain loop: weights by code point, null last, capped and reshared."""
+    r = random.Random(67)
+    for _ in range(3):
+        size = {s: r.choice([5, 50, 500, 5000]) for s in ["b", "a", "é", "Z", None]}
+        rows = [(s, n) for s, n in size.items()]
+        order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+        weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+        goal, free, want = 1.5 * sum(size.values()), set(order), {}
+        while free:
+            share = (goal - sum(want.values())) / sum(weight[s] for s in free)
+            over = {s for s in free if weight[s] * share > 2 * size[s]}
+            want |= {s: 2.0 * size[s] for s in over} if over else {s: weight[s] * share for s in free}
+            free -= over or free
+        got = {x.source: x.target for x in mixture.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+
+
+def test_mixture_beyond_the_programme(spark):
+    # a budget far above the words left to the programme, one very long text, equal lengths
+    lengths, counts = [1, 7, 50, 900], [5000, 3000, 400, 40]
+    for budget in (50_000, 77_777, 3_999):
+        take = mixture.fit_budget(lengths, counts, budget)
+        assert all(0 <= a <= b for a, b in zip(take, counts, strict=True)) and sum(a * b for a, b in zip(take, lengths, strict=True)) == budget
+    texts = ["w " * 30_000, *("w w w" for _ in range(50)), *("w" for _ in range(20))]
+    df = docs(spark, texts, ["a"] * 41 + ["b"] * 30).withColumn("_copies", F.lit(3)).withColumn("size", F.lit("clash"))
+    out = mixture.mixed_documents(df)
+    assert out.columns == df.columns and out.count() == mixture.mix(df).agg(F.sum("copies")).first()[0]
+
+
+def test_exact_dedup_clashing_names(spark):
+    df = docs(spark, ["a", "A", "b"]).withColumn("_row", F.lit(1)).withColumn("recipe", F.lit("x")).withColumn("_doc", F.lit(2))
+    out = exact_dedup.drop_exact_copies(df)
+    assert out.columns == df.columns and sorted(x.doc_id for x in out.collect()) == [1, 2]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages over a small corpus with copies, repeated and null ids: each text group once
+    before the mix, caps and tokens after it."""
+    import corpus_pipeline
+
+    r = random.Random(71)
+    good = [words(80, 300 + k) + f" tail{k}" for k in range(40)]
+    bad = ["%%% ".join(words(60, 400 + k).upper().split()) for k in range(40)]
+    rows = [(k, t, "en", "ab"[k % 2], len(t)) for k, t in enumerate([*good, *bad])]
+    rows += [(7, good[3].upper(), "en", "a", 0), (7, good[3], "en", "b", 0), (None, good[5], "en", "a", 0), (None, good[6], "en", "a", 0), (200, good[8] + " x", "en", "b", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k < 40), 0) for k in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    at, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for k, (name, stage) in enumerate(stages.items()):
+        stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        at = spark.read.parquet(str(tmp_path / f"s{k}"))
+        seen[name] = at.collect()
+    texts = {name: [x.text for x in rows] for name, rows in seen.items() if "text" in rows[0].asDict()}
+    assert {t.lower() for t in texts["quality classifier"]} == {g.lower() for g in good} | {good[8] + " x"}
+    assert sorted(t.lower() for t in texts["exact dedup"]) == sorted({t.lower() for t in texts["quality classifier"]})
+    assert len(texts["simhash near-dedup"]) == 40 and set(texts["simhash near-dedup"]) <= set(texts["exact dedup"])
+    times = defaultdict(int)
+    for x in seen["mixture"]:
+        times[x.text] += 1
+    assert max(times.values()) <= 2 and set(times) <= set(texts["simhash near-dedup"])
+    total = sum(len(t.split()) for t in texts["simhash near-dedup"])
+    assert 1.5 * total - 4 <= sum(len(t.split()) * n for t, n in times.items()) <= 1.5 * total
+    assert len(seen["byte-level bpe"]) == len(seen["mixture"])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["byte-level bpe"])
