@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package with a QUERIES table: name -> (function, SQL or None).
-MODULES = ("catalogue", "coding", "records", "relational", "ordered", "spatial", "georeference", "sheets", "files")
+MODULES = ("catalogue", "coding", "records", "relational", "ordered", "spatial", "georeference", "sheets", "files", "readings")
 
 
 def _tables() -> dict:
