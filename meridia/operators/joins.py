@@ -147,7 +147,7 @@ def nearest_1d(left: DataFrame, right: DataFrame, x: str, grid: str, width: floa
         on = on & near[k].eqNullSafe(told[f"_k_{k}"])
     out = near.join(told, on, "left").withColumns({"_b": F.coalesce("_b", "_below"), "_a": F.coalesce("_a", "_above")})
     low = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("_x") - F.col("_b") <= F.col("_a") - F.col("_x")))
-    nearest = F.when(low, F.col("_b")).otherwise(F.col("_a"))
+    nearest = F.when(F.col("_x").isNotNull(), F.when(low, F.col("_b")).otherwise(F.col("_a")))
     return out.withColumn("nearest", nearest).withColumn("distance", F.abs(F.col("_x") - F.col("nearest"))).select(*left.columns, "nearest", "distance")
 
 

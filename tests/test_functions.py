@@ -61,3 +61,65 @@ def test_seven_towns(spark):
     assert (round(res.rms, 1), round(res.top, 1)) == (39.6, 55.6)
     loo = agg.leave_one_out(df, [], "lon", "lat", ["px", "py"]).agg(F.sqrt(F.avg(F.col("loo_error") ** 2))).first()[0]
     assert round(loo, 1) == 77.3
+
+
+def test_fold_against_unicode(spark):
+    """Composed, decomposed and compatible text folds as Unicode's decompositions say."""
+    import unicodedata
+
+    plain = lambda x, form: "".join(c for c in unicodedata.normalize(form, x) if not unicodedata.combining(c))
+    texts = ["été", "e\u0301te\u0301", "ÉTÉ", "ế Ǻ ǆ", "ﬁn ﬀ ½ ™ x² Ⅻ ｆｕｌｌ", "Ω й ё", "a\u0308\u0301b", "\U0001d400\U0001d41a", "ß ø ł", "ヴ", "", "日本 한국"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    got = df.select("k", text.fold(F.col("x")).alias("a"), text.strip_marks(F.col("x")).alias("b")).orderBy("k").collect()
+    for r, x in zip(got, texts, strict=True):
+        if "한" not in x:  # Hangul syllables stay composed
+            assert (r.a, r.b) == (plain(x.lower(), "NFKD"), plain(x, "NFD")), x
+
+
+def test_character_references(spark):
+    import html
+
+    texts = ["&eacute;&#233;&#xE9;&#XE9; &amp;amp; &lt;b&gt;", "&notit; &notin; &copy &copyx", "&#0; &#128; &#xD800; &#x110000; &#x1F600;", "a & b &; &#; &nbsp;| &unknown; &AMP", "no reference", "&hellip;&rsquo;&CounterClockwiseContourIntegral;"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, x string")
+    for r, x in zip(df.select("k", text.unescape(F.col("x")).alias("a")).orderBy("k").collect(), texts, strict=True):
+        assert r.a == html.unescape(x), x
+
+
+def test_linked_runs(spark):
+    """Dashes in two rows join into a run each; a turn and a far dash stay by themselves; a
+    second pass joins what the first could not orient."""
+    dashes = [(k, 24.0 * k, 0.1 * k, 24.0 * k + 12, 0.1 * k, 1.0, 0.0) for k in range(6)] + [(10 + k, 24.0 * k, 40.0, 24.0 * k + 12, 40.0, 1.0, 0.0) for k in range(4)]
+    dashes += [(20, 140.0, 5.0, 140.0, 17.0, 0.0, 1.0), (30, 500.0, 0.0, 512.0, 0.0, 1.0, 0.0)]
+    df = spark.createDataFrame(dashes, "id int, x0 double, y0 double, x1 double, y1 double, ax double, ay double")
+    got = {r.id: (r.members, round(r.x0), round(r.x1)) for r in joins.linked_runs(df).collect()}
+    assert got == {0: (6, 0, 132), 10: (4, 0, 84), 20: (1, 140, 140), 30: (1, 500, 512)}
+
+
+def test_components_of_a_long_chain(spark):
+    from meridia.operators import spatial
+
+    edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1200)]
+    got = dict(map(tuple, spatial.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1200)}
+
+
+def test_nearest_over_empty_cells(spark):
+    import random
+
+    r = random.Random(5)
+    left = [(k, r.choice("ab"), r.uniform(-500, 500)) for k in range(200)] + [(900, "c", 1.0), (901, "a", None)]
+    right = [(r.choice("ab"), float(r.choice([-400, -390, 0, 1, 333]))) for _ in range(30)]
+    a, b = spark.createDataFrame(left, "id int, g string, x double"), spark.createDataFrame(right, "g string, v double")
+    for x in joins.nearest_1d(a, b, "x", "v", 7.0, ["g"]).collect():
+        own = sorted({v for g, v in right if g == x.g})
+        want = min(own, key=lambda v: (abs(v - x.x), v)) if own and x.x is not None else None
+        assert x.nearest == want
+
+
+def test_parsers(spark):
+    r = one(
+        spark, a=text.best_reading(F.array(F.lit("short"), F.lit("the travaux"), F.lit("longest of all")), "travau", 6), b=text.prefix_class(F.lit("D'APRES x"), "d'apres", "compiled", "officers"), c=numbers.dimensions(F.lit("22 , 5 x 21,5 cm (carte), 900 x 800 mm")),
+        d=dates.bounds(F.array(F.lit("vers 1880"), F.lit("188."))), e=dates.bounds(F.array(F.lit("1..."))), f=numbers.dpi(F.lit(10), F.lit(20), F.lit(1), F.lit(2), F.lit("4")),
+    )
+    assert (tuple(r.a), r.b, tuple(r.c), tuple(r.d), r.e, r.f) == (("the tr", True), "compiled", (22.5, 21.5, 483.75), (1880, 1889), None, None)
+    assert dict(text.gazetteer_patterns([("Oulad Saïd", ("o s",)), ("Béni", ())])) == {"Oulad Saïd": r"\boulad\s+said\b"}
