@@ -49,8 +49,10 @@ def share_inside(w1, s1, e1, n1, w2, s2, e2, n2) -> Column:
     return F.when(area > 0, overlap_area(w1, s1, e1, n1, w2, s2, e2, n2) / area)
 
 
-def _edges_of(ring: Column):
-    return F.transform(F.sequence(F.lit(1), F.size(ring)), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, F.when(i < F.size(ring), i + 1).otherwise(1)).alias("b")))
+def _edges_of(ring: Column) -> Column:
+    """The edges of a ring, which is computed once, however it is made."""
+    edge = lambda r, i: F.struct(F.element_at(r, i).alias("a"), F.element_at(r, F.when(i < F.size(r), i + 1).otherwise(1)).alias("b"))
+    return _let(ring, lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda i: edge(r, i)))
 
 
 def shoelace(ring: Column) -> Column:
@@ -191,15 +193,19 @@ def unproject(east: Column, north: Column, z: Zone) -> Column:
 def spread_of(ring: Column) -> Column:
     """Twice the area of the corner at a quadrilateral's second point: a cheap measure of two
     nearly parallel sheets' sizes."""
-    p = lambda k: F.element_at(ring, k)
-    return F.abs((p(2)["x"] - p(1)["x"]) * (p(3)["y"] - p(2)["y"]) - (p(2)["y"] - p(1)["y"]) * (p(3)["x"] - p(2)["x"]))
+
+    def cross(r: Column) -> Column:
+        p, q, o = (F.element_at(r, k) for k in (1, 3, 2))
+        return F.abs((o["x"] - p["x"]) * (q["y"] - o["y"]) - (o["y"] - p["y"]) * (q["x"] - o["x"]))
+
+    return _let(ring, cross)
 
 
 def shared_footprint(first: Column, second: Column, inset_by: float) -> Column:
     """What two sheets of the same ground share: the smaller of the two quadrilaterals, each
     drawn in towards its centre; the first of equals."""
-    a, b = inset(first, inset_by), inset(second, inset_by)
-    return F.when(spread_of(b) < spread_of(a), b).otherwise(a)
+    both = F.array(inset(first, inset_by), inset(second, inset_by))
+    return _let(both, lambda r: F.when(spread_of(r[1]) < spread_of(r[0]), r[1]).otherwise(r[0]))
 
 
 def clip_box(box: Column, corners: Column) -> Column:

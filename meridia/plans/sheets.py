@@ -61,20 +61,20 @@ def q_intersections(spark, d):
     return joins.line_intersections(lines, "sheet").select("sheet", "i", "j", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-_FRAGMENTS = f"SELECT id, x AS x0, y AS y0, x + cos(id % 12 * 0.5::DOUBLE) AS x1, y + sin(id % 12 * 0.5::DOUBLE) AS y1, cos(id % 12 * 0.5::DOUBLE) AS ax, sin(id % 12 * 0.5::DOUBLE) AS ay FROM ({_CUST}) WHERE x < 60"
+_FRAGMENTS = f"SELECT id, x AS x0, y AS y0, x + cos(id % 3 * 0.1::DOUBLE) AS x1, y + sin(id % 3 * 0.1::DOUBLE) AS y1, cos(id % 3 * 0.1::DOUBLE) AS ax, sin(id % 3 * 0.1::DOUBLE) AS ay FROM ({_CUST}) WHERE x < 60"
 
 
 def _fragments(spark, d):
-    c, angle = F.col, F.col("id") % 12 * F.lit(0.5)
+    c, angle = F.col, F.col("id") % 3 * F.lit(0.1)
     ax, ay = F.cos(angle), F.sin(angle)
     return _cust(spark, d).where("x < 60").select("id", c("x").alias("x0"), c("y").alias("y0"), (c("x") + ax).alias("x1"), (c("y") + ay).alias("y1"), ax.alias("ax"), ay.alias("ay"))
 
 
 @query(f"""WITH f AS ({_FRAGMENTS}), e AS (SELECT id, 0 AS k, x0 AS x, y0 AS y, -ax AS ox, -ay AS oy, ax, ay FROM f UNION ALL SELECT id, 1, x1, y1, ax, ay, ax, ay FROM f),
-h AS (SELECT p.id AS a, q.id AS b, p.k AS ak, q.k AS bk, (q.x - p.x) * p.ox + (q.y - p.y) * p.oy AS forward, abs((q.y - p.y) * p.ox - (q.x - p.x) * p.oy) AS side FROM e p JOIN e q ON p.id <> q.id AND sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) <= 2 AND abs(p.ax * q.ax + p.ay * q.ay) >= cos(radians(20)))
-SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a < b THEN ak ELSE bk END AS a_end, CASE WHEN a < b THEN bk ELSE ak END AS b_end FROM h WHERE forward > 0 AND forward <= 2 AND side <= 0.7""")
+h AS (SELECT p.id AS a, q.id AS b, p.k AS ak, q.k AS bk, (q.x - p.x) * p.ox + (q.y - p.y) * p.oy AS forward, abs((q.y - p.y) * p.ox - (q.x - p.x) * p.oy) AS side FROM e p JOIN e q ON p.id <> q.id AND sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) <= 4 AND abs(p.ax * q.ax + p.ay * q.ay) >= cos(radians(20)))
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a < b THEN ak ELSE bk END AS a_end, CASE WHEN a < b THEN bk ELSE ak END AS b_end FROM h WHERE forward > 0 AND forward <= 4 AND side <= 1.5""")
 def q_corridor_links(spark, d):
-    return joins.corridor_links(_fragments(spark, d), 2.0, 0.7, 20.0)
+    return joins.corridor_links(_fragments(spark, d), 4.0, 1.5, 20.0)
 
 
 @query(None)
