@@ -25,7 +25,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm.common import materialise, skew_join
@@ -64,10 +64,9 @@ def fit_text(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[st
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return ["und"], np.zeros((1, BUCKETS))
-    ids = None
-    for x in languages:
-        part = known.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(per_language)
-        ids = part if ids is None else ids.unionByName(part)
+    # the first of each language: tasks hand on no more than so many rows a language each
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id"))
+    ids = known.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
     picked = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)  # per_language rows a language
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"])
 
