@@ -45,7 +45,7 @@ def q_summary(spark, d):
 
 
 @query("""WITH r AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS up, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey DESC) AS down FROM customer)
-SELECT c_nationkey, c_custkey, up AS place, 'first' AS side FROM r WHERE up <= 3 UNION ALL SELECT c_nationkey, c_custkey, down, 'last' FROM r WHERE down <= 3 AND up > 3""")
+SELECT c_nationkey, c_custkey, CAST(up AS INTEGER) AS place, 'first' AS side FROM r WHERE up <= 3 UNION ALL SELECT c_nationkey, c_custkey, CAST(down AS INTEGER), 'last' FROM r WHERE down <= 3 AND up > 3""")
 def q_first_last(spark, d):
     rows = t(spark, d, "customer").select("c_nationkey", "c_custkey", (-F.col("c_acctbal")).alias("o"))
     return joins.first_and_last(rows, ["c_nationkey"], [F.col("o"), F.col("c_custkey")], 3).select("c_nationkey", "c_custkey", "place", "side")
