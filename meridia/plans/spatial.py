@@ -244,9 +244,9 @@ def _edges(spark, d):
     return t(spark, d, "lineitem").where("l_quantity > 48").select((-F.col("l_suppkey") - 1).alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
-@query(None)
+@query(f"""WITH RECURSIVE e AS ({_EDGE}), z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM z GROUP BY a UNION (SELECT z.a, min(v.component) FROM z JOIN cc v ON z.b = v.node JOIN recurring.cc u ON z.a = u.node WHERE v.component < u.component GROUP BY z.a)) SELECT node, component FROM cc""")
 def q_components(spark, d):
-    # no SQL: a recursion over all pairs of a large component is too slow
     return sp.components(_edges(spark, d))
 
 
