@@ -261,9 +261,12 @@ def q_one_hop(spark, d):
     return sp.one_hop(nodes, grounded, edges).select("id", "support")
 
 
-@query(None)
+@query(f"""WITH e AS (SELECT s_nationkey AS sheet, a, b FROM ({_EDGE}) JOIN supplier ON a = -s_suppkey - 1), z AS (SELECT sheet, a AS node, b AS other FROM e UNION SELECT sheet, b, a FROM e),
+n AS (SELECT sheet, node, list(other) AS near FROM z GROUP BY sheet, node), g AS (SELECT sheet, list([struct_pack(node := node, near := near, colour := 0::BIGINT)] ORDER BY len(near) DESC, node) AS nodes FROM n GROUP BY sheet),
+c AS (SELECT sheet, unnest(list_reduce(nodes, lambda done, x: list_concat(done, [struct_pack(node := x[1].node, near := x[1].near,
+  colour := list_filter(range(len(x[1].near) + 1), lambda c: NOT list_contains(list_transform(list_filter(done, lambda k: list_contains(x[1].near, k.node)), lambda k: k.colour), c))[1])]))) AS r FROM g) SELECT sheet, r.node, r.colour FROM c""")
 def q_colouring(spark, d):
-    # no SQL: the greedy order is sequential; a sheet is a nation's suppliers and their parts
+    # a sheet is a nation's suppliers and their parts; the greedy order is sequential
     nation = t(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("a"), F.col("s_nationkey").alias("sheet"))
     return sp.colours(_edges(spark, d).join(nation, "a"), "sheet")
 
