@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_STATES, MOST_PAIRS, MOST_PIECES, LONGEST_KEPT = 300_000, 400_000, 400_000, 64
+MOST_STATES, MOST_PAIRS, MOST_PIECES, LONGEST_KEPT = 120_000, 300_000, 250_000, 64
 #: Pieces up to so many bytes go out at their end; longer ones as they settle.
 FLUSH = 4096
 
