@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -55,20 +56,29 @@ def grey(rgb: np.ndarray) -> np.ndarray:
     return rgb.astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32)
 
 
-# A channel, those it is compared with (none: its own brightness), and what
-# it must exceed the least of them by.
-RED = ((0, (1,), 45), (0, (2,), 40), (0, (), 110))
-BLUE = ((2, (0,), 25), (2, (1,), 12), (2, (), 80))
-GREEN = ((1, (0,), 16), (1, (2,), 4), (1, (), 80), (1, (0, 2), 24))
-GRID_RED = ((0, (1,), 28), (0, (2,), 18), (0, (), 110))
+class Excess(NamedTuple):
+    """A channel must exceed the least of its rivals by more than a floor; without rivals, the
+    floor is its own brightness."""
 
+    channel: int
+    rivals: tuple[int, ...]
+    floor: int
 
-def colour_mask(rgb: np.ndarray, recipe: Sequence[tuple[int, tuple[int, ...], int]] = RED) -> np.ndarray:
+
+R, G, B = 0, 1, 2
+# What makes a pixel red, blue, green, or as red as a grid line.
+RED = (Excess(R, (G,), 45), Excess(R, (B,), 40), Excess(R, (), 110))
+BLUE = (Excess(B, (R,), 25), Excess(B, (G,), 12), Excess(B, (), 80))
+GREEN = (Excess(G, (R,), 16), Excess(G, (B,), 4), Excess(G, (), 80), Excess(G, (R, B), 24))
+GRID_RED = (Excess(R, (G,), 28), Excess(R, (B,), 18), Excess(R, (), 110))
+
+
+def colour_mask(rgb: np.ndarray, recipe: Sequence[Excess] = RED) -> np.ndarray:
     """Where every difference of the recipe is exceeded."""
     out = np.ones(rgb.shape[:2], bool)
-    for a, others, floor in recipe:
-        least = rgb[..., list(others)].min(axis=-1).astype(np.int16) if others else 0
-        out &= rgb[..., a].astype(np.int16) - least > floor
+    for rule in recipe:
+        least = rgb[..., list(rule.rivals)].min(axis=-1).astype(np.int16) if rule.rivals else 0
+        out &= rgb[..., rule.channel].astype(np.int16) - least > rule.floor
     return out
 
 
