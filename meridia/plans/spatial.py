@@ -222,7 +222,14 @@ def q_ellipse_rules(spark, d):
     return shapes.join(near, "entity", "left").select("entity", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.coalesce("foreign_inside", F.lit(0)).alias("foreign_inside"))
 
 
-@query(None)
+_IN = lambda g: f"pow(u / (a + {g}), 2) + pow(v / (b + {g}), 2) <= 1 + 1e-9::DOUBLE"
+
+
+@query(f"""WITH {_ELL}, f AS (SELECT el.entity, el.a, el.b, l.entity AS other, abs((x - cx) * cos(ang) + (y - cy) * sin(ang)) AS u, abs((y - cy) * cos(ang) - (x - cx) * sin(ang)) AS v FROM el JOIN l ON l.entity <> el.entity AND abs(floor(cx / 180) - floor(x / 180)) <= 1 AND abs(floor(cy / 180) - floor(y / 180)) <= 1),
+r AS (SELECT entity, other, CASE WHEN {_IN('0')} THEN 0.0::DOUBLE WHEN NOT ({_IN('90')}) THEN 90.0::DOUBLE ELSE list_reduce(list_prepend([0.0::DOUBLE, 90.0::DOUBLE], list_transform(range(40), lambda k: [0.0::DOUBLE, 0.0::DOUBLE])),
+  lambda z, k: CASE WHEN {_IN('(z[1] + z[2]) / 2')} THEN [z[1], (z[1] + z[2]) / 2] ELSE [(z[1] + z[2]) / 2, z[2]] END)[1] END AS root FROM f),
+m AS (SELECT entity, min(root) AS g, arg_min(other, struct_pack(r := root, o := other)) AS stopper, list_sort(list(DISTINCT other) FILTER (WHERE root = 0)) AS enclosed FROM r GROUP BY entity)
+SELECT el.entity, round(coalesce(g, 90), 6) AS grown, stopper, coalesce(g, 90) >= 90 AS at_guard, coalesce(enclosed, []::VARCHAR[]) AS enclosed FROM el LEFT JOIN m ON m.entity = el.entity""")
 def q_ellipse_grow(spark, d):
     labels = _labels(spark, d)
     return sp.grow(sp.ellipses(labels, "entity"), labels, "entity").select("entity", F.round("grown", 6).alias("grown"), "stopper", "at_guard", "enclosed")
