@@ -26,8 +26,13 @@ def _bounds(text: Column) -> Column:
     # an ISO date holds dashes too, so it is tried before the text is split at them
     iso = F.regexp_extract(bare, r"^([0-9]{4})-[0-9]{2}-[0-9]{2}$", 1).try_cast("int")
     found = F.filter(F.transform(F.split(bare, r"\s*[-/]\s*"), _token_bounds), lambda x: x.isNotNull())
-    spread = F.struct(F.array_min(F.transform(found, lambda x: x["low"])).alias("low"), F.array_max(F.transform(found, lambda x: x["high"])).alias("high"))
-    return F.when(iso.isNotNull(), F.struct(iso.alias("low"), iso.alias("high"))).when(F.size(found) > 0, spread)
+
+    def spread(f: Column) -> Column:
+        ends = F.struct(F.array_min(F.transform(f, lambda x: x["low"])).alias("low"), F.array_max(F.transform(f, lambda x: x["high"])).alias("high"))
+        return F.when(F.size(f) > 0, ends)
+
+    # the tokens are read once, in a list of one
+    return F.when(iso.isNotNull(), F.struct(iso.alias("low"), iso.alias("high"))).otherwise(F.transform(F.array(found), spread)[0])
 
 
 def bounds(texts: Column) -> Column:
