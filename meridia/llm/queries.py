@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat, exact_dedup, language, mixture, pii, quality, simhash, topk, url_filter
+from meridia.llm import bpe, chat, exact_dedup, filter_audit, language, mixture, pii, quality, simhash, topk, url_filter
 from meridia.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("ids")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_exact_dedup, op3_top_k, op4_simhash, op5_chat_format, op6_url_filter, op7_mixture, op8_pii, op9_quality, op10_byte_bpe, pipeline)
+    own = (op1_language_id, op2_exact_dedup, op3_top_k, op4_simhash, op5_chat_format, op6_url_filter, op7_mixture, op8_pii, op9_quality, op10_byte_bpe, op11_filter_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -104,6 +108,39 @@ FROM sized GROUP BY conv_id
 """
 
 
+# The orders are run one by one, and a Shapley value is summed over them: no potential.
+_OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+      || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN first < w.doc_id THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+o AS (SELECT '' AS s UNION ALL SELECT s || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(s, x)),
+p AS (SELECT s AS filter_order, CAST(k AS INTEGER) AS step, substr(s, k, 1) AS own, substr(s, 1, k - 1) AS before FROM o, range(1, 6) r(k) WHERE length(s) = 5),
+q AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (WHERE translate(fails, before || own, '') = fails) AS kept,
+         sum(n) FILTER (WHERE contains(fails, own) AND translate(fails, before, '') = fails) AS removed,
+         sum(n) FILTER (WHERE contains(fails, own) AND translate(fails, before, '') <> fails) AS redundant,
+         sum(n) FILTER (WHERE fails = own) AS unique_fails,
+         sum(good) FILTER (WHERE contains(fails, own) AND translate(fails, before, '') = fails) AS good_lost,
+         sum(toxic) FILTER (WHERE contains(fails, own) AND translate(fails, before, '') = fails) AS toxic_lost
+  FROM c, p GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM q
+"""
+
+
 # The parts of a URL, of an attribute and of a path without dots, as SQL; from the contract
 # and the standards of HTML and URLs, not from the operator's expressions.
 def _after(u: str) -> str:
@@ -193,4 +230,4 @@ FROM own o LEFT JOIN reached r ON o.alias = r.alias
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op3_top_k": _OP3, "op5_chat_format": _OP5, "op6_url_filter": _op6()}
+    return {"op2_exact_dedup": _OP2, "op3_top_k": _OP3, "op5_chat_format": _OP5, "op6_url_filter": _op6(), "op11_filter_audit": _OP11}
