@@ -24,7 +24,7 @@ Defined cases: a null text is empty (A fails, and E with the smallest doc_id of
 apart); a null doc_id is never smaller than another, and its row never fails E; rows of one
 doc_id and text fail E together or not at all; a null part counts as the empty string, with
 parts so named; a document with several labels is good (toxic) if any of them says so, one
-without is neither; null labels say nothing; no documents: no rows; other columns, whatever
+without is neither; null labels, and labels of a null doc_id, say nothing; no documents: no rows; other columns, whatever
 their names, are left out.
 """
 

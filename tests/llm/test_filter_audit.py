@@ -12,8 +12,8 @@ LABELS = "doc_id long, quality int, toxic int, n string"
 
 def removed_by_orders(rows, labels):
     """What each order removes step by step, and the removals of a filter over all orders."""
-    good = {i for i, q, _, _ in labels if q == 1}
-    toxic = {i for i, _, x, _ in labels if x == 1}
+    good = {i for i, q, _, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x, _ in labels if x == 1 and i is not None}
     first = {}
     for i, t, *_ in rows:
         if i is not None:
