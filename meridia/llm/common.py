@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from meridia.operators import shared
 from meridia.operators.shared import connected_components, discard, skew_join
 
-__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "fields", "restored", "semi_join_null_safe", "text_or_empty", "table"]
+__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "fields", "restored", "semi_join_null_safe", "text_or_empty", "table"]
 
 #: What separates words everywhere here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,4 +74,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_parts(rows: DataFrame, keys: list[str], ident: str, cell: int) -> DataFrame:
+    """The rows of cells (equal ``keys``) that hold more than one row, with own, i and j: a
+    cell of over ``cell`` rows is cut into parts, and each pair of parts i <= j is a group of
+    its own, in which own says whose part a row is. Groups hold about 2 x cell rows at most."""
+    crowded = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys, F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(ident), F.col("parts")).cast("int")
+    pairs = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
+    dealt = skew_join(rows, crowded, keys, "inner").withColumn("own", own).withColumn("p", F.explode(pairs))
+    return dealt.withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p", "parts")
+
+
 LONG, STRING, BINARY = T.LongType(), T.StringType(), T.BinaryType()

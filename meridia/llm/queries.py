@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat, exact_dedup, filter_audit, language, mixture, pii, quality, simhash, topk, url_filter
+from meridia.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, language, mixture, pii, quality, simhash, topk, url_filter
 from meridia.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_exact_dedup, op3_top_k, op4_simhash, op5_chat_format, op6_url_filter, op7_mixture, op8_pii, op9_quality, op10_byte_bpe, op11_filter_audit, pipeline)
+    own = (op1_language_id, op2_exact_dedup, op3_top_k, op4_simhash, op5_chat_format, op6_url_filter, op7_mixture, op8_pii, op9_quality, op10_byte_bpe, op11_filter_audit, op12_embedding_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -141,6 +145,18 @@ FROM q
 """
 
 
+# All pairs, exactly: what the index is measured by.
+_OP12 = """
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT * FROM r WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+k AS (SELECT a.row AS a, b.row AS b FROM u a JOIN u b ON a.row <> b.row AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+w AS (SELECT row AS a, row AS b FROM r UNION SELECT w.a, k.b FROM w JOIN k ON w.b = k.a),
+c AS (SELECT w.a AS row, min(r.vec_id) AS component_id FROM w JOIN r ON w.b = r.row GROUP BY w.a)
+SELECT r.vec_id, (SELECT count(*) FROM k WHERE k.a = r.row) AS n_links, c.component_id, r.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM r JOIN c ON r.row = c.row
+"""
+
+
 # The parts of a URL, of an attribute and of a path without dots, as SQL; from the contract
 # and the standards of HTML and URLs, not from the operator's expressions.
 def _after(u: str) -> str:
@@ -230,4 +246,4 @@ FROM own o LEFT JOIN reached r ON o.alias = r.alias
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op3_top_k": _OP3, "op5_chat_format": _OP5, "op6_url_filter": _op6(), "op11_filter_audit": _OP11}
+    return {"op2_exact_dedup": _OP2, "op3_top_k": _OP3, "op5_chat_format": _OP5, "op6_url_filter": _op6(), "op11_filter_audit": _OP11, "op12_embedding_dedup": _OP12}
