@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridia.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, language, mixture, pii, quality, simhash, topk, url_filter
+from meridia.llm import bpe, chat, embedding_dedup, exact_dedup, filter_audit, hard_negatives, language, mixture, pii, quality, simhash, topk, url_filter
 from meridia.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_language_id, op2_exact_dedup, op3_top_k, op4_simhash, op5_chat_format, op6_url_filter, op7_mixture, op8_pii, op9_quality, op10_byte_bpe, op11_filter_audit, op12_embedding_dedup, pipeline)
+    own = (op1_language_id, op2_exact_dedup, op3_top_k, op4_simhash, op5_chat_format, op6_url_filter, op7_mixture, op8_pii, op9_quality, op10_byte_bpe, op11_filter_audit, op12_embedding_dedup, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -157,6 +162,22 @@ FROM r JOIN c ON r.row = c.row
 """
 
 
+_OP13 = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.q) = len(b.q)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5),
+n AS (SELECT p.anchor, p.row, p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY s.score DESC, s.vec_id, s.row) AS n
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE n <= 10
+"""
+
+
 # The parts of a URL, of an attribute and of a path without dots, as SQL; from the contract
 # and the standards of HTML and URLs, not from the operator's expressions.
 def _after(u: str) -> str:
@@ -246,4 +267,4 @@ FROM own o LEFT JOIN reached r ON o.alias = r.alias
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op3_top_k": _OP3, "op5_chat_format": _OP5, "op6_url_filter": _op6(), "op11_filter_audit": _OP11, "op12_embedding_dedup": _OP12}
+    return {"op2_exact_dedup": _OP2, "op3_top_k": _OP3, "op5_chat_format": _OP5, "op6_url_filter": _op6(), "op11_filter_audit": _OP11, "op12_embedding_dedup": _OP12, "op13_hard_negatives": _OP13}
