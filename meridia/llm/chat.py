@@ -7,7 +7,8 @@ Placeholders number on through a conversation. Turns are framed by control strin
 ``Reader`` takes the output apart again, chunk by chunk, into parts.
 
 Escaping: a backslash is written twice, ``<|`` as ``<\\|``; no escaped text holds ``<|``,
-so control strings in a text can neither open nor close a turn nor pass for a placeholder,
+so control strings in a text can neither open nor close a turn nor pass for a placeholder
+(text parts side by side, empty ones between them included, are joined before that),
 and reading is exact: ``format_messages`` and ``format_table`` take typed parts,
 ``read_messages`` and ``read_table`` give them back.
 
@@ -30,6 +31,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,7 +123,12 @@ class Flattener:
         return self._placeholder("document", p.ref, p.pages * PAGE_TOKENS)
 
     def content(self, parts) -> str:
-        return "".join(p.accept(self) for p in parts)
+        # neighbouring texts are one before they are escaped: a control string must not
+        # come together from the pieces
+        out = []
+        for is_text, run in groupby(parts, lambda p: isinstance(p, Text)):
+            out += [self.text(Text("".join(p.text for p in run)))] if is_text else [p.accept(self) for p in run]
+        return "".join(out)
 
     def message(self, parts: list[dict | None] | None) -> str:
         return self.content([part(p) for p in parts or [] if p is not None])
