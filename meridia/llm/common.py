@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from meridia.operators import shared
 from meridia.operators.shared import connected_components, discard, skew_join
 
-__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "fields", "restored", "semi_join_null_safe", "text_or_empty", "table"]
+__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "met_in_groups", "fields", "restored", "semi_join_null_safe", "text_or_empty", "table"]
 
 #: What separates words everywhere here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -85,4 +85,15 @@ def in_parts(rows: DataFrame, keys: list[str], ident: str, cell: int) -> DataFra
     return dealt.withColumns({"i": F.col("p.i"), "j": F.col("p.j")}).drop("p", "parts")
 
 
+def met_in_groups(held: DataFrame, sent: DataFrame, spots: Column, groups: int) -> DataFrame:
+    """Rows in which ``held`` (g and a binary column) and the rows of ``sent``, one copy for each
+    group number of ``spots``, come group by group, sorted, what is held first: a task that
+    reads them in turn holds one group's ``held`` and lets any number of sent rows pass. For
+    a stated set of queries against all rows, in blocks. Columns of the other kind are null."""
+    (block,) = [c for c in held.columns if c != "g"]
+    a = held.select("g", F.lit(0).alias("kind"), block, *[F.lit(None).cast(t).alias(c) for c, t in sent.dtypes])
+    b = sent.withColumn("g", F.explode(spots)).select("g", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias(block), *sent.columns)
+    return a.unionByName(b).repartition(groups, "g").sortWithinPartitions("g", "kind")
+
+
 LONG, STRING, BINARY = T.LongType(), T.StringType(), T.BinaryType()

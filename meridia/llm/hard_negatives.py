@@ -45,14 +45,17 @@ from dataclasses import dataclass, fields as columns_of
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, fields, materialise, skew_join, with_row_key
+from meridia.llm.common import ROW, fields, materialise, met_in_groups, skew_join, with_row_key
 from meridia.llm.topk import LEAST, MOST, usable
 
 POSITIVES, NEGATIVES, LOW, HIGH, EVERY = 5, 10, 30, 90, 100
-TOP, TREE_BYTES, FOREST, WAVE, LEAF = 64, 1 << 20, 8, 16, 32
+TOP, TREE_BYTES, FOREST, WAVE = 64, 1 << 20, 8, 16
+#: A node that would hold fewer is not worth a visit: its points hang below its parent one by
+#: one, as does the rest once so many nodes in a row have come out as small.
+LEAF, MISSES = 128, 32
 
 
 @dataclass
@@ -92,16 +95,24 @@ class CoverTree:
             else:
                 reach = 2.0 ** (math.ceil(math.log2(radius[-1])) - 1)
                 near = far <= reach
-                made = [(own, False, members[near], far[near])] if near.any() else []
+                made, singles, missed = [], [], 0
+                if near.sum() >= LEAF:
+                    made.append((own, False, members[near], far[near]))
+                else:
+                    singles.append(members[near])
                 members = members[~near]
-                while len(members):
-                    far = away(members[0], members)
+                while len(members) and missed < MISSES:
+                    centre, rest = int(members[0]), members[1:]
+                    far = away(centre, rest)
                     near = far <= reach
-                    near[0] = True
-                    held = near.copy()
-                    held[0] = False
-                    made.append((int(members[0]), True, members[held], far[held]))
-                    members = members[~near]
+                    if near.sum() >= LEAF:
+                        made.append((centre, True, rest[near], far[near]))
+                        missed = 0
+                    else:
+                        singles += [members[:1], rest[near]]
+                        missed += 1
+                    members = rest[~near]
+                made += [(int(m), True, members[:0], far[:0]) for m in np.concatenate([*singles, members])]
             point += [m[0] for m in made]
             fresh += [m[1] for m in made]
             todo += [(m[2], m[3]) for m in made]
@@ -348,11 +359,8 @@ def search(trees: DataFrame, groups: int, anchors: DataFrame, k: int, positive:
     """_row, w, hit, hit_row, score, rank: each anchor's k best in each of its windows.
     Anchors: _row, label, q, windows (array of structs low, high, floor)."""
 
-    def through(part: DataFrame, own: DataFrame, spots: DataFrame) -> DataFrame:
-        t = part.select("g", F.lit(0).alias("kind"), "tree", *[F.lit(None).cast(kind).alias(c) for c, kind in own.dtypes])
-        # every anchor to every group: the stated query set against all rows, in blocks
-        a = own.withColumn("g", F.explode(spots)).select("g", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("tree"), *own.columns)
-        return t.unionByName(a).repartition(groups, "g").sortWithinPartitions("g", "kind").mapInArrow(_searched(k, positive), _FOUND)
+    def through(part: DataFrame, own: DataFrame, spots: Column) -> DataFrame:
+        return met_in_groups(part, own, spots, groups).mapInArrow(_searched(k, positive), _FOUND)
 
     every = F.sequence(F.lit(0), F.lit(groups - 1))
     first = materialise(_best(through(trees.where(F.col("g") % WAVE == 0), anchors, F.filter(every, lambda g: g % WAVE == 0)), k).drop("rank"))
