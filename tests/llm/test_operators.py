@@ -732,3 +732,53 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert 1.5 * total - 4 <= sum(len(t.split()) * n for t, n in times.items()) <= 1.5 * total
     assert len(seen["byte-level bpe"]) == len(seen["mixture"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["byte-level bpe"])
+
+
+def test_top_k_huge_components(spark):
+    """Finite components up to the largest double, against whole numbers of any size."""
+    import math
+    from fractions import Fraction
+
+    r = random.Random(83)
+    rows = [(0, [1e200, 1.0, 2.0]), (1, [-1e200, 3.0, 1.0]), (2, [1.0, 1e200, 0.0]), (50, [7e305, 0.0, 1.0]), (100, [0.0, 0.0, 5e-324]), (150, [1.0, 2.0, 3.0])]
+    rows += [(200 + k, [r.choice([-1, 1]) * 10.0 ** r.randint(-3, 300) if r.random() < 0.3 else r.uniform(-5, 5) for _ in range(3)]) for k in range(120)]
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in whole if i % 50 == 0):
+        score = lambda i, q=q: min(topk.MOST, max(topk.LEAST, sum(a * b for a, b in zip(whole[q], whole[i], strict=True))))
+        best = sorted((-score(i), i) for i in whole if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {tuple(x) for x in got} == want
+    ends = spark.createDataFrame([(0, [1.7976931348623157e308, 1.0]), (1, [-1.7976931348623157e308, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.top_k(ends).collect()] == [(0, 1, 1, topk.LEAST)]
+
+
+def test_top_k_where_a_square_overflows():
+    import numpy as np
+
+    q, x = np.zeros((1, 32)), np.zeros((3, 32))
+    q[0, 0], q[0, 20], x[:, 0] = 1, 1e200, (5, 9, 7)
+    best = topk.Best(np.array([50]), q, 1)
+    for k in range(3):
+        best.scan(np.array([k]), np.array([k]), x[k : k + 1])
+    assert best.found == [[(-9, 1, 1)]]
+
+
+def test_top_k_in_groups(spark, monkeypatch):
+    import numpy as np
+
+    for name, value in (("CANDIDATE_BLOCK", 16), ("HELD", 2), ("WAVE", 3), ("QUERY_BLOCK", 3), ("SEED_ROWS", 7)):
+        monkeypatch.setattr(topk, name, value)
+    r = np.random.default_rng(85)
+    m = r.integers(-3, 4, (500, 20)) / 256
+    rows = [(int(i), v.tolist()) for i, v in enumerate(m)] + [(50, m[3].tolist()), (600, [0.5, 0.25]), (650, [0.5, 0.25])]
+    by = defaultdict(lambda: defaultdict(lambda: None))
+    for q, a in rows:
+        for n, (i, b) in enumerate(rows):
+            if q % 50 == 0 and i != q and len(a) == len(b):
+                s = round(sum(x * y for x, y in zip(a, b, strict=True)) * 65536)
+                by[q][n] = s if by[q][n] is None else max(s, by[q][n])
+    want = {(q, k, rows[n][0], s) for q, found in by.items() for k, (n, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], rows[x[0]][0]))[:5], 1)}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
