@@ -1,63 +1,51 @@
 """The corpus pipeline: quality, exact copies, near copies, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again as the next one's docs. As a stage begins, the tables that the one
-before wrote for itself in the shared folder are deleted: its result is written by then.
-Stages that are chained without that keep them."""
+Parquet and read again as the next one's docs. A stage writes tables of its own to the shared
+folder, of row keys, digests, fingerprints and counts, never of texts: rows are kept or dropped
+by lists of row keys, and texts move only from one stage's files to the next's. ``run``
+deletes a stage's tables once its result is written; who chains stages by hand keeps them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import bpe, exact_dedup, mixture, quality, simhash
-from meridia.llm.common import discard, materialise, table, tables_made
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
-
-
-def tidied(stage: Stage) -> Stage:
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        names = [p.rsplit("/", 1)[-1] for p in _left]
-        if _left and not any(n in f for f in docs.inputFiles() for n in names):
-            for path in _left:
-                discard(spark, path)
-            _left.clear()
-        with tables_made() as made:
-            out = stage(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
 
-    return run
 
-
-@tidied
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from meridia.llm import quality
+    from meridia.llm.common import table
+
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-@tidied
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from meridia.llm import exact_dedup
+
     return exact_dedup.drop_exact_copies(docs)
 
 
-@tidied
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from meridia.llm import simhash
+
     return simhash.drop_near_copies(docs)
 
 
-@tidied
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from meridia.llm import mixture
+
     return mixture.mixed_documents(docs)
 
 
-@tidied
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+    import public_tokenizers
+
+    from meridia.llm import bpe
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
@@ -73,7 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    from meridia.llm.common import discard, materialise, table, tables_made
+
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with tables_made() as made:
+            docs = materialise(stage(spark, docs, sf_dir))
+        *spent, result = made
+        for path in [*spent, last] if last else spent:
+            discard(spark, path)
+        last = result
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from meridia.operators import shared
 from meridia.operators.shared import connected_components, discard, skew_join
 
-__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "met_in_groups", "fields", "restored", "semi_join_null_safe", "text_or_empty", "table"]
+__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "met_in_groups", "fields", "restored", "sent_if_few", "without_rows", "text_or_empty", "table"]
 
 #: What separates words everywhere here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,34 +21,59 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: The columns of with_row_key.
 ROW, DOC = "_row", "_doc"
+#: Files that with_row_key numbers, and the most bytes of a table that is sent to all tasks.
+MOST_FILES, SENT_BYTES = 100_000, 64 << 20
 
 
-_recorders: list[list[str]] = []
+#: The lists that record what is written, innermost last; each thread has its own.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
     out, path = shared.stored(df)
-    for made in _recorders:
+    for made in _recorders.get():
         made.append(path)
     return out
 
 
 @contextmanager
 def tables_made() -> Iterator[list[str]]:
-    """The paths of the tables that materialise writes meanwhile."""
+    """The paths of the tables that materialise writes meanwhile, in this thread."""
     made: list[str] = []
-    _recorders.append(made)
+    token = _recorders.set((*_recorders.get(), made))
     try:
         yield made
     finally:
-        _recorders.remove(made)
+        _recorders.reset(token)
 
 
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """_row, another number for every row, that stays as it is written, and _doc, a struct of
-    docs' own columns, whose names can so clash with none."""
-    return materialise(docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*docs.columns).alias(DOC)))
+    """_row, another number for every row, that stays as it is, and _doc, a struct of docs' own
+    columns, whose names can so clash with none. Where docs is nothing but parquet files
+    that are read, as in the pipeline, a row's file and its place there make the key and
+    nothing is copied; else the rows are written with their keys."""
+    key = F.monotonically_increasing_id()
+    scanned = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs._jdf.queryExecution().analyzed().simpleString(1000).endswith("parquet")
+    if scanned and "_metadata" not in docs.columns and len(docs.inputFiles()) <= MOST_FILES:
+        # one row a file
+        files = sorted(r["f"] for r in docs.select(F.col("_metadata.file_path").alias("f")).distinct().collect())
+        numbers = docs.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_f string, _n long")
+        placed = docs.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"), F.struct(*docs.columns).alias(DOC))
+        return placed.join(F.broadcast(numbers), "_f").select((F.shiftleft("_n", 40) + F.col("_i")).alias(ROW), DOC)
+    return materialise(docs.select(key.alias(ROW), F.struct(*docs.columns).alias(DOC)))
+
+
+def sent_if_few(rows: DataFrame, bytes_a_row: int) -> DataFrame:
+    """A table from materialise, marked to be sent to all tasks if it is of SENT_BYTES at most;
+    a larger one is left for a shuffled join."""
+    return F.broadcast(rows) if rows.count() * bytes_a_row <= SENT_BYTES else rows
+
+
+def without_rows(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """keyed without the rows of ``dropped`` (_row, from materialise): texts stay where they are
+    unless the dropped rows are too many to send."""
+    return keyed.join(sent_if_few(dropped.select(ROW), 32), ROW, "left_anti")
 
 
 def fields(keyed: DataFrame, *names: str) -> DataFrame:
@@ -60,12 +86,6 @@ def restored(keyed: DataFrame) -> DataFrame:
     return keyed.select(f"{DOC}.*")
 
 
-def semi_join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left rows whose key, null included, is among right's."""
-    b = right.select(F.col(key).alias("_rk"))
-    return left.join(b, left[key].eqNullSafe(b["_rk"]), "left_semi")
-
-
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

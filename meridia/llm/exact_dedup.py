@@ -3,8 +3,10 @@
 A text, lower-cased A-Z, is cut where a rolling hash of its last bytes says so. A chunk
 goes by a digest of its bytes; digests are verified by comparing the bytes of all chunks
 that share one, and a digest that stands for several contents gets a content number.
-Documents then compare as ordered lists of these identifiers: text moves once, by chunk,
-each distinct chunk once a map task, and never again.
+Documents then compare as ordered lists of these identifiers. Digests are counted first:
+only chunks whose digest comes up again move at all, each distinct one once a map task, as
+long as the list of such digests can be sent to the tasks; beyond that every distinct chunk
+moves once. Dropping copies goes by a list of rows and moves no text.
 
 Defined cases: a null text is empty; an empty text has the empty recipe, so all empty
 texts are equal; a null doc_id loses against any other; rows that repeat both doc_id and
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, fields, materialise, restored, semi_join_null_safe, skew_join, with_row_key
+from meridia.llm.common import ROW, fields, materialise, restored, sent_if_few, skew_join, with_row_key, without_rows
 
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 16384, 11
 DIGEST = 16
@@ -87,8 +89,8 @@ def recipes(docs: DataFrame, digest_bytes: int = DIGEST, key: str = "doc_id") ->
     return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", text_sha256 string, recipe binary")
 
 
-def chunk_contents(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
-    """(digest, content), each distinct pair once."""
+def chunk_contents(docs: DataFrame, digest_bytes: int = DIGEST, of: DataFrame | None = None) -> DataFrame:
+    """(digest, content), each distinct pair once; only those of the digests ``of``, if given."""
 
     def run(batches):
         for b in batches:
@@ -103,7 +105,22 @@ def chunk_contents(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
                     digests, parts, held = [], [], 0
             yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(parts, pa.binary())], names=["digest", "content"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, content binary").distinct()
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "digest binary, content binary")
+    return (parts if of is None else parts.join(of, "digest", "left_semi")).distinct()
+
+
+def repeated_digests(found: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
+    """The digests that come up more than once in recipes."""
+
+    def run(batches):
+        for b in batches:
+            raw = b"".join(x.as_py() or b"" for x in b.column("recipe"))
+            digests = np.frombuffer(raw, f"S{digest_bytes}") if digest_bytes == 1 else np.frombuffer(raw, f"V{digest_bytes}")
+            names, counts = np.unique(digests.view(f"V{digest_bytes}"), return_counts=True)
+            yield pa.record_batch([pa.array([x.tobytes() for x in names], pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n"])
+
+    counted = found.select("recipe").mapInArrow(run, "digest binary, n long")
+    return counted.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
 
 
 def shared_digests(contents: DataFrame) -> DataFrame:
@@ -136,14 +153,15 @@ def _contents(docs: DataFrame, digest_bytes: int = DIGEST, key: str = "doc_id")
     With DIGEST bytes (128 bits) no digest is expected to stand for two contents; that
     none does is still checked on all bytes, and those that do are told apart. The
     check is one job over all chunks; only where it finds such digests is text read again."""
-    found = recipes(docs, digest_bytes, key)
-    shared = materialise(shared_digests(chunk_contents(docs, digest_bytes)))
+    found = materialise(recipes(docs, digest_bytes, key))
+    repeated = sent_if_few(materialise(repeated_digests(found, digest_bytes)), 64)
+    shared = materialise(shared_digests(chunk_contents(docs, digest_bytes, repeated)))
     if shared.limit(1).count():
         numbers = materialise(content_numbers(chunk_contents(docs, digest_bytes), shared))
         places = _patches(docs, numbers, digest_bytes, key).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "number"))).alias("patch"))
         found = found.join(places, found[key].eqNullSafe(places["row"]), "left").drop("row").withColumn("patch", F.coalesce(F.to_json("patch"), F.lit("")))
     else:
-        found = found.withColumn("patch", F.lit(""))
+        return found.withColumn("patch", F.lit(""))
     return materialise(found)
 
 
@@ -158,5 +176,7 @@ def drop_exact_copies(docs: DataFrame, digest_bytes: int = DIGEST) -> DataFrame:
     """docs with one row of each group, one that has the group's greatest doc_id; rows and
     columns otherwise as they are."""
     keyed = with_row_key(docs)
-    best = _contents(fields(keyed, "doc_id", "text"), digest_bytes, ROW).groupBy("recipe", "patch").agg(F.max(F.struct("doc_id", ROW)).alias("best"))
-    return restored(semi_join_null_safe(keyed, best.select(f"best.{ROW}"), ROW))
+    found = _contents(fields(keyed, "doc_id", "text"), digest_bytes, ROW)
+    best = found.groupBy("recipe", "patch").agg(F.max(F.struct("doc_id", ROW)).alias("best"), F.count("*").alias("n")).where("n > 1")
+    beaten = skew_join(found.select(ROW, "recipe", "patch"), best, ["recipe", "patch"], "inner").where(F.col(ROW) != F.col(f"best.{ROW}"))
+    return restored(without_rows(keyed, materialise(beaten.select(ROW))))

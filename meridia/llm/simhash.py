@@ -13,11 +13,19 @@ algorithm.
 agree on some two of five bit blocks share a cell (any two that differ in at most three
 bits do, for three bits touch at most three blocks), so no link is lost.
 
-``drop_near_copies``: a similarity of 0.8 of five-word shingles moves about 15 % of the
-bits, too many for blocks. Fingerprints have WIDE bits, and cells are the KEYS smallest
-shingle hashes: two documents of similarity 0.8 have none of them in common once in 600
-times. A hash that more than CELL documents share (a passage many documents hold) is split
-by each other one of the document's SPARE smallest, then into parts as above.
+``drop_near_copies``: a similarity of 0.8 of the sets of five-word shingles moves about 15 %
+of the bits, too many for blocks. Fingerprints, over distinct shingles, have WIDE bits, and
+cells are shingle hashes. Of a document's SAMPLE smallest hashes two like documents have at
+least SHARED in common (of 16 at similarity 0.8, fewer than 9 once in 5,000 pairs); put in one
+order, the rarest in the corpus first, two lists that share so many of them share one before
+the last SHARED - 1. A document is in the cells of these only, so that a passage that many
+documents hold makes no cell, unless it is most of what they are. This rule is the same at
+every size. Pivots are members of the cell, pairs within MARGIN standard deviations of
+the bits that the similarity moves are survivors, and their documents are verified: by
+the sets of shingle hashes themselves, exactly up to SKETCH distinct shingles, and beyond
+by their SKETCH smallest, with a standard error of the similarity of 0.006. Only documents
+that have a survivor are read again for that, and of a cell's pairs only those that would
+join two of its components are verified, and only in the first cell that both are in.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; fewer
 words than a shingle: the whole sequence is the one shingle; a null doc_id keeps a null
@@ -39,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, connected_components, fields, materialise, restored, semi_join_null_safe, skew_join, with_row_key
+from meridia.llm.common import ROW, connected_components, fields, in_parts, materialise, restored, sent_if_few, skew_join, with_row_key, without_rows
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
 #: Bit blocks as (first bit, width); a pair within LIMIT bits agrees on BLOCKS - LIMIT of them.
@@ -49,9 +57,10 @@ CELL = 2048
 N_PIVOTS = 24
 PIVOTS = np.array([[xxhash.xxh64_intdigest(bytes([i]), seed=SEED)] for i in range(N_PIVOTS)], np.uint64)
 
-#: The near-copy stage: words of a shingle, similarity, fingerprint bits, the hashes that
-#: name a document's cells, and those that split a crowded one.
-NEAR_SHINGLE, SIMILARITY, WIDE, KEYS, SPARE = 5, 0.8, 512, 4, 8
+#: The near-copy stage: words of a shingle, similarity, fingerprint bits, a document's smallest
+#: hashes and how many of them like documents share, deviations allowed to the bits, and the
+#: hashes by which documents are verified.
+NEAR_SHINGLE, SIMILARITY, WIDE, SAMPLE, SHARED, MARGIN, SKETCH = 5, 0.8, 512, 16, 9, 5.0, 4096
 
 
 def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
@@ -88,21 +97,37 @@ def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(data: bytes) -> tuple[bytes, list[int]]:
-    """The near-copy stage's fingerprint, and the SPARE smallest shingle hashes."""
-    hashes = shingle_hashes(data, NEAR_SHINGLE)
-    if not len(hashes):
-        return bytes(WIDE // 8), [0]
-    least = np.unique(hashes)[:SPARE]
-    return majority(_spread(hashes, WIDE // 64)), least.view(np.int64).tolist()
+def distinct_hashes(data: bytes) -> np.ndarray:
+    """The near-copy stage's set of a text, in order; a text without words has the hash 0."""
+    hashes = np.unique(shingle_hashes(data, NEAR_SHINGLE))
+    return hashes if len(hashes) else np.zeros(1, np.uint64)
+
+
+def sketch(data: bytes) -> bytes:
+    """The SKETCH smallest of the set, and before them how many it has, as 32-bit numbers."""
+    hashes = distinct_hashes(data)
+    return np.uint32(len(hashes)).tobytes() + (hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two sketches' sets have this similarity."""
+    few, many = sorted((int(a[0]), int(b[0])))
+    if few < least * many - 1e-9:
+        return False
+    small, large = sorted((a[1:], b[1:]), key=len)
+    both = small[large.take(np.searchsorted(large, small), mode="clip") == small]
+    if many <= SKETCH:
+        return len(both) >= least * (few + many - len(both)) - 1e-9
+    smallest = np.union1d(a[1:], b[1:])[:SKETCH]
+    return np.searchsorted(both, smallest[-1], "right") >= least * len(smallest) - 1e-9
 
 
 def expected_bits(similarity: float = SIMILARITY, bits: int = WIDE) -> int:
-    """Differing bits up to which a pair counts as near: what a pair of this similarity (of
-    sets; its cosine follows for sets of one size) differs in on average, and most of a
-    standard deviation more."""
+    """Differing bits up to which a pair survives: what a pair of this similarity (of sets;
+    its cosine follows for sets of one size) differs in on average, and MARGIN standard
+    deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * share + 0.75 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + MARGIN * math.sqrt(bits * share * (1 - share)))
 
 
 @dataclass
@@ -192,35 +217,39 @@ def forest(fps: np.ndarray, limit: int = LIMIT, left: int | None = None, pivots:
     return out
 
 
-def _compare(rows: DataFrame, limit: int, own_pivots: bool, cell: int) -> DataFrame:
+def _groups(b):
+    """Of each group in a batch: its number, its rows in order of part and fingerprint, ids,
+    fingerprints, and how many rows are of the first of two parts."""
+    lists, i, j = b.column("all"), b.column("i").to_pylist(), b.column("j").to_pylist()
+    offsets, flat = lists.offsets.to_numpy(), lists.values
+    own, ids = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("own", "id"))
+    for k, (x, y) in enumerate(zip(i, j, strict=True)):
+        at = slice(offsets[k], offsets[k + 1])
+        rows = flat.slice(offsets[k], offsets[k + 1] - offsets[k])
+        raw = rows.field("fp").to_pylist()
+        fps = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
+        # in order of the fingerprint's first word, the first part's rows before the second's
+        order = np.lexsort((ids[at], fps[:, 0], own[at] != x))
+        yield k, rows, order, ids[at][order], fps[order], None if x == y else int((own[at] == x).sum())
+
+
+def _cells(rows: DataFrame, keys: list[str], cell: int, *columns: str) -> DataFrame:
+    """Groups of at most about 2 x cell rows (keys, id, columns), as lists."""
+    dealt = in_parts(rows, keys, "id", cell)
+    return dealt.groupBy(*keys, "i", "j").agg(F.collect_list(F.struct("own", "id", *columns)).alias("all")).where(F.size("all") > 1)
+
+
+def _compare(rows: DataFrame, limit: int, cell: int) -> DataFrame:
     """Edges (a, b) from rows (key columns t and key, fp as big-endian binary, id): the
     forests of all cells of more than one row."""
-    crowded = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("t", "key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    pairs = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, own) as i, greatest(x, own) as j))")
-    cells = skew_join(rows, crowded, ["t", "key"], "inner").withColumn("own", own).withColumn("p", F.explode(pairs))
-    grouped = cells.groupBy("t", "key", "p.i", "p.j").agg(F.collect_list(F.struct("own", "fp", "id")).alias("all")).where(F.size("all") > 1)
 
     def run(batches):
         for b in batches:
-            a, c = [], []
-            lists, i, j = b.column("all"), b.column("i").to_pylist(), b.column("j").to_pylist()
-            offsets, flat = lists.offsets.to_numpy(), lists.values
-            own, ids = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("own", "id"))
-            for k, (x, y) in enumerate(zip(i, j, strict=True)):
-                at = slice(offsets[k], offsets[k + 1])
-                raw = flat.field("fp").slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist()
-                fps = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(len(raw), -1)
-                # in order of the fingerprint's first word, the first part's rows before the second's
-                order = np.lexsort((ids[at], fps[:, 0], own[at] != x))
-                fps, d = fps[order], ids[at][order]
-                left = None if x == y else int((own[at] == x).sum())
-                for m, n in forest(fps, limit, left, members(fps) if own_pivots else PIVOTS):
-                    a.append(d[m])
-                    c.append(d[n])
+            edges = [(ids[m], ids[n]) for _, _, _, ids, fps, left in _groups(b) for m, n in forest(fps, limit, left)]
+            a, c = zip(*edges, strict=True) if edges else ((), ())
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    return grouped.select("i", "j", "all").mapInArrow(run, "a long, b long")
+    return _cells(rows, ["t", "key"], cell, "fp").select("i", "j", "all").mapInArrow(run, "a long, b long")
 
 
 def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
@@ -233,32 +262,125 @@ def links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
         spots.append(F.struct(F.lit(number).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
     word = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
     rows = distinct.select(word.alias("fp"), "id", F.explode(F.array(*spots)).alias("s")).select("fp", "id", "s.t", "s.key")
-    return _compare(rows, LIMIT, False, cell)
-
-
-def near_links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between the ids of distinct (fp, least, id) of the near-copy stage."""
-    keyed = distinct.select("fp", "id", "least", F.explode(F.slice("least", 1, KEYS)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    shared = skew_join(keyed, counts, ["key"], "inner")
-    plain = shared.where(F.col("n") <= cell).select("fp", "id", F.lit(0).cast("byte").alias("t"), "key")
-    # the common hash with each other one; a text of that one hash stands by itself
-    others = F.expr("filter(least, x -> x <> key)")
-    pair = F.transform(F.when(F.size(others) > 0, others).otherwise(F.array("key")), lambda x: F.xxhash64(F.least(x, F.col("key")), F.greatest(x, F.col("key"))))
-    split = shared.where(F.col("n") > cell).select("fp", "id", F.lit(1).cast("byte").alias("t"), F.explode(pair).alias("key")).distinct()
-    return _compare(plain.unionByName(split), expected_bits(), True, cell).distinct()
+    return _compare(rows, LIMIT, cell)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, fp, least of docs that have a row key."""
+    """_row, doc_id, same (a digest of the set of shingle hashes), fp and least (its smallest
+    hashes) of docs that have a row key."""
 
     def run(batches):
         for b in batches:
-            made = [signature(x.as_py() or b"") for x in b.column("text").cast(pa.binary())]
-            yield pa.record_batch([b.column(ROW), b.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.list_(pa.int64()))], names=[ROW, "doc_id", "fp", "least"])
+            same, fp, least = [], [], []
+            for x in b.column("text").cast(pa.binary()):
+                hashes = distinct_hashes(x.as_py() or b"")
+                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                fp.append(majority(_spread(hashes, WIDE // 64)))
+                least.append(hashes[:SAMPLE].view(np.int64))
+            yield pa.record_batch([b.column(ROW), b.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=[ROW, "doc_id", "same", "fp", "least"])
 
     rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"{ROW} long, doc_id long, fp binary, least array<long>")
+    return rows.mapInArrow(run, f"{ROW} long, doc_id long, same binary, fp binary, least array<long>")
+
+
+def near_cells(distinct: DataFrame) -> DataFrame:
+    """(key, id): the cells of distinct (id, least). A hash that no other document has in its
+    sample stands before all others in the order, and makes no cell."""
+    spots = distinct.select("id", F.size("least").alias("m"), F.explode("least").alias("h"))
+    shared = spots.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    known = skew_join(spots, shared, ["h"], "inner").groupBy("id").agg(F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("n", "h"))).alias("found"))
+    need = F.least(F.lit(SHARED), F.ceil(F.col("m") * F.lit(SIMILARITY)))
+    first = F.greatest(F.lit(0), F.size("found") - need + 1).cast("int")
+    keys = F.sort_array(F.transform(F.slice("found", F.lit(1), first), lambda f: f["h"]))
+    return known.select("id", keys.alias("keys")).select("id", "keys", F.explode("keys").alias("key"))
+
+
+def survivors(fps: np.ndarray, keys: np.ndarray, key: int, left: int | None = None):
+    """Blocks of pairs (i, j) and distances of a cell that survive and have no cell in common
+    that comes before this one; ``keys`` has a row's cells, in order."""
+    # a row's place of this cell; what follows it is left out by a number of its own
+    before = np.where(keys < key, keys, np.arange(len(keys))[:, None] - (1 << 62))
+    width = int((keys < key).sum(axis=1).max(initial=0))
+    for i, j, d in near_pairs(fps, expected_bits(), left, members(fps)):
+        first = np.ones(len(i), bool)
+        for a in range(width):
+            own = before[i, a]
+            for c in range(width):
+                first &= own != before[j, c]
+        if first.any():
+            yield i[first], j[first], d[first]
+
+
+def _keys(rows: pa.Array, order: np.ndarray) -> np.ndarray:
+    """The rows' cells, filled up with the largest long."""
+    lists = rows.field("keys").to_pylist()
+    out = np.full((len(order), max(map(len, lists))), 2**63 - 1, np.int64)
+    for at, k in enumerate(order):
+        out[at, : len(lists[k])] = lists[k]
+    return out
+
+
+def _marks(batches):
+    """The rows of a cell that have a survivor."""
+    for b in batches:
+        at, found, cells = [], [], b.column("key").to_pylist()
+        for k, rows, order, ids, fps, left in _groups(b):
+            hit = np.zeros(len(ids), bool)
+            for i, j, _ in survivors(fps, _keys(rows, order), cells[k], left):
+                hit[i] = hit[j] = True
+            found += ids[hit].tolist()
+            at += [k] * int(hit.sum())
+        yield pa.record_batch([b.column("key").take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], names=["key", "id"])
+
+
+def verified(found: list, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the survivors (blocks of i, j, distance) that are similar, by
+    index; the nearest fingerprints first, and no pair that is connected already."""
+    if not found:
+        return []
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    sizes = np.array([x[0] for x in sketches], np.int64)
+    fit = np.minimum(sizes[i], sizes[j]) >= SIMILARITY * np.maximum(sizes[i], sizes[j]) - 1e-9
+    i, j, d = i[fit], j[fit], d[fit]
+    order = np.argsort(d, kind="stable")
+    i, j, label, out = i[order], j[order], np.arange(len(sketches)), []
+    for a in range(0, len(i), 1 << 12):
+        x, y = i[a : a + (1 << 12)], j[a : a + (1 << 12)]
+        apart = label[x] != label[y]
+        for m, n in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+            p, q = label[m], label[n]
+            if p != q and similar(sketches[m], sketches[n]):
+                label[label == max(p, q)] = min(p, q)
+                out.append((m, n))
+    return out
+
+
+def _links(batches):
+    for b in batches:
+        edges, cells = [], b.column("key").to_pylist()
+        for k, rows, order, ids, fps, left in _groups(b):
+            raw = rows.field("sketch").to_pylist()
+            found = list(survivors(fps, _keys(rows, order), cells[k], left))
+            edges += [(ids[m], ids[n]) for m, n in verified(found, [np.frombuffer(raw[x], np.uint32) for x in order])]
+        a, c = zip(*edges, strict=True) if edges else ((), ())
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+
+def _sketches(batches):
+    for b in batches:
+        yield pa.record_batch([b.column("id"), pa.array([sketch(x.as_py() or b"") for x in b.column("text").cast(pa.binary())], pa.binary())], names=["id", "sketch"])
+
+
+def near_links(distinct: DataFrame, texts: DataFrame, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between the ids of distinct (id, fp, least) whose texts (_row, text; an id
+    is a _row) are similar."""
+    cells = materialise(near_cells(distinct))
+    met = _cells(cells.join(distinct.select("id", "fp"), "id"), ["key"], cell, "fp", "keys").select("key", "i", "j", "all")
+    marks = materialise(met.mapInArrow(_marks, "key long, id long").distinct())
+    whole = sent_if_few(materialise(marks.select("id").distinct()), 32)
+    again = texts.select(F.col(ROW).alias("id"), F.col("text").cast("string").alias("text")).join(whole, "id", "left_semi").mapInArrow(_sketches, "id long, sketch binary")
+    known = marks.join(distinct.select("id", "fp"), "id").join(materialise(again), "id").join(cells.select("key", "id", "keys"), ["key", "id"])
+    return materialise(_cells(known, ["key"], cell, "fp", "keys", "sketch").select("key", "i", "j", "all").mapInArrow(_links, "a long, b long"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -276,8 +398,11 @@ def drop_near_copies(docs: DataFrame, cell: int = CELL) -> DataFrame:
     """docs with one row of each group of near copies, one that has its smallest doc_id, null
     last. Rows are linked by a key of their own, so rows without a doc_id are linked as well."""
     keyed = with_row_key(docs)
+    rows = materialise(signatures(fields(keyed, "doc_id", "text")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", ROW)).alias("first")
-    distinct = materialise(signatures(fields(keyed, "doc_id", "text")).groupBy("fp", "least").agg(first).withColumn("id", F.col(f"first.{ROW}")))
-    parts = connected_components(near_links(distinct.select("fp", "least", "id"), cell), "a", "b").select(F.col("node").alias("id"), "component")
+    distinct = materialise(rows.groupBy("same").agg(first, F.first("fp").alias("fp"), F.first("least").alias("least")).withColumn("id", F.col(f"first.{ROW}")))
+    edges = near_links(distinct, fields(keyed, "text"), cell)
+    parts = connected_components(edges, "a", "b").select(F.col("node").alias("id"), "component")
     stays = distinct.select("id", "first").join(parts, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("first").alias("first"))
-    return restored(semi_join_null_safe(keyed, stays.select(f"first.{ROW}"), ROW))
+    dropped = rows.select(ROW).join(stays.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti")
+    return restored(without_rows(keyed, materialise(dropped)))
