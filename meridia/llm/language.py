@@ -34,18 +34,48 @@ from meridia.llm.url_filter import host_of
 PER_LANGUAGE, BUCKETS, EFFECTIVE, SEED = 300, 1 << 15, 60.0, 5
 KAPPA_HOST, KAPPA_DOMAIN, ALPHA = 8.0, 16.0, 0.5
 
-_DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_OPEN = re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _ENTITY = re.compile(r"&#?\w{1,10};")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
 def visible_text(html: str) -> str:
-    return _ENTITY.sub(" ", _DROP.sub(" ", html))
+    """Markup gone, scripts, styles and comments with their content; what never closes stays.
+    One pass: an end that was looked for in vain is not looked for again."""
+    out, last, at, lost = [], 0, html.find("<"), set()
+    end_of_tags = html.rfind(">")
+    while 0 <= at < end_of_tags:
+        end = -1
+        opened = _OPEN.match(html, at)
+        name = opened[1].lower() if opened else "comment" if html.startswith("<!--", at) else None
+        if name and name not in lost:
+            if name == "comment":
+                end = html.find("-->", at + 4)
+                end = end + 3 if end >= 0 else -1
+            else:
+                closed = _CLOSE[name].search(html, opened.end())
+                end = closed.end() if closed else -1
+            if end < 0:
+                lost.add(name)
+        if end < 0:
+            end = html.find(">", at) + 1
+        out += [html[last:at], " "]
+        last, at = end, html.find("<", end)
+    return _ENTITY.sub(" ", "".join([*out, html[last:]]))
 
 
 def declared_language(html: str) -> str:
-    m = _DECLARED.search(html)
-    return m[1].lower() if m else ""
+    """The lang of the first html tag that states one. A tag that opens within another's
+    angle brackets holds nothing that the outer one does not."""
+    at = 0
+    while opened := _HTML.search(html, at):
+        end = html.find(">", opened.end())
+        at = len(html) if end < 0 else end
+        told = _LANG.search(html, opened.end(), at)
+        if told:
+            return told[1].lower()
+    return ""
 
 
 def grams(text: str) -> np.ndarray:
