@@ -38,6 +38,7 @@ names, are left alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import accumulate, combinations
 
@@ -168,7 +169,7 @@ def near_pairs(fps: np.ndarray, limit: int = LIMIT, left: int | None = None, piv
     with left set, only pairs of one of the first ``left`` and one of the rest."""
     n = len(fps)
     table = pivot_table(fps, pivots)
-    step = max(1, (1 << 20) // max(n, 1))
+    step = max(1, (1 << 18) // max(n, 1))
     for a in range(0, n if left is None else left, step):
         rows = np.arange(a, min(a + step, n if left is None else left))
         keep = np.arange(n)[None, :] > rows[:, None] if left is None else np.broadcast_to(np.arange(n)[None, :] >= left, (len(rows), n))
@@ -333,25 +334,23 @@ def _marks(batches):
         yield pa.record_batch([b.column("key").take(pa.array(at, pa.int64())), pa.array(found, pa.int64())], names=["key", "id"])
 
 
-def verified(found: list, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+def verified(found: Iterable, sketches: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the survivors (blocks of i, j, distance) that are similar, by
-    index; the nearest fingerprints first, and no pair that is connected already."""
-    if not found:
-        return []
-    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    sizes = np.array([x[0] for x in sketches], np.int64)
-    fit = np.minimum(sizes[i], sizes[j]) >= SIMILARITY * np.maximum(sizes[i], sizes[j]) - 1e-9
-    i, j, d = i[fit], j[fit], d[fit]
-    order = np.argsort(d, kind="stable")
-    i, j, label, out = i[order], j[order], np.arange(len(sketches)), []
-    for a in range(0, len(i), 1 << 12):
-        x, y = i[a : a + (1 << 12)], j[a : a + (1 << 12)]
-        apart = label[x] != label[y]
-        for m, n in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
-            p, q = label[m], label[n]
-            if p != q and similar(sketches[m], sketches[n]):
-                label[label == max(p, q)] = min(p, q)
-                out.append((m, n))
+    index: block by block the nearest fingerprints first, and no pair that is connected already."""
+    sizes, label, out = np.array([x[0] for x in sketches], np.int64), np.arange(len(sketches)), []
+    for i, j, d in found:
+        fit = (np.minimum(sizes[i], sizes[j]) >= SIMILARITY * np.maximum(sizes[i], sizes[j]) - 1e-9) & (label[i] != label[j])
+        i, j, d = i[fit], j[fit], d[fit]
+        order = np.argsort(d, kind="stable")
+        i, j = i[order], j[order]
+        for a in range(0, len(i), 1 << 12):
+            x, y = i[a : a + (1 << 12)], j[a : a + (1 << 12)]
+            apart = label[x] != label[y]
+            for m, n in zip(x[apart].tolist(), y[apart].tolist(), strict=True):
+                p, q = label[m], label[n]
+                if p != q and similar(sketches[m], sketches[n]):
+                    label[label == max(p, q)] = min(p, q)
+                    out.append((m, n))
     return out
 
 
@@ -360,7 +359,7 @@ def _links(batches):
         edges, cells = [], b.column("key").to_pylist()
         for k, rows, order, ids, fps, left in _groups(b):
             raw = rows.field("sketch").to_pylist()
-            found = list(survivors(fps, _keys(rows, order), cells[k], left))
+            found = survivors(fps, _keys(rows, order), cells[k], left)
             edges += [(ids[m], ids[n]) for m, n in verified(found, [np.frombuffer(raw[x], np.uint32) for x in order])]
         a, c = zip(*edges, strict=True) if edges else ((), ())
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
