@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import dates, numbers, text
-from meridia.operators import joins, rules
+from meridia.operators import joins, rules, terms
 from meridia.plans.common import sql_values, t, values
 
 QUERIES: dict = {}
@@ -39,6 +39,24 @@ def q_tag_distribution(spark, d):
     return tagged.groupBy("tag").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_seen"))
 
 
+# Terms: all words of four letters or more and all pairs of words of the benchmark's texts.
+_NORMAL = "trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH b AS (SELECT string_split({_NORMAL.format("text")}, ' ') AS w FROM benchmark),
+terms AS (SELECT DISTINCT t FROM (SELECT unnest(list_filter(w, lambda x: length(x) >= 4)) AS t FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b)),
+d AS (SELECT doc_id, string_split({_NORMAL.format("text")}, ' ') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i < len(w) THEN w[i] || ' ' || w[i + 1] END)) AS pair, unnest(range(1, len(w) + 1)) AS i FROM d),
+placed AS (SELECT *, 1 + coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM p),
+h AS (SELECT doc_id, word AS term, place FROM placed UNION ALL SELECT doc_id, pair, place FROM placed WHERE pair IS NOT NULL)
+SELECT doc_id, term, count(*) AS hits, CAST(min(place) AS BIGINT) AS first FROM h JOIN terms ON term = t GROUP BY doc_id, term""")
+def q_term_table(spark, d):
+    w = F.split(text.normalise(F.col("text")), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    named = t(spark, d, "benchmark").select(w.alias("w")).select(F.explode(F.concat(F.filter("w", lambda x: F.length(x) >= 4), F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term")).distinct()
+    return terms.match_terms(t(spark, d, "documents"), ["doc_id"], "text", named, "term")
+
+
 WINDOW = 8
 
 
