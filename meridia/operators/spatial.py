@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import geo
-from meridia.operators.shared import connected_components
+from meridia.operators.rounds import first_free_colours
+from meridia.operators.shared import connected_components, materialise
 
 
 def point_in_units(points: DataFrame, units: DataFrame, cell: float) -> DataFrame:
@@ -111,21 +112,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def colours(edges: DataFrame, group: str) -> DataFrame:
-    """Greedy colouring by falling degree, then node: each group (a sheet) by itself."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        colour: dict = {}
-        for node in sorted(near, key=lambda n: (-len(near[n]), n)):
-            used = {colour[m] for m in near[node] if m in colour}
-            colour[node] = next(c for c in range(len(used) + 1) if c not in used)
-        return pd.DataFrame({group: pdf[group].iloc[0], "node": list(colour), "colour": list(colour.values())})
-
-    kinds = dict(edges.dtypes)
-    return edges.groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, node {kinds['a']}, colour long")
+    """Greedy colouring by falling degree, then node: each group (a sheet) by itself, in
+    rounds over the nodes that wait for no other, so that no group meets in one task."""
+    both = edges.select(group, "a", "b").unionByName(edges.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    degrees = both.groupBy(group, F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+    nodes = materialise(degrees.withColumn("id", F.monotonically_increasing_id()))
+    named = lambda c, p: nodes.select(group, F.col("node").alias(c), F.col("degree").alias(f"{p}_degree"), F.col("id").alias(p))
+    met = both.join(named("a", "low"), [group, "a"]).join(named("b", "high"), [group, "b"])
+    before = (F.col("high_degree") > F.col("low_degree")) | ((F.col("high_degree") == F.col("low_degree")) & (F.col("b") < F.col("a")))
+    coloured = first_free_colours(nodes.select("id"), met.where(before).select("low", "high"))
+    return nodes.join(coloured, "id").select(group, "node", "colour")
 
 
 def hull(points: DataFrame, group: str, clip: Sequence[float] | None = None) -> DataFrame:

@@ -152,10 +152,10 @@ def q_arg_rows(spark, d):
     return t(spark, d, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct("p_retailprice", -F.col("p_partkey"))).alias("dearest"), F.min_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("cheapest"))
 
 
-@query("SELECT n_nationkey, n_name, coalesce(n, 0) AS n, CASE WHEN area >= 25 THEN 'measured' WHEN area > 0 THEN 'too_little_read' ELSE 'no_sheet' END AS basis, CASE WHEN area >= 25 THEN round(coalesce(n, 0) / area, 9) END AS density FROM (SELECT *, CAST(n_nationkey * 2 AS DOUBLE) AS area FROM nation) LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey) ON n_nationkey = c_nationkey")
+@query("SELECT n_nationkey, n_name, coalesce(n, 0) AS n, CASE WHEN area >= 25 THEN 'measured' WHEN area > 0 THEN 'too_little_read' ELSE 'no_sheet' END AS basis, CASE WHEN area >= 25 THEN round(coalesce(n, 0) / area, 9) END AS density FROM (SELECT *, CAST(n_nationkey * 2 AS DOUBLE) AS area FROM nation) LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) ON n_nationkey = c_nationkey")
 def q_density_floor(spark, d):
     units = t(spark, d, "nation").select("n_nationkey", "n_name")
-    points = t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").alias("n_nationkey"))
+    points = t(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"))
     return agg.density(units, points, "n_nationkey", (F.col("n_nationkey") * 2).cast("double"), 25).select("n_nationkey", "n_name", "n", "basis", F.round("density", 9).alias("density"))
 
 

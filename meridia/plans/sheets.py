@@ -61,13 +61,13 @@ def q_intersections(spark, d):
     return joins.line_intersections(lines, "sheet").select("sheet", "i", "j", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-_FRAGMENTS = f"SELECT id, x AS x0, y AS y0, x + cos(id % 3 * 0.1::DOUBLE) AS x1, y + sin(id % 3 * 0.1::DOUBLE) AS y1, cos(id % 3 * 0.1::DOUBLE) AS ax, sin(id % 3 * 0.1::DOUBLE) AS ay FROM ({_CUST}) WHERE x < 60"
+_FRAGMENTS = f"SELECT id, x AS x0, y AS y0, x + cos(id % 3 * 0.1::DOUBLE) AS x1, y + sin(id % 3 * 0.1::DOUBLE) AS y1, cos(id % 3 * 0.1::DOUBLE) AS ax, sin(id % 3 * 0.1::DOUBLE) AS ay FROM ({_CUST})"
 
 
 def _fragments(spark, d):
     c, angle = F.col, F.col("id") % 3 * F.lit(0.1)
     ax, ay = F.cos(angle), F.sin(angle)
-    return _cust(spark, d).where("x < 60").select("id", c("x").alias("x0"), c("y").alias("y0"), (c("x") + ax).alias("x1"), (c("y") + ay).alias("y1"), ax.alias("ax"), ay.alias("ay"))
+    return _cust(spark, d).select("id", c("x").alias("x0"), c("y").alias("y0"), (c("x") + ax).alias("x1"), (c("y") + ay).alias("y1"), ax.alias("ax"), ay.alias("ay"))
 
 
 @query(f"""WITH f AS ({_FRAGMENTS}), e AS (SELECT id, 0 AS k, x0 AS x, y0 AS y, -ax AS ox, -ay AS oy, ax, ay FROM f UNION ALL SELECT id, 1, x1, y1, ax, ay, ax, ay FROM f),

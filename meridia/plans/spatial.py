@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from meridia.functions import geo
 from meridia.operators import aggregates as agg
 from meridia.operators import joins
+from meridia.operators import regions as rg
 from meridia.operators import spatial as sp
 from meridia.plans.common import t, values
 
@@ -242,13 +243,13 @@ def q_shoelace_inset(spark, d):
     return _boxes(_cust(spark, d), 5).withColumn("r", ring).select("id", F.round(geo.shoelace(c("r")), 6).alias("area"), F.round(geo.shoelace(geo.inset(c("r"), 0.25)), 6).alias("inner_area"))
 
 
-# A supplier and a part that meet on a line of more than 48 pieces are linked; suppliers are
+# A supplier and a part that meet on a line are linked; suppliers are
 # numbered below zero, parts from zero on.
-_EDGE = "SELECT DISTINCT -l_suppkey - 1 AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 48"
+_EDGE = "SELECT DISTINCT -l_suppkey - 1 AS a, l_partkey AS b FROM lineitem"
 
 
 def _edges(spark, d):
-    return t(spark, d, "lineitem").where("l_quantity > 48").select((-F.col("l_suppkey") - 1).alias("a"), F.col("l_partkey").alias("b")).distinct()
+    return t(spark, d, "lineitem").select((-F.col("l_suppkey") - 1).alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
 @query(f"""WITH RECURSIVE e AS ({_EDGE}), z AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
@@ -273,7 +274,7 @@ n AS (SELECT sheet, node, list(other) AS near FROM z GROUP BY sheet, node), g AS
 c AS (SELECT sheet, unnest(list_reduce(nodes, lambda done, x: list_concat(done, [struct_pack(node := x[1].node, near := x[1].near,
   colour := list_filter(range(len(x[1].near) + 1), lambda c: NOT list_contains(list_transform(list_filter(done, lambda k: list_contains(x[1].near, k.node)), lambda k: k.colour), c))[1])]))) AS r FROM g) SELECT sheet, r.node, r.colour FROM c""")
 def q_colouring(spark, d):
-    # a sheet is a nation's suppliers and their parts; the greedy order is sequential
+    # a sheet is a nation's suppliers and their parts
     nation = t(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("a"), F.col("s_nationkey").alias("sheet"))
     return sp.colours(_edges(spark, d).join(nation, "a"), "sheet")
 
@@ -283,3 +284,16 @@ def q_hull_density(spark, d):
     points = _cust(spark, d).withColumn("unit", F.col("id") % 10)
     hulls = sp.hull(points, "unit", (5.0, 5.0, 95.0, 95.0))
     return agg.density(hulls.select("unit", "area"), points.select("unit"), "unit", F.col("area"), 25.0).select("unit", "n", F.round("area", 6).alias("area"), "basis")
+
+
+# A part and a supplier that meet on a line occupy a cell.
+_CELLS = "SELECT DISTINCT l_partkey AS x, l_suppkey AS y, (l_suppkey + 1073741824) * 2147483648 + l_partkey + 1073741824 AS n FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE c AS MATERIALIZED ({_CELLS}), z AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM c a JOIN c b ON b.n IN (a.n + 1, a.n + 2147483648) UNION ALL SELECT b.n, a.n FROM c a JOIN c b ON b.n IN (a.n + 1, a.n + 2147483648)),
+cc(node, component) USING KEY (node) AS (SELECT n, n FROM c UNION (SELECT z.a, min(v.component) FROM z JOIN cc v ON z.b = v.node JOIN recurring.cc u ON z.a = u.node WHERE v.component < u.component GROUP BY z.a)),
+m AS (SELECT component AS label, x, y FROM cc JOIN c ON node = n), w AS (SELECT label, y, count(*) AS n FROM m GROUP BY label, y)
+SELECT label, count(*) AS cells, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, (SELECT max(n) FROM w WHERE w.label = m.label) AS widest FROM m GROUP BY label""")
+def q_regions(spark, d):
+    labelled = rg.regions(t(spark, d, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")))
+    return rg.reduce_regions(labelled).withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
