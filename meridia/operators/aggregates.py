@@ -84,12 +84,55 @@ def density(units: DataFrame, points: DataFrame, unit: str, area: Column, floor:
     return out.withColumn("basis", basis).withColumn("density", F.when(F.col("basis") == "measured", F.col("n") / F.col("area")))
 
 
+#: Parts that an interval is counted by, and values few enough to be fetched.
+PARTS, FEW = 1024, 2048
+
+
+def exact_quantiles(df: DataFrame, c: str, shares: Sequence[float], few: int = FEW) -> list[float] | None:
+    """The column's quantiles, between neighbouring values as their shares fall: exact, by
+    counting. Intervals that hold a wanted place are counted in PARTS until they hold few
+    values, or one value many times; each pass is a partial aggregate, and the driver gets
+    counts, ends and those few values. Nulls are left out; None where nothing is left."""
+    v = df.select(F.col(c).cast("double").alias("v")).where("v is not null")
+    n, low, high = v.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    places = sorted({k for q in shares for k in (int((n - 1) * q), min(n - 1, int((n - 1) * q) + 1))})
+    known: dict[int, float] = {}
+    open_ = [(low, high, 0, n)]  # least and greatest value, values before it, values in it
+    while open_:
+        wide = [o for o in open_ if o[0] < o[1] and o[3] > few]
+        for lo, hi, before, m in open_:
+            if lo == hi:
+                known |= dict.fromkeys((k for k in places if before <= k < before + m), lo)
+            elif m <= few:
+                values = sorted(r["v"] for r in v.where(F.col("v").between(lo, hi)).collect())
+                known |= {k: values[k - before] for k in places if before <= k < before + m}
+        open_ = []
+        for lo, hi, before, m in wide:
+            # halved first, so that the width of an interval over all doubles is still one
+            part = F.least(F.floor((F.col("v") / 2 - F.lit(lo) / 2) / (F.lit(hi) / 2 - F.lit(lo) / 2) * PARTS), F.lit(PARTS - 1))
+            counted = sorted(map(tuple, v.where(F.col("v").between(lo, hi)).groupBy(part.alias("p")).agg(F.min("v"), F.max("v"), F.count("*")).collect()))
+            for _, a, b, size in counted:
+                if any(before <= k < before + size for k in places):
+                    open_.append((a, b, before, size))
+                before += size
+    out = []
+    for q in shares:
+        h = (n - 1) * q
+        a, b = known[int(h)], known[min(n - 1, int(h) + 1)]
+        out.append(a + (b - a) * (h - int(h)))
+    return out
+
+
 def quantile_classes(df: DataFrame, c: str, classes: int = 7) -> DataFrame:
     """Each row's class by quantile breaks, from 1; all in class 1 if there are fewer rows
-    than classes. The breaks are one row, and broadcast."""
-    breaks = df.agg(F.percentile(c, F.array(*[F.lit(k / classes) for k in range(1, classes)])).alias("breaks"), F.count(c).alias("n_values"))
-    label = F.when(F.col("n_values") < classes, 1).otherwise(1 + F.size(F.filter("breaks", lambda b: b < F.col(c))))
-    return df.crossJoin(F.broadcast(breaks)).withColumn("class", label.cast("int")).drop("breaks", "n_values")
+    than classes, or no values. The breaks are a few constants."""
+    breaks = exact_quantiles(df, c, [k / classes for k in range(1, classes)]) or []
+    if not breaks or df.where(F.col(c).isNotNull()).limit(classes).count() < classes:
+        return df.withColumn("class", F.lit(1))
+    above = F.array(*map(F.lit, breaks))
+    return df.withColumn("class", (1 + F.size(F.filter(above, lambda b: b < F.col(c)))).cast("int"))
 
 
 def dedup_merge(df: DataFrame, key: str, seen: str, carried: Sequence[str], merged: Sequence[str], all_true: Sequence[str] = ()) -> DataFrame:

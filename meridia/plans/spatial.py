@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geo
 from meridia.operators import aggregates as agg
-from meridia.operators import joins
+from meridia.operators import joins, partition
 from meridia.operators import regions as rg
 from meridia.operators import spatial as sp
 from meridia.plans.common import t, values
@@ -297,3 +297,53 @@ SELECT label, count(*) AS cells, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y
 def q_regions(spark, d):
     labelled = rg.regions(t(spark, d, "lineitem").select(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")))
     return rg.reduce_regions(labelled).withColumns({c: F.round(c, 6) for c in ("cx", "cy")})
+
+
+# Half of the points crowd in one unit square, the others spread out with their keys.
+_CROWD = lambda src, k, a: f"SELECT {k} AS id, CASE WHEN {k} % 2 = 0 THEN 500 + {k} * {a} % 997 / 997.0::DOUBLE ELSE CAST({k} AS DOUBLE) END AS x, CASE WHEN {k} % 2 = 0 THEN 500 + {k} * 29 % 991 / 991.0::DOUBLE ELSE {k} * 7 % 1009 / 10.0::DOUBLE END AS y FROM {src}"
+_CROWD_C, _CROWD_S = _CROWD("customer", "c_custkey", 37), _CROWD("supplier", "s_suppkey", 53)
+
+
+def _crowd(df, key: str, a: int):
+    k = F.col(key)
+    x = F.when(k % 2 == 0, 500 + k * a % 997 / F.lit(997.0)).otherwise(k.cast("double"))
+    y = F.when(k % 2 == 0, 500 + k * 29 % 991 / F.lit(991.0)).otherwise(k * 7 % 1009 / F.lit(10.0))
+    return df.select(k.alias("id"), x.alias("x"), y.alias("y"))
+
+
+def _crowds(spark, d):
+    return _crowd(t(spark, d, "customer"), "c_custkey", 37), _crowd(t(spark, d, "supplier"), "s_suppkey", 53)
+
+
+@query(f"SELECT a.id, b.id AS r_id, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 9) AS distance FROM ({_CROWD_C}) a JOIN ({_CROWD_S}) b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.07::DOUBLE")
+def q_crowded_pairs(spark, d):
+    a, b = _crowds(spark, d)
+    near = partition.radius_join(a, b, 0.07, partition.leaves(a.unionByName(b), 64))
+    return near.select("id", "r_id", F.round("distance", 9).alias("distance"))
+
+
+_CROWD_BOX = lambda src, w: f"SELECT id, x AS w, y AS s, x + {w} AS e, y + {w} AS n FROM ({src})"
+
+
+@query(f"""WITH a AS ({_CROWD_BOX(_CROWD_C, "0.05::DOUBLE")}), b AS ({_CROWD_BOX(_CROWD_S, "0.08::DOUBLE")}) SELECT a.id AS a_id, b.id AS b_id, round((least(a.e, b.e) - greatest(a.w, b.w)) * (least(a.n, b.n) - greatest(a.s, b.s)) / least((a.e - a.w) * (a.n - a.s), (b.e - b.w) * (b.n - b.s)), 6) AS share
+FROM a JOIN b ON least(a.e, b.e) > greatest(a.w, b.w) AND least(a.n, b.n) > greatest(a.s, b.s) WHERE (least(a.e, b.e) - greatest(a.w, b.w)) * (least(a.n, b.n) - greatest(a.s, b.s)) / least((a.e - a.w) * (a.n - a.s), (b.e - b.w) * (b.n - b.s)) >= 0.15""")
+def q_crowded_boxes(spark, d):
+    a, b = _crowds(spark, d)
+    box = lambda df, w: df.select("id", F.col("x").alias("w"), F.col("y").alias("s"), (F.col("x") + w).alias("e"), (F.col("y") + w).alias("n"))
+    shared = partition.box_overlap_join(box(a, 0.05), box(b, 0.08), partition.leaves(a.unionByName(b), 64))
+    return shared.select("a_id", "b_id", F.round("share", 6).alias("share"))
+
+
+# A nation's customers in a square, crowded towards its south-west corner; over ten in a box are too many.
+_QUARTER = "SELECT c_nationkey AS k, pow(c_custkey * 37 % 1009 / 1009.0::DOUBLE, 3) * 128 AS x, pow(c_custkey * 91 % 1013 / 1013.0::DOUBLE, 3) * 128 AS y FROM customer"
+
+
+@query(f"""WITH p AS ({_QUARTER}), g AS (SELECT d, k, CAST(floor(x * (1 << d) / 128) AS BIGINT) AS i, CAST(floor(y * (1 << d) / 128) AS BIGINT) AS j, count(*) AS n FROM p, range(9) r(d) GROUP BY ALL),
+b AS (SELECT 0 AS d, n_nationkey AS k, 0 AS i, 0 AS j FROM nation UNION ALL SELECT d + 1, k, 2 * i + q % 2, 2 * j + q // 2 FROM g, range(4) s(q) WHERE n > 10 AND d < 8),
+c AS (SELECT b.d, b.k, b.i, b.j, coalesce(n, 0) AS n FROM b LEFT JOIN g ON b.d = g.d AND b.k = g.k AND b.i = g.i AND b.j = g.j)
+SELECT k, array_to_string(list_transform(range(d), lambda l: CAST((i >> (d - 1 - l)) & 1 + 2 * ((j >> (d - 1 - l)) & 1) AS VARCHAR)), '') AS path, CAST(d AS INT) AS depth, i * 128.0::DOUBLE / (1 << d) AS west, j * 128.0::DOUBLE / (1 << d) AS south, (i + 1) * 128.0::DOUBLE / (1 << d) AS east, (j + 1) * 128.0::DOUBLE / (1 << d) AS north, n FROM c WHERE n <= 10 OR d = 8""".replace("& 1 + 2 *", "& 1) + 2 *").replace("CAST((i >>", "CAST(((i >>"))
+def q_quarters(spark, d):
+    c, k = F.col, F.col("c_custkey")
+    points = t(spark, d, "customer").select(c("c_nationkey").alias("k"), (F.pow(k * 37 % 1009 / F.lit(1009.0), 3) * 128).alias("x"), (F.pow(k * 91 % 1013 / F.lit(1013.0), 3) * 128).alias("y"))
+    boxes = t(spark, d, "nation").select(c("n_nationkey").alias("k"), F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), F.lit(128.0).alias("east"), F.lit(128.0).alias("north"))
+    return partition.quarters(points, boxes, "k", 10, 8)
