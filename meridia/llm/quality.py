@@ -1,22 +1,22 @@
 """Quality classifier: nearest-neighbour voting on latent-semantic vectors.
 
 A text becomes counts of terms: pairs of neighbouring byte classes (letters by case,
-vowel or not, digits, kinds of punctuation, space, line ends), byte pairs, and a few
-shape terms (repeated lines, repeated words, long and short words). Log counts times
+vowel or not, digits, kinds of punctuation, space, line ends), byte pairs, and shape terms of
+three families (what repeats, how lines run, how long words are). Log counts times
 inverse document frequency, projected on the leading singular vectors of the labelled
 rows, give its latent vector. The labelled vectors are broadcast: at most MAX_LABELLED of
 them, a documented bound; for every document the cosines with all of them are computed
 exactly, in blocks, and labels vote with weight exp(sharpness * cosine), each class
-weighted by its share of all training labels. Sharpness, the number of dimensions and
-whether shape terms are used are those of the lists below under which the training rows
-foretell one another best: each is left out of its own vote, and the mean log loss counts.
+weighted by its share of all training labels. Sharpness, the number of dimensions and which
+families of shape terms are used are those of the lists below under which the training
+rows foretell one another best: each is left out of its own vote, and the mean log loss counts.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 are ever learned from, settings
 included; the sample of them is the MAX_LABELLED / 2 of each label that come first in
 seeded hash order. Byte pairs are hashed to N_BYTES terms.
 
-Defined cases: a null text is empty; an empty text, and any text when there are no labels
-at all, scores the training share of label 1 (0.5 without labels); labels null or other
+Defined cases: a null text is empty; a text of less than two bytes, and any text when there
+are no labels at all, scores the training share of label 1 (0.5 without labels); labels null or other
 than 0 and 1, or without a document, are ignored; of several labels of one document the
 larger counts; repeated rows each get the same score; equal cosines vote alike; texts of
 any length are read whole; no documents: no rows; other columns are left alone.
@@ -25,6 +25,7 @@ any length are read whole; no documents: no rows; other columns are left alone.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 from operator import eq
 
 import numpy as np
@@ -50,7 +51,10 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
-N_PAIRS, N_BYTES, N_SHAPES = 32 * 32, 1024, 24
+N_PAIRS, N_BYTES = 32 * 32, 2048
+#: Families of shape terms; a term is there twice, as its measure and as what that lacks of one.
+FAMILIES = {"repetition": 3, "lines": 2, "words": 2}
+N_SHAPES = 2 * sum(FAMILIES.values())
 N_TERMS = N_PAIRS + N_BYTES + N_SHAPES
 
 
@@ -67,11 +71,10 @@ def terms(text: str) -> np.ndarray:
     out[N_PAIRS : N_PAIRS + N_BYTES] = np.bincount((wide[:-1] * 257 + wide[1:] * 31) % N_BYTES, minlength=N_BYTES)
     lines, words = [x for x in data.split(b"\n") if x.strip()], data.split()
     n = len(words)
-    again = sum(map(eq, words, words[1:])) / max(1, n)
     shapes = (
-        again, min(1.0, 4 * again),
-        1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / max(1, n), n / max(1, len(lines)) / 100,
-        sum(map(len, words)) / max(1, n) / 10, max(map(len, words), default=0) / 100, max(map(len, lines), default=0) / 1000,
+        sum(map(eq, words, words[1:])) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(words)) / max(1, n),
+        n / max(1, len(lines)) / 100, max(map(len, lines), default=0) / 1000,
+        sum(map(len, words)) / max(1, n) / 10, max(map(len, words), default=0) / 100,
     )
     at = N_PAIRS + N_BYTES
     for k, x in enumerate(shapes):  # as counts in proportion to the text, so that the log treats them like terms
@@ -131,28 +134,52 @@ def own_loss(vectors: np.ndarray, labels: np.ndarray, weights: np.ndarray, sharp
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, prior: float) -> Model:
-    """From the sample's term counts; prior is the share of label 1 in all training rows."""
+    """From the sample's term counts; prior is the share of label 1 in all training rows. The
+    families are chosen at the middle settings, the settings with the families chosen."""
     if not len(counts):
         return Model(np.ones(N_TERMS, np.float32), np.zeros((N_TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros((0, 2), np.float32), prior)
     ones = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
     weights = np.stack([(labels == 0) * (1 - prior) / ones[1], (labels == 1) * prior / ones[0]], axis=1).astype(np.float32)
     full = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+    x = weighted(counts, full)
+    ends = np.cumsum([0, N_PAIRS + N_BYTES, *(2 * n for n in FAMILIES.values())])
+    # inner products of the rows, by family: those of any choice are a sum of these
+    inner = [x[:, p:q] @ x[:, p:q].T for p, q in zip(ends, ends[1:], strict=False)]
     best, found = np.inf, None
-    for shapes in (True, False):
-        idf = full if shapes else np.where(np.arange(N_TERMS) < N_PAIRS + N_BYTES, full, 0).astype(np.float32)
-        x = weighted(counts, idf)
+    for chosen in sorted(product((False, True), repeat=len(FAMILIES)), key=sum):  # a tie takes fewer
+        gram = sum((k for k, on in zip(inner, (True, *chosen), strict=True) if on), np.zeros_like(inner[0]))
+        values, rows = leading(gram, max(DIMENSIONS) + 1)
         # the first direction is what all texts share
-        directions = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, 1 : max(DIMENSIONS) + 1].astype(np.float32)
-        latent = x @ directions
-        del x
-        for n in DIMENSIONS:
-            vectors = unit(latent[:, :n])
-            for sharpness in SHARPNESS:
-                loss = own_loss(vectors, labels, weights, sharpness)
-                if loss < best - 1e-6:
-                    best, found = loss, (idf, np.ascontiguousarray(directions[:, :n]), vectors, sharpness)
-    idf, projection, vectors, sharpness = found
-    return Model(idf, projection, vectors, weights, prior, sharpness)
+        latent = (rows * np.sqrt(values))[:, 1:]
+        loss = own_loss(unit(latent[:, : DIMENSIONS[1]]), labels, weights, SHARPNESS[2])
+        if loss < best - 1e-6:
+            best, found = loss, (chosen, values, rows, latent)
+    chosen, values, rows, latent = found
+    used = np.repeat([True, *chosen], np.diff(ends))
+    del inner, gram
+    best = np.inf
+    for n in DIMENSIONS:
+        for sharpness in SHARPNESS:
+            loss = own_loss(unit(latent[:, :n]), labels, weights, sharpness)
+            if loss < best - 1e-6:
+                best, found = loss, (n, sharpness)
+    n, sharpness = found
+    idf = np.where(used, full, 0).astype(np.float32)
+    # singular vectors of the terms from those of the rows
+    projection = np.ascontiguousarray((x * used).T @ (rows / np.sqrt(values))[:, 1 : n + 1]).astype(np.float32)
+    return Model(idf, projection, unit(latent[:, :n]), weights, prior, sharpness)
+
+
+def leading(gram: np.ndarray, n: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The n largest eigenvalues of a matrix of inner products and their vectors, as columns,
+    by subspace iteration."""
+    n = min(n, len(gram))
+    q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((len(gram), min(len(gram), 2 * n))).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(gram @ q)[0]
+    values, vectors = np.linalg.eigh((q.T @ (gram @ q)).astype(np.float64))
+    top = np.argsort(-values)[:n]
+    return np.maximum(values[top], 1e-9).astype(np.float32), (q @ vectors[:, top]).astype(np.float32)
 
 
 def held_out(c: str = "doc_id"):
@@ -178,11 +205,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
     # a doc_id that many rows share adds one row to the sample
-    got = sample.mapInArrow(run, "doc_id long, quality int, terms binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("terms").alias("terms")).toPandas().sort_values("doc_id")
-    counts = np.zeros((len(got), N_TERMS), np.float32)
-    for k, x in enumerate(got.pop("terms")):
-        counts[k] = np.frombuffer(x, np.float32)
-    return fit(counts, got["quality"].to_numpy(), prior)
+    got = sample.mapInArrow(run, "doc_id long, quality int, terms binary").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("terms").alias("terms"))
+    counts, told = np.zeros((len(rows), N_TERMS), np.float32), np.full(len(rows), -1)
+    place = {i: k for k, i in enumerate(sorted(r["doc_id"] for r in rows))}
+    for r in got.toLocalIterator():
+        counts[place[r["doc_id"]]], told[place[r["doc_id"]]] = np.frombuffer(r["terms"], np.float32), r["quality"]
+    if (told < 0).any():  # labels of documents that are not there
+        counts, told = counts[told >= 0], told[told >= 0]
+    return fit(counts, told, prior)
 
 
 def scorer(docs: DataFrame, model: Model):
