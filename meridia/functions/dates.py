@@ -80,3 +80,11 @@ def date_label(low: Column, high: Column) -> Column:
 def century_key(label: Column) -> Column:
     """A number to sort century labels by; 99 without one."""
     return F.coalesce(F.regexp_replace(label, "[^0-9]", "").try_cast("int"), F.lit(99))
+
+
+def survey_gap(early: Column, late: Column) -> Column:
+    """struct<same_survey, gap>: whether two lists of survey years state the same years (both
+    some), and the years from the early list's last to the late one's; null if either is empty."""
+    some = (F.coalesce(F.size(early), F.lit(0)) > 0) & (F.coalesce(F.size(late), F.lit(0)) > 0)
+    same = some & (F.size(F.array_except(early, late)) == 0) & (F.size(F.array_except(late, early)) == 0)
+    return F.struct(F.coalesce(same, F.lit(False)).alias("same_survey"), F.when(some, F.array_max(late) - F.array_max(early)).alias("gap"))

@@ -207,3 +207,10 @@ def leave_one_out(df: DataFrame, keys: Sequence[str], x: str, y: str, targets: S
 def principal_axis(x: Column, y: Column) -> Column:
     """Angle of the longest axis in radians, from variances and covariance."""
     return F.lit(0.5) * F.atan2(2 * F.covar_pop(x, y), F.var_pop(x) - F.var_pop(y))
+
+
+def mode(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
+    """keys, mode, votes: each group's most frequent value, the least of equals; nulls do not
+    count. Values are counted first, so that no group is in one place."""
+    counts = df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("votes"))
+    return counts.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col(c).alias("v"))).alias("b")).select(*keys, F.col("b.v").alias("mode"), (-F.col("b.n")).alias("votes"))

@@ -285,3 +285,32 @@ def linked_runs(fragments: DataFrame, passes: int = 3) -> DataFrame:
         unit = lambda d: F.when(size > 0, d / size).otherwise(0.0)
         state = state.select(c("run").alias("id"), c("members").cast("long").alias("members"), c("p.x").alias("x0"), c("p.y").alias("y0"), c("q.x").alias("x1"), c("q.y").alias("y1"), unit(dx).alias("ax"), unit(dy).alias("ay"))
     return state
+
+
+def nearest_by_source(scored: DataFrame, key: str, source: str, entity: str, distance: str) -> DataFrame:
+    """key, entity, source, distance (the pooled winner), runner_up, runner_up_distance (the
+    nearest of another entity), sources_naming, sources_agreeing, by_source (array of source,
+    entity, distance: each source's own nearest). scored holds the labels within reach, a row a
+    key and label; ties go to the lesser entity, then source. Each source's nearest is a
+    partial minimum; a key has as many rows after it as sources and entities."""
+    nearest = lambda *by: F.min(F.struct(F.col(distance).alias("d"), F.col(entity).alias("e"), F.col(source).alias("s"))).alias("b")
+    own = scored.groupBy(key, source).agg(nearest()).groupBy(key).agg(F.min("b").alias("w"), F.array_sort(F.collect_list(F.struct("b.s", "b.e", "b.d"))).alias("by_source"))
+    ranked = scored.groupBy(key, entity).agg(F.min(distance).alias("d")).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("d", entity))).where("n = 2")
+    second = ranked.select(F.col(key).alias("_k"), F.col(entity).alias("runner_up"), F.col("d").alias("runner_up_distance"))
+    agreeing = F.size(F.filter("by_source", lambda b: b["e"].eqNullSafe(F.col("w")["e"])))
+    return own.join(second, F.col(key) == F.col("_k"), "left").select(key, F.col("w.e").alias("entity"), F.col("w.s").alias("source"), F.col("w.d").alias("distance"), "runner_up", "runner_up_distance", F.size("by_source").alias("sources_naming"), agreeing.alias("sources_agreeing"), "by_source")
+
+
+def shared_corners(open_: DataFrame, grounded: DataFrame, radius: float, most_off: float) -> DataFrame:
+    """sheet, distance, neighbour: sheets borne out by a corner of a grounded one, the nearest
+    within the radius, of the same zone and another sheet. Both sides: sheet, zone, x, y, a row
+    a corner; open sheets carry off, how far the catalogue puts them, and are only tried up
+    to ``most_off``. Grounded sheets are no open ones, so that nothing is borne out in chains."""
+    tried = open_.where(F.col("off") <= most_off).join(grounded.select("sheet").distinct(), "sheet", "left_anti")
+    near = radius_join(tried, grounded.select("sheet", "zone", "x", "y"), radius).where((F.col("zone") == F.col("r_zone")) & (F.col("sheet") != F.col("r_sheet")))
+    return near.groupBy("sheet").agg(F.min(F.struct("distance", F.col("r_sheet").alias("n"))).alias("b")).select("sheet", F.col("b.distance").alias("distance"), F.col("b.n").alias("neighbour"))
+
+
+def missing_last(c: Column, sentinel) -> Column:
+    """A sort key under which a missing value counts as the sentinel."""
+    return F.coalesce(c, F.lit(sentinel))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import dates, numbers, text
 from meridia.operators import joins, rules
+from meridia.operators import record_codes as codes
 from meridia.plans.common import sql_values, t, values
 
 QUERIES: dict = {}
@@ -214,3 +215,36 @@ def q_predicates(spark, d):
         "p_partkey", text.contains_any(x, ["ring", "bolt"]).alias("any_term"), (x.isNotNull() & (x != "")).alias("present"), (c("p_size") * c("p_retailprice")).between(5000, 20000).alias("in_range"),
         c("p_brand").isin("Brand#1", "Brand#3").alias("listed"), rules.gate(c("p_size") <= 10, c("p_retailprice") > 950).alias("usable"), text.blob(c("p_name"), c("p_type")).alias("blob"),
     )
+
+
+# A record's fields by its key; what each says is known from the key alone.
+_KIND = "CASE p_partkey % 5 WHEN 0 THEN 'Carte manuscrite' WHEN 1 THEN 'Atlas' WHEN 2 THEN 'Plan de ville' WHEN 3 THEN 'Vue perspective' ELSE 'Objet' END"
+_MADE = "CASE p_partkey % 7 WHEN 0 THEN '1 carte : ms., en coul. ; 40 x 30 cm' WHEN 1 THEN 'Gravure sur cuivre, en noir' WHEN 2 THEN 'Lithogr. coloriée' WHEN 3 THEN 'À la plume, n. et b.' WHEN 5 THEN '1 flle' WHEN 6 THEN 'calque' END"
+_BY = "CASE p_partkey % 3 WHEN 0 THEN 'Musée du Bardo' WHEN 1 THEN 'Anonyme' END"
+_ISSUED = "CASE p_partkey % 11 WHEN 0 THEN 'Dépôt de la Guerre' WHEN 1 THEN 'Service Hydrographique' WHEN 2 THEN 'CADASTRE' WHEN 3 THEN '[s.n.]' WHEN 4 THEN NULL ELSE 'Hachette' END"
+_TOLD = "CASE WHEN p_partkey % 2 = 0 THEN 'Imprimé à Tunis' ELSE 'sans date' END"
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 5 AS a, p_partkey % 7 AS b, p_partkey % 3 AS c, p_partkey % 11 AS e, p_partkey % 2 AS f, p_partkey % 4 AS g FROM part)
+SELECT p_partkey, CASE WHEN a = 0 OR b IN (0, 3) THEN 'manuscript' WHEN b IN (1, 2) OR f = 0 OR e NOT IN (3, 4) THEN 'printed' ELSE 'unknown' END AS production,
+CASE WHEN b IN (0, 2) THEN 'colour' WHEN b IN (1, 3) THEN 'monochrome' ELSE 'unknown' END AS colour,
+CASE e WHEN 0 THEN 'military_survey' WHEN 1 THEN 'hydrographic' WHEN 2 THEN 'civil_survey' ELSE CASE WHEN c = 0 THEN 'scholarly' WHEN e IN (3, 4) THEN 'unknown' ELSE 'commercial' END END AS authority,
+CASE a WHEN 0 THEN 'map' WHEN 1 THEN 'atlas' WHEN 2 THEN 'plan' WHEN 3 THEN 'view' ELSE 'other' END AS genre,
+CASE WHEN g < 2 AND c < 2 THEN '1_analytic' WHEN c < 2 OR f = 0 THEN '2_contextual' ELSE '3_reference' END AS tier FROM k""")
+def q_record_codes(spark, d):
+    rows = t(spark, d, "part").select("p_partkey", *[F.expr(e).alias(n) for e, n in ((_KIND, "kind"), (_MADE, "made"), (_BY, "by"), (_ISSUED, "issued"), (_TOLD, "told"))])
+    c, k = F.col, F.col("p_partkey")
+    scale = F.when(k % 4 == 0, "large").when(k % 4 == 1, "medium").when(k % 4 == 2, "small")
+    scan = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
+    return rows.select(
+        "p_partkey", codes.production_mode(c("kind"), c("made"), c("by"), c("told"), c("issued")).alias("production"), codes.colour(c("made")).alias("colour"), codes.authority(c("issued"), c("by")).alias("authority"),
+        codes.genre(c("kind")).alias("genre"), codes.research_tier(scale, scan, k % 2 == 0).alias("tier"),
+    )
+
+
+@query("""WITH y AS (SELECT o_custkey AS k, list_distinct(list(year(o_orderdate)) FILTER (WHERE o_orderstatus = 'F')) AS early, list_distinct(list(year(o_orderdate)) FILTER (WHERE o_orderstatus = 'O')) AS late FROM orders GROUP BY o_custkey)
+SELECT k, coalesce(len(early), 0) > 0 AND coalesce(len(late), 0) > 0 AND list_sort(early) = list_sort(late) IS TRUE AS same_survey, CASE WHEN len(early) > 0 AND len(late) > 0 THEN list_max(late) - list_max(early) END AS gap FROM y""")
+def q_survey_gap(spark, d):
+    years = lambda s: F.collect_set(F.when(F.col("o_orderstatus") == s, F.year("o_orderdate")))
+    y = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(years("F").alias("early"), years("O").alias("late"))
+    return y.select("k", dates.survey_gap(F.col("early"), F.col("late")).alias("g")).select("k", "g.*")

@@ -180,3 +180,14 @@ def q_spread_sample(spark, d):
 @query("SELECT n_name, CASE WHEN contains(n_name, ' - ') THEN trim(split_part(n_name, ' - ', 1)) WHEN n_name = 'FRANCE' THEN 'EUROPE' ELSE '' END AS parent FROM nation")
 def q_parent_name(spark, d):
     return t(spark, d, "nation").select("n_name", text.parent_name(F.col("n_name"), {"FRANCE": "EUROPE"}).alias("parent"))
+
+
+@query("SELECT user_id, event_type AS mode, n AS votes FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS k FROM events WHERE event_type IS NOT NULL GROUP BY user_id, event_type) WHERE k = 1")
+def q_mode(spark, d):
+    return agg.mode(t(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN year(o_orderdate) END AS year, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN year(o_orderdate) END, 9999) AS place FROM orders ORDER BY place, o_orderkey")
+def q_missing_last(spark, d):
+    rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.year("o_orderdate")).alias("year"))
+    return rows.withColumn("place", joins.missing_last(F.col("year"), 9999)).orderBy("place", "o_orderkey")

@@ -347,3 +347,30 @@ def q_quarters(spark, d):
     points = t(spark, d, "customer").select(c("c_nationkey").alias("k"), (F.pow(k * 37 % 1009 / F.lit(1009.0), 3) * 128).alias("x"), (F.pow(k * 91 % 1013 / F.lit(1013.0), 3) * 128).alias("y"))
     boxes = t(spark, d, "nation").select(c("n_nationkey").alias("k"), F.lit(0.0).alias("west"), F.lit(0.0).alias("south"), F.lit(128.0).alias("east"), F.lit(128.0).alias("north"))
     return partition.quarters(points, boxes, "k", 10, 8)
+
+
+_NAMED = f"SELECT c.id, s.id % 3 AS source, s.id % 7 AS entity, sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) AS d FROM ({_CUST}) c JOIN ({_SUPP}) s ON sqrt(pow(c.x - s.x, 2) + pow(c.y - s.y, 2)) <= 9"
+
+
+@query(f"""WITH n AS MATERIALIZED ({_NAMED}), s AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY id, source ORDER BY d, entity) = 1), w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, entity, source) = 1),
+r AS (SELECT n.id, arg_min(n.entity, struct_pack(d := n.d, e := n.entity)) AS runner_up, min(n.d) AS rd FROM n JOIN w ON n.id = w.id AND n.entity <> w.entity GROUP BY n.id)
+SELECT w.id, w.entity, w.source, round(w.d, 6) AS distance, runner_up, round(rd, 6) AS runner_up_distance, (SELECT CAST(count(*) AS INT) FROM s WHERE s.id = w.id) AS sources_naming, (SELECT CAST(count(*) AS INT) FROM s WHERE s.id = w.id AND s.entity = w.entity) AS sources_agreeing,
+(SELECT array_to_string(list(source || ':' || entity ORDER BY source), ' ') FROM s WHERE s.id = w.id) AS by_source FROM w LEFT JOIN r ON w.id = r.id""")
+def q_nearest_by_source(spark, d):
+    near = joins.radius_join(_cust(spark, d), _supp(spark, d), 9.0).withColumns({"source": F.col("r_id") % 3, "entity": F.col("r_id") % 7})
+    out = joins.nearest_by_source(near, "id", "source", "entity", "distance")
+    listed = F.array_join(F.transform("by_source", lambda b: F.concat_ws(":", b["s"], b["e"])), " ")
+    return out.withColumns({"by_source": listed, "distance": F.round("distance", 6), "runner_up_distance": F.round("runner_up_distance", 6)})
+
+
+# A customer is a sheet of four corners; every fourth is grounded.
+_CORNER = f"SELECT id AS sheet, id % 3 AS zone, x + dx * 4 AS x, y + dy * 3 AS y, id % 20 * 1000 AS off FROM ({_CUST}), (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) v(dx, dy)"
+
+
+@query(f"""WITH c AS MATERIALIZED ({_CORNER}), m AS (SELECT a.sheet, b.sheet AS neighbour, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM c a JOIN c b ON a.zone = b.zone AND a.sheet <> b.sheet AND b.sheet % 4 = 0 AND a.sheet % 4 <> 0 AND a.off <= 15000 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 2.5::DOUBLE)
+SELECT sheet, round(d, 9) AS distance, neighbour FROM m QUALIFY row_number() OVER (PARTITION BY sheet ORDER BY d, neighbour) = 1""")
+def q_shared_corners(spark, d):
+    ends = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (0, 4) for b in (0, 3)]))
+    c = _cust(spark, d).withColumn("v", ends).select(F.col("id").alias("sheet"), (F.col("id") % 3).alias("zone"), (F.col("x") + F.col("v.dx")).alias("x"), (F.col("y") + F.col("v.dy")).alias("y"), (F.col("id") % 20 * 1000).alias("off"))
+    found = joins.shared_corners(c.where("sheet % 4 <> 0"), c.where("sheet % 4 = 0"), 2.5, 15000)
+    return found.withColumn("distance", F.round("distance", 9))
