@@ -163,7 +163,7 @@ def resolve_names(names: DataFrame, name: str, variants: DataFrame, prefixes: Se
     """Canonical names in three steps: as it stands, with its prefix written in full, with
     it dropped; the first that the vocabulary (variant, canonical) knows, else the name."""
     head = f"^(?:{'|'.join(prefixes)})\\s+"
-    v = F.broadcast(variants)  # a vocabulary: hundreds of rows
+    v = variants  # Spark sends it to all tasks if it is small, and deals it out if not
     steps = (F.col(name), F.regexp_replace(name, head, full + " "), F.regexp_replace(name, head, ""))
     out = names
     for k, step in enumerate(steps):

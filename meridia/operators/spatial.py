@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,40 +123,5 @@ def colours(edges: DataFrame, group: str) -> DataFrame:
     return nodes.join(coloured, "id").select(group, "node", "colour")
 
 
-def hull(points: DataFrame, group: str, clip: Sequence[float] | None = None) -> DataFrame:
-    """Area and corner count of each group's convex hull (monotone chain), clipped to a box
-    (w, s, e, n). Only the least and greatest y of each x can be corners; the rest is
-    dropped by an aggregate before a group meets in one task."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(pdf["x"], pdf["y"], strict=True)))
-
-        def chain(seq):
-            out: list = []
-            for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out[:-1]
-
-        ring = chain(pts) + chain(pts[::-1]) if len(pts) > 2 else pts
-        for axis, limit, sign in () if clip is None else ((0, clip[0], 1), (1, clip[1], 1), (0, clip[2], -1), (1, clip[3], -1)):
-            cut: list = []
-            for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
-                inside, then = sign * (p[axis] - limit) >= 0, sign * (q[axis] - limit) >= 0
-                if inside:
-                    cut.append(p)
-                if inside != then:
-                    f = (limit - p[axis]) / (q[axis] - p[axis])
-                    cut.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
-            ring = cut
-        area = abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "corners": [len(ring)], "area": [float(area)]})
-
-    kind = dict(points.dtypes)[group]
-    ends = points.groupBy(group, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).select(group, "x", F.explode(F.array("lo", "hi")).alias("y"))
-    return ends.groupBy(group).applyInPandas(one, f"{group} {kind}, corners long, area double")
-
-
 def nearest_other_source(labels: DataFrame, key: str, source: str, distance: str) -> DataFrame:
     return labels.withColumn("_n", F.row_number().over(Window.partitionBy(key, source).orderBy(distance))).where("_n = 1").drop("_n")

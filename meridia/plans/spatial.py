@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geo
 from meridia.operators import aggregates as agg
-from meridia.operators import joins, partition
+from meridia.operators import joins, partition, rings
 from meridia.operators import regions as rg
 from meridia.operators import spatial as sp
 from meridia.plans.common import t, values
@@ -23,13 +23,15 @@ def query(sql: str | None):
 
 
 # Points and boxes are made from keys; both engines use the same whole-number arithmetic.
-_CUST = "SELECT c_custkey AS id, (c_custkey * 37 % 1000) / 10.0::DOUBLE AS x, (c_custkey * 91 % 1000) / 10.0::DOUBLE AS y FROM customer"
-_SUPP = "SELECT s_suppkey AS id, (s_suppkey * 53 % 1000) / 10.0::DOUBLE AS x, (s_suppkey * 29 % 1000) / 10.0::DOUBLE AS y FROM supplier"
+# A thousand keys fill a square, the next thousand the square beside it: as on a map, there
+# is more ground with more points, not more points on one spot.
+_CUST = "SELECT c_custkey AS id, (c_custkey * 37 % 1000 + c_custkey // 1000 * 1100) / 10.0::DOUBLE AS x, (c_custkey * 91 % 1000) / 10.0::DOUBLE AS y FROM customer"
+_SUPP = "SELECT s_suppkey AS id, (s_suppkey * 53 % 1000 + s_suppkey // 1000 * 1100) / 10.0::DOUBLE AS x, (s_suppkey * 29 % 1000) / 10.0::DOUBLE AS y FROM supplier"
 
 
 def _points(df, key: str, a: int, b: int):
     k = F.col(key)
-    return df.select(k.alias("id"), ((k * a % 1000) / F.lit(10.0)).alias("x"), ((k * b % 1000) / F.lit(10.0)).alias("y"))
+    return df.select(k.alias("id"), ((k * a % 1000 + F.floor(k / 1000) * 1100) / F.lit(10.0)).alias("x"), ((k * b % 1000) / F.lit(10.0)).alias("y"))
 
 
 def _cust(spark, d):
@@ -279,10 +281,17 @@ def q_colouring(spark, d):
     return sp.colours(_edges(spark, d).join(nation, "a"), "sheet")
 
 
+#: A unit's ring, hollow to the north (any polygon will do).
+_HOLLOW = ((5.0, 5.0), (95.0, 5.0), (95.0, 95.0), (50.0, 40.0), (5.0, 95.0))
+
+
+# A hull clipped by any polygon is more than SQL can say; tests/test_rings.py has a sweep for it.
 @query(None)
 def q_hull_density(spark, d):
     points = _cust(spark, d).withColumn("unit", F.col("id") % 10)
-    hulls = sp.hull(points, "unit", (5.0, 5.0, 95.0, 95.0))
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _HOLLOW])
+    units = points.select("unit").distinct().withColumn("rings", F.array(ring))
+    hulls = rings.hulls_in_units(points, units, "unit")
     return agg.density(hulls.select("unit", "area"), points.select("unit"), "unit", F.col("area"), 25.0).select("unit", "n", F.round("area", 6).alias("area"), "basis")
 
 
@@ -374,3 +383,32 @@ def q_shared_corners(spark, d):
     c = _cust(spark, d).withColumn("v", ends).select(F.col("id").alias("sheet"), (F.col("id") % 3).alias("zone"), (F.col("x") + F.col("v.dx")).alias("x"), (F.col("y") + F.col("v.dy")).alias("y"), (F.col("id") % 20 * 1000).alias("off"))
     found = joins.shared_corners(c.where("sheet % 4 <> 0"), c.where("sheet % 4 = 0"), 2.5, 15000)
     return found.withColumn("distance", F.round("distance", 9))
+
+
+# Rings of four corners: where two opposite sides cross, the ring is two triangles.
+_AT = ((37, 101, 53, 97), (71, 103, 29, 89), (43, 107, 83, 91), (59, 109, 61, 93))
+_QUAD = "SELECT p_partkey AS k, " + ", ".join(f"CAST(p_partkey * {a} % {m} AS DOUBLE) AS x{i}, CAST(p_partkey * {b} % {n} AS DOUBLE) AS y{i}" for i, (a, m, b, n) in enumerate(_AT)) + " FROM part"
+_TURN = lambda p, q, r: f"((x{q} - x{p}) * (y{r} - y{p}) - (y{q} - y{p}) * (x{r} - x{p}))"
+_CROSS = lambda a, b, c, d: f"{_TURN(a, b, c)} * {_TURN(a, b, d)} < 0 AND {_TURN(c, d, a)} * {_TURN(c, d, b)} < 0"
+
+
+def _two_triangles(a: int, b: int, c: int, d: int) -> str:
+    """Areas beside the point in which a-b and c-d cross: each side's share by how far off it is."""
+    f = f"({_TURN(c, d, a)} / ({_TURN(c, d, a)} - {_TURN(c, d, b)}))"
+    px, py = f"(x{a} + {f} * (x{b} - x{a}))", f"(y{a} + {f} * (y{b} - y{a}))"
+    part = lambda p, q: f"abs((x{p} - {px}) * (y{q} - {py}) - (y{p} - {py}) * (x{q} - {px})) / 2"
+    return f"{part(b, c)} + {part(d, a)}"
+
+
+@query(f"""SELECT k, round(CASE WHEN {_CROSS(0, 1, 2, 3)} THEN {_two_triangles(0, 1, 2, 3)} WHEN {_CROSS(1, 2, 3, 0)} THEN {_two_triangles(1, 2, 3, 0)} ELSE abs({_TURN(0, 1, 2)} + {_TURN(0, 2, 3)}) / 2 END, 6) AS area, CASE WHEN {_CROSS(0, 1, 2, 3)} OR {_CROSS(1, 2, 3, 0)} THEN 2 ELSE 1 END AS parts
+FROM ({_QUAD}) WHERE {_TURN(0, 1, 2)} * {_TURN(0, 2, 3)} * {_TURN(0, 1, 3)} * {_TURN(1, 2, 3)} <> 0""")
+def q_mended_rings(spark, d):
+    k = F.col("p_partkey")
+    corners = [F.struct((k * a % m).cast("double").alias("x"), (k * b % n).cast("double").alias("y")) for a, m, b, n in _AT]
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    a, b, c, e = corners
+    # no three corners on a line: then the parts' number is known
+    plain = turn(a, b, c) * turn(a, c, e) * turn(a, b, e) * turn(b, c, e) != 0
+    rows = t(spark, d, "part").where(plain).select(k.alias("k"), F.array(*corners).alias("ring"))
+    mended = rings.mend_rings(rows, "k", "ring")
+    return mended.groupBy("k").agg(F.round(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))), 6).alias("area"), F.count("*").cast("int").alias("parts"))
