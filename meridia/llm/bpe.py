@@ -62,8 +62,8 @@ class Trie:
 class Transducer:
     """Encodes pieces of text by ``ranks`` (bytes to id, which is also the merge order)."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
-        self.ranks, self.trie, self.most = ranks, Trie(ranks), most_states
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES, most_pairs: int = MOST_PAIRS):
+        self.ranks, self.trie, self.most, self.most_pairs = ranks, Trie(ranks), most_states, most_pairs
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
         self.longest = max(self.length.values(), default=1)
@@ -116,7 +116,7 @@ class Transducer:
         known = self.agree.get(a << 32 | b)
         if known is not None:
             return known
-        if len(self.agree) > MOST_PAIRS:
+        if len(self.agree) > self.most_pairs:
             self.agree.clear()
         x, y, until, known = a, b, 1 << 60, True
         ranks, text = self.ranks, self.bytes_of
@@ -278,8 +278,10 @@ def split_pattern(pattern: str) -> regex.Pattern:
 class Codec:
     """Text to ids and back for one vocabulary and splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES):
-        self.machine, self.split, self.most = Transducer(ranks), split_pattern(pattern), most_pieces
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = MOST_PIECES, room: float = 1.0):
+        """room: part of the usual size of all tables."""
+        self.machine = Transducer(ranks, int(MOST_STATES * room), int(MOST_PAIRS * room))
+        self.split, self.most = split_pattern(pattern), int(most_pieces * room)
         self.vocabulary = [self.machine.bytes_of.get(i, b"") for i in range(max(ranks.values(), default=-1) + 1)]
         self.pieces: dict[str, bytes] = {}
 
@@ -311,12 +313,14 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(name: str, pattern: str) -> Codec:
+def codec(name: str, pattern: str, room: float = 1.0) -> Codec:
     """This worker's codec for a file that was added to the session."""
-    if (name, pattern) not in _CODECS:
+    if (name, pattern, room) not in _CODECS:
+        # what the worker's earlier tasks have freed goes back before the tables grow
+        pa.default_memory_pool().release_unused()
         with open(SparkFiles.get(name), "rb") as lines:
-            _CODECS[name, pattern] = Codec(read_ranks(lines), pattern)
-    return _CODECS[name, pattern]
+            _CODECS[name, pattern, room] = Codec(read_ranks(lines), pattern, room=room)
+    return _CODECS[name, pattern, room]
 
 
 def ship(spark, path: str) -> str:
@@ -341,13 +345,14 @@ def parts(batches) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, room: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, ids (packed), ids_sha256, decoded_sha256. A null text is empty;
-    repeated rows each get their own; other columns are left alone."""
+    repeated rows each get their own; other columns are left alone. With less ``room`` the
+    tables are smaller and begin anew more often; the result is the same."""
     name = ship(docs.sparkSession, ranks_path)
 
     def run(batches):
-        c = codec(name, pattern)
+        c = codec(name, pattern, room)
         for b in parts(batches):
             n, packed, sha, back = [], [], [], []
             for x in b.column("text"):
