@@ -387,9 +387,9 @@ def q_shared_corners(spark, d):
 
 # Rings of four corners: where two opposite sides cross, the ring is two triangles.
 _AT = ((37, 101, 53, 97), (71, 103, 29, 89), (43, 107, 83, 91), (59, 109, 61, 93))
-_QUAD = "SELECT p_partkey AS k, " + ", ".join(f"CAST(p_partkey * {a} % {m} AS DOUBLE) AS x{i}, CAST(p_partkey * {b} % {n} AS DOUBLE) AS y{i}" for i, (a, m, b, n) in enumerate(_AT)) + " FROM part"
+_FOUR = "SELECT p_partkey AS k, " + ", ".join(f"CAST(p_partkey * {a} % {m} AS DOUBLE) AS x{i}, CAST(p_partkey * {b} % {n} AS DOUBLE) AS y{i}" for i, (a, m, b, n) in enumerate(_AT)) + " FROM part"
 _TURN = lambda p, q, r: f"((x{q} - x{p}) * (y{r} - y{p}) - (y{q} - y{p}) * (x{r} - x{p}))"
-_CROSS = lambda a, b, c, d: f"{_TURN(a, b, c)} * {_TURN(a, b, d)} < 0 AND {_TURN(c, d, a)} * {_TURN(c, d, b)} < 0"
+_CROSSED = lambda a, b, c, d: f"{_TURN(a, b, c)} * {_TURN(a, b, d)} < 0 AND {_TURN(c, d, a)} * {_TURN(c, d, b)} < 0"
 
 
 def _two_triangles(a: int, b: int, c: int, d: int) -> str:
@@ -400,8 +400,8 @@ def _two_triangles(a: int, b: int, c: int, d: int) -> str:
     return f"{part(b, c)} + {part(d, a)}"
 
 
-@query(f"""SELECT k, round(CASE WHEN {_CROSS(0, 1, 2, 3)} THEN {_two_triangles(0, 1, 2, 3)} WHEN {_CROSS(1, 2, 3, 0)} THEN {_two_triangles(1, 2, 3, 0)} ELSE abs({_TURN(0, 1, 2)} + {_TURN(0, 2, 3)}) / 2 END, 6) AS area, CASE WHEN {_CROSS(0, 1, 2, 3)} OR {_CROSS(1, 2, 3, 0)} THEN 2 ELSE 1 END AS parts
-FROM ({_QUAD}) WHERE {_TURN(0, 1, 2)} * {_TURN(0, 2, 3)} * {_TURN(0, 1, 3)} * {_TURN(1, 2, 3)} <> 0""")
+@query(f"""SELECT k, round(CASE WHEN {_CROSSED(0, 1, 2, 3)} THEN {_two_triangles(0, 1, 2, 3)} WHEN {_CROSSED(1, 2, 3, 0)} THEN {_two_triangles(1, 2, 3, 0)} ELSE abs({_TURN(0, 1, 2)} + {_TURN(0, 2, 3)}) / 2 END, 6) AS area, CASE WHEN {_CROSSED(0, 1, 2, 3)} OR {_CROSSED(1, 2, 3, 0)} THEN 2 ELSE 1 END AS parts
+FROM ({_FOUR}) WHERE {_TURN(0, 1, 2)} * {_TURN(0, 2, 3)} * {_TURN(0, 1, 3)} * {_TURN(1, 2, 3)} <> 0""")
 def q_mended_rings(spark, d):
     k = F.col("p_partkey")
     corners = [F.struct((k * a % m).cast("double").alias("x"), (k * b % n).cast("double").alias("y")) for a, m, b, n in _AT]
