@@ -29,6 +29,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.llm.common import give_back
+
 MOST_STATES, MOST_PAIRS, MOST_PIECES, LONGEST_KEPT = 120_000, 300_000, 250_000, 64
 #: Pieces up to so many bytes go out at their end; longer ones as they settle.
 FLUSH = 4096
@@ -316,8 +318,6 @@ _CODECS: dict[tuple, Codec] = {}
 def codec(name: str, pattern: str, room: float = 1.0) -> Codec:
     """This worker's codec for a file that was added to the session."""
     if (name, pattern, room) not in _CODECS:
-        # what the worker's earlier tasks have freed goes back before the tables grow
-        pa.default_memory_pool().release_unused()
         with open(SparkFiles.get(name), "rb") as lines:
             _CODECS[name, pattern, room] = Codec(read_ranks(lines), pattern, room=room)
     return _CODECS[name, pattern, room]
@@ -352,6 +352,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, room: float
     name = ship(docs.sparkSession, ranks_path)
 
     def run(batches):
+        # what the worker's earlier tasks have freed goes back before the tables grow
+        give_back()
         c = codec(name, pattern, room)
         for b in parts(batches):
             n, packed, sha, back = [], [], [], []

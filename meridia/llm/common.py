@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from meridia.operators import shared
 from meridia.operators.shared import connected_components, discard, skew_join
 
-__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "met_in_groups", "fields", "restored", "sent_if_few", "without_rows", "text_or_empty", "table"]
+__all__ = ["connected_components", "discard", "skew_join", "materialise", "tables_made", "with_row_key", "in_parts", "met_in_groups", "give_back", "fields", "restored", "sent_if_few", "without_rows", "text_or_empty", "table"]
 
 #: What separates words everywhere here: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,4 +118,11 @@ def met_in_groups(held: DataFrame, sent: DataFrame, spots: Column, groups: int)
     return a.unionByName(b).repartition(groups, "g").sortWithinPartitions("g", "kind")
 
 
+def give_back() -> None:
+    """Returns to the system what this worker has freed: workers live through many stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 LONG, STRING, BINARY = T.LongType(), T.StringType(), T.BinaryType()

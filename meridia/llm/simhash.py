@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import ROW, connected_components, fields, in_parts, materialise, restored, sent_if_few, skew_join, with_row_key, without_rows
+from meridia.llm.common import ROW, connected_components, fields, give_back, in_parts, materialise, restored, sent_if_few, skew_join, with_row_key, without_rows
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
 #: Bit blocks as (first bit, width); a pair within LIMIT bits agrees on BLOCKS - LIMIT of them.
@@ -279,6 +279,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 fp.append(majority(_spread(hashes, WIDE // 64)))
                 least.append(hashes[:SAMPLE].view(np.int64))
             yield pa.record_batch([b.column(ROW), b.column("doc_id"), pa.array(same, pa.binary()), pa.array(fp, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=[ROW, "doc_id", "same", "fp", "least"])
+        give_back()
 
     rows = docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"{ROW} long, doc_id long, same binary, fp binary, least array<long>")
@@ -363,11 +364,13 @@ def _links(batches):
             edges += [(ids[m], ids[n]) for m, n in verified(found, [np.frombuffer(raw[x], np.uint32) for x in order])]
         a, c = zip(*edges, strict=True) if edges else ((), ())
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+    give_back()
 
 
 def _sketches(batches):
     for b in batches:
         yield pa.record_batch([b.column("id"), pa.array([sketch(x.as_py() or b"") for x in b.column("text").cast(pa.binary())], pa.binary())], names=["id", "sketch"])
+    give_back()
 
 
 def near_links(distinct: DataFrame, texts: DataFrame, cell: int = CELL) -> DataFrame:
