@@ -11,7 +11,9 @@ half-plane after another."""
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,19 +107,25 @@ def _directed(ring: list[Point]) -> list[tuple[Point, Point]]:
         odd ^= {(min(p, q), max(p, q))}
     out = []
     for a, b in odd:
-        axis = 0 if a[0] != b[0] else 1  # an upright side is looked at from the west
+        # a steep side is looked at from the west: its middle is then well between its ends
+        axis = 0 if abs(b[0] - a[0]) >= abs(b[1] - a[1]) else 1
+        a, b = (a, b) if a[axis] < b[axis] else (b, a)
         x, y = (a[axis] + b[axis]) / 2, (a[1 - axis] + b[1 - axis]) / 2
         under = 0
         for c, d in odd:
-            if (c, d) != (a, b) and (c[axis] > x) != (d[axis] > x):
+            if {c, d} != {a, b} and (c[axis] > x) != (d[axis] > x):
                 under += c[1 - axis] + (x - c[axis]) / (d[axis] - c[axis]) * (d[1 - axis] - c[1 - axis]) < y
         out.append((a, b) if (under % 2 == 0) == (axis == 0) else (b, a))
     return out
 
 
 def mended(ring: Sequence[Point]) -> list[list[Point]]:
-    """Outer rings counterclockwise, holes clockwise, the largest first."""
+    """Outer rings counterclockwise, holes clockwise, the largest first. As many sides must
+    lead to a corner as lead away; where rounded crossings break that, sides are found anew
+    in fractions, in which nothing is rounded."""
     sides = _directed(_open(ring))
+    if Counter(a for a, _ in sides) != Counter(b for _, b in sides):
+        sides = _directed([(Fraction(x), Fraction(y)) for x, y in _open(ring)])
     ways: dict[Point, list[Point]] = {}
     for a, b in sides:
         ways.setdefault(a, []).append(b)
@@ -132,6 +140,7 @@ def mended(ring: Sequence[Point]) -> list[list[Point]]:
             turn = lambda w, v=v, back=back: (back - math.atan2(w[1] - v[1], w[0] - v[0])) % (2 * math.pi) or 2 * math.pi
             u, v = v, min((w for w in ways[v] if (v, w) in left), key=turn, default=start[1])
         out += _split(path)
+    out = [[(float(x), float(y)) for x, y in part] for part in out]
     return sorted(out, key=lambda x: -abs(signed_area(x)))
 
 

@@ -60,6 +60,16 @@ def test_known_rings():
     assert rings.mended([]) == rings.mended([(1.0, 1.0)] * 5) == rings.mended([(0.0, 0.0), (1.0, 1.0)]) == []
 
 
+def test_upright_sides_that_are_crossed():
+    """A crossing on an upright side may be a last place off it: the side is upright still."""
+    r = random.Random(4)
+    for _ in range(2000):
+        ring = [(float(r.randrange(101)), float(r.randrange(97))) for _ in range(r.randint(4, 6))]
+        ring[2] = (ring[1][0], ring[2][1])
+        parts = rings.mended(ring)
+        assert sum(map(rings.signed_area, parts)) == pytest.approx(sweep_area(lambda c: c[0] % 2, ring), abs=1e-6)
+
+
 def test_clipped_by_the_sweep():
     r = random.Random(2)
     for _ in range(150):
