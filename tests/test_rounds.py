@@ -1,5 +1,6 @@
 """Regions, greedy rounds, lattice search and streamed line groups against plain loops."""
 
+import math
 import random
 
 import pytest
@@ -121,3 +122,18 @@ def test_local_maxima_highest_first(spark):
             if all(abs(n - m) >= 7 for m in kept):
                 kept.append(n)
         assert sorted(x.peak for x in got.where(F.col("k") == k).collect()) == sorted(kept)
+
+
+def test_labels_inside_an_ellipse_of_any_size(spark):
+    r = random.Random(5)
+    rows = [(e, w * r.uniform(-1, 1), h * r.uniform(-1, 1)) for e, w, h in (("a", 3000, 30), ("b", 500, 400), ("c", 1, 1), ("d", 20, 9000)) for _ in range(60)]
+    labels = spark.createDataFrame(rows, "e string, x double, y double")
+    shapes = spatial.ellipses(labels, "e").cache()
+
+    def holds(s, x, y):
+        dx, dy = x - s.cx, y - s.cy
+        u, v = dx * math.cos(s.angle) + dy * math.sin(s.angle), dy * math.cos(s.angle) - dx * math.sin(s.angle)
+        return (u / s.a) ** 2 + (v / s.b) ** 2 <= 1 + 1e-9
+
+    want = {s.e: sum(holds(s, x, y) for e, x, y in rows if e != s.e) for s in shapes.collect()}
+    assert {x.e: x.n for x in spatial.foreign_inside(shapes, labels, "e").collect()} == {k: n for k, n in want.items() if n}
