@@ -44,6 +44,14 @@ def test_greedy_match(spark):
     assert tuple(joins.match_counts(early, late, [5.0]).first()) == (5.0, 1, 1, 1)
 
 
+def test_projection_returns_from_far_off(spark):
+    lon, lat = F.col("id") * 18.0 - 171, F.lit(35.5)
+    p = geo.project(lon, lat, geo.NORTH)
+    back = geo.unproject(F.col("p.x"), F.col("p.y"), geo.NORTH)
+    off = geo.haversine(lon, lat, F.col("q.x"), F.col("q.y"))
+    assert spark.range(20).withColumn("p", p).withColumn("q", back).select(F.max(off).alias("off")).first().off < 1e-7
+
+
 def test_projection_returns(spark):
     p = geo.project(F.lit(10.18), F.lit(36.8), geo.NORTH)
     r = spark.range(1).withColumn("p", p).withColumn("q", geo.unproject(F.col("p.x"), F.col("p.y"), geo.NORTH)).first()
