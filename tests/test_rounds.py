@@ -137,3 +137,11 @@ def test_labels_inside_an_ellipse_of_any_size(spark):
 
     want = {s.e: sum(holds(s, x, y) for e, x, y in rows if e != s.e) for s in shapes.collect()}
     assert {x.e: x.n for x in spatial.foreign_inside(shapes, labels, "e").collect()} == {k: n for k, n in want.items() if n}
+
+
+def test_interior_gaps_where_they_are_found(spark):
+    rows = [("a", 3), ("a", 7), ("a", 7), ("a", 8), ("b", 1), (None, 1), (None, 3)]
+    got = sequences.interior_gaps(spark.createDataFrame(rows, "k string, n long"), ["k"], "n")
+    assert {tuple(x) for x in got.collect()} == {("a", 4), ("a", 5), ("a", 6), (None, 2)}
+    # what is missing is not dealt out again
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
