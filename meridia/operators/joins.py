@@ -69,12 +69,14 @@ def _cell(c: Column, size: float) -> Column:
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, prefix: str = "r_") -> DataFrame:
     """Pairs of rows (x, y) no further apart than the radius, with their distance. The
-    right side's columns get a prefix; the left side goes to the nine cells around it."""
+    right side's columns get a prefix; the left side goes to the nine cells around it. Both
+    sides are dealt out: rows made from keys are many more bytes than their files, by which
+    Spark would send a side through the driver."""
     b = right.select(*[F.col(c).alias(prefix + c) for c in right.columns]).withColumns({"_cx": _cell(F.col(prefix + "x"), radius), "_cy": _cell(F.col(prefix + "y"), radius)})
     around = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
     a = left.withColumn("_dx", around).withColumn("_dy", around).withColumns({"_cx": _cell(F.col("x"), radius) + F.col("_dx"), "_cy": _cell(F.col("y"), radius) + F.col("_dy")})
     d = F.sqrt(F.pow(F.col("x") - F.col(prefix + "x"), 2) + F.pow(F.col("y") - F.col(prefix + "y"), 2))
-    return a.join(b, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy", "_dx", "_dy")
+    return a.join(b.hint("merge"), ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy", "_dx", "_dy")
 
 
 def greedy_match(early: DataFrame, late: DataFrame, radius: float) -> DataFrame:
@@ -306,7 +308,7 @@ def shared_corners(open_: DataFrame, grounded: DataFrame, radius: float, most_of
     within the radius, of the same zone and another sheet. Both sides: sheet, zone, x, y, a row
     a corner; open sheets carry off, how far the catalogue puts them, and are only tried up
     to ``most_off``. Grounded sheets are no open ones, so that nothing is borne out in chains."""
-    tried = open_.where(F.col("off") <= most_off).join(grounded.select("sheet").distinct(), "sheet", "left_anti")
+    tried = open_.where(F.col("off") <= most_off).join(grounded.select("sheet").distinct().hint("merge"), "sheet", "left_anti")
     near = radius_join(tried, grounded.select("sheet", "zone", "x", "y"), radius).where((F.col("zone") == F.col("r_zone")) & (F.col("sheet") != F.col("r_sheet")))
     return near.groupBy("sheet").agg(F.min(F.struct("distance", F.col("r_sheet").alias("n"))).alias("b")).select("sheet", F.col("b.distance").alias("distance"), F.col("b.n").alias("neighbour"))
 

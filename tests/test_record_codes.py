@@ -67,3 +67,10 @@ def test_shared_corners(spark):
     got = joins.shared_corners(spark.createDataFrame(open_, "sheet string, zone int, x double, y double, off double"), spark.createDataFrame(grounded, "sheet string, zone int, x double, y double"), 0.5, 10.0)
     (row,) = got.collect()
     assert (row.sheet, row.neighbour) == ("a", "h") and math.isclose(row.distance, 0.2, rel_tol=1e-9)
+
+
+def test_corners_do_not_go_through_the_driver(spark):
+    c = spark.range(10).select(F.col("id").alias("sheet"), F.lit(1).alias("zone"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("off"))
+    found = joins.shared_corners(c.where("sheet % 4 <> 0"), c.where("sheet % 4 = 0"), 1.0, 1.0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.sheet, r.neighbour) for r in found.collect()) == [(1, 0), (3, 4), (5, 4), (7, 8), (9, 8)]
