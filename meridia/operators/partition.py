@@ -76,24 +76,30 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, at: Leaves, pr
     b = b.select(*[F.col(c).alias(prefix + c) for c in right.columns], "_slice", "_leaf")
     x, y = F.col("x"), F.col("y")
     a = over_leaves(left, at, x - radius, y - radius, x + radius, y + radius)
-    d = F.sqrt(F.pow(x - F.col(prefix + "x"), 2) + F.pow(y - F.col(prefix + "y"), 2))
-    return a.join(b, ["_slice", "_leaf"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_slice", "_leaf")
+    dx, dy = x - F.col(prefix + "x"), y - F.col(prefix + "y")
+    d = F.sqrt(dx * dx + dy * dy)
+    return a.join(b.hint("merge"), ["_slice", "_leaf"]).where(d <= radius).withColumn("distance", d).drop("_slice", "_leaf")
 
 
 def box_overlap_join(left: DataFrame, right: DataFrame, at: Leaves, least: float = 0.15) -> DataFrame:
     """Pairs of boxes (id, w, s, e, n) that share at least a part of the smaller one's area; a
-    pair counts in the leaf that holds the south-west corner of what it shares."""
+    pair counts in the leaf that holds the south-west corner of what it shares. That leaf is
+    the later of the two in which the boxes' own corners are, so that pairs compare numbers
+    and no bounds."""
 
     def dealt(df: DataFrame, p: str) -> DataFrame:
         c = F.col
-        out = over_leaves(df.where("e > w and n > s"), at, c("w"), c("s"), c("e"), c("n"))
-        return out.select(*[c(k).alias(p + k) for k in ("id", "w", "s", "e", "n")], "_slice", "_leaf")
+        # numbered before they are dealt: the first slice, and in each slice the first leaf
+        first = df.where("e > w and n > s").withColumn("_first", at.slice_of(c("w")))
+        out = first.withColumn("_slice", F.explode(F.sequence("_first", at.slice_of(c("e"))))).withColumn("_low", at.leaf_of(c("_slice"), c("s")))
+        out = out.withColumn("_leaf", F.explode(F.sequence("_low", at.leaf_of(c("_slice"), c("n")))))
+        return out.select(*[c(k).alias(p + k) for k in ("id", "w", "s", "e", "n")], c("_first").alias(p + "first"), c("_low").alias(p + "low"), "_slice", "_leaf")
 
-    j = dealt(left, "a_").join(dealt(right, "b_"), ["_slice", "_leaf"])
+    j = dealt(left, "a_").join(dealt(right, "b_").hint("merge"), ["_slice", "_leaf"])
     w, s = F.greatest("a_w", "b_w"), F.greatest("a_s", "b_s")
     width, height = F.least("a_e", "b_e") - w, F.least("a_n", "b_n") - s
     smaller = F.least((F.col("a_e") - F.col("a_w")) * (F.col("a_n") - F.col("a_s")), (F.col("b_e") - F.col("b_w")) * (F.col("b_n") - F.col("b_s")))
-    j = j.where((width > 0) & (height > 0) & (at.slice_of(w) == F.col("_slice"))).where(at.leaf_of(F.col("_slice"), s) == F.col("_leaf"))
+    j = j.where((F.col("_slice") == F.greatest("a_first", "b_first")) & (F.col("_leaf") == F.greatest("a_low", "b_low")) & (width > 0) & (height > 0))
     return j.withColumn("share", width * height / smaller).where(F.col("share") >= least).select("a_id", "b_id", "share")
 
 

@@ -39,6 +39,15 @@ def test_radius_and_boxes_as_by_all_pairs(spark, capacity):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_of_boxes_are_not_looked_up_again(spark):
+    _, df = crowd(spark, 4, 200)
+    box = df.select("id", F.col("x").alias("w"), F.col("y").alias("s"), (F.col("x") + 1).alias("e"), (F.col("y") + 1).alias("n"))
+    plan = partition.box_overlap_join(box, box, partition.leaves(df, 20))._jdf.queryExecution().optimizedPlan().toString()
+    # bounds are read by each side's rows, below the join, by no pair
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "filter(" not in plan[: plan.index(join) + len(join)]
+
+
 def test_same_point_many_times(spark):
     df = spark.range(500).select("id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
     at = partition.leaves(df, 10)
