@@ -116,7 +116,7 @@ def box_overlap_join(left: DataFrame, right: DataFrame, size: float, least: floa
         out = df.where("e > w and n > s").withColumn("_cx", F.explode(cells("w", "e"))).withColumn("_cy", F.explode(cells("s", "n")))
         return out.select(*[F.col(c).alias(p + c) for c in ("id", "w", "s", "e", "n")], "_cx", "_cy")
 
-    j = dealt(left, "a_").join(dealt(right, "b_"), ["_cx", "_cy"])
+    j = dealt(left, "a_").join(dealt(right, "b_").hint("merge"), ["_cx", "_cy"])
     w, s = F.greatest("a_w", "b_w"), F.greatest("a_s", "b_s")
     width, height = F.least("a_e", "b_e") - w, F.least("a_n", "b_n") - s
     smaller = F.least((F.col("a_e") - F.col("a_w")) * (F.col("a_n") - F.col("a_s")), (F.col("b_e") - F.col("b_w")) * (F.col("b_n") - F.col("b_s")))
