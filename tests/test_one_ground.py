@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meridia.plans import registry
 
-QUERIES = {"q_box_overlap": "a_id", "q_point_in_polygon": "id", "q_radius_pairs": "id", "q_knn_runner_up": "id"}  # by query, the column that names the customer or unit
+QUERIES = {"q_box_overlap": "a_id", "q_point_in_polygon": "id", "q_radius_pairs": "id", "q_knn_runner_up": "id", "q_quartered": "k"}  # by query, the column that names the customer or unit
 
 
 @pytest.fixture(scope="module")
