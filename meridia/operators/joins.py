@@ -212,14 +212,22 @@ def first_and_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return up.unionByName(last.where(F.col("_size") - F.col("place") >= n).drop("_size"))
 
 
+#: Eastings of a sheet that a northing meets in one part.
+LINES_A_PART = 2000
+
+
 def line_intersections(lines: DataFrame, sheet: str) -> DataFrame:
     """sheet, i, j, x, y: where a sheet's eastings (x - tan_e y = u) and northings (y - tan_n x
     = v) cross. lines: sheet, axis ('e' or 'n'), number, constant, tan. Pairs are within a
-    sheet, of some dozens of lines an axis."""
+    sheet; a sheet's eastings are dealt to as many parts as leave LINES_A_PART to one, were
+    all on one sheet, and its northings go to each, so that no sheet is one task."""
     e = lines.where("axis = 'e'").select(sheet, F.col("number").alias("i"), F.col("constant").alias("u"), F.col("tan").alias("tan_e"))
     n = lines.where("axis = 'n'").select(sheet, F.col("number").alias("j"), F.col("constant").alias("v"), F.col("tan").alias("tan_n"))
     c, det = F.col, 1 - F.col("tan_e") * F.col("tan_n")
-    return e.join(n, sheet).where(det != 0).select(sheet, "i", "j", ((c("u") + c("tan_e") * c("v")) / det).alias("x"), ((c("v") + c("tan_n") * c("u")) / det).alias("y"))
+    parts = max(1, -(-e.count() // LINES_A_PART))
+    e = e.withColumn("_part", F.pmod(F.xxhash64("i", "u"), F.lit(parts)))
+    n = n.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return e.join(n.hint("merge"), [sheet, "_part"]).where(det != 0).select(sheet, "i", "j", ((c("u") + c("tan_e") * c("v")) / det).alias("x"), ((c("v") + c("tan_n") * c("u")) / det).alias("y"))
 
 
 #: Pixels ahead and aside, and degrees, within which a fragment continues another (fixed values).
