@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meridia.functions import dates, numbers, text
 from meridia.operators import joins, rules
 from meridia.operators import record_codes as codes
+from meridia.operators.shared import spread
 from meridia.plans.common import sql_values, t, values
 
 QUERIES: dict = {}
@@ -152,7 +153,7 @@ _PAGE_SPARK = f"CASE WHEN c_custkey % 7 = 6 THEN 'nothing here' ELSE {PAGE} END"
 SELECT c_custkey, CASE WHEN has AND c_custkey % 2 = 0 THEN 'Bonne' END AS projection, CASE WHEN has AND c_custkey % 2 = 0 THEN 'Clarke 1880' END AS ellipsoid, CASE WHEN has AND c_custkey % 3 = 0 THEN '1932' END AS revision, CASE WHEN has THEN '19' || (10 + c_custkey % 80) END AS published,
 CASE WHEN has THEN 'FR-' || c_custkey END AS identifier, CASE WHEN has THEN (c_custkey % 9 + 1) * 10000 END AS scale, CASE WHEN has THEN round(least(a, b), 9) END AS west, CASE WHEN has THEN round(least(n, s), 9) END AS south, CASE WHEN has THEN round(greatest(a, b), 9) END AS east, CASE WHEN has THEN round(greatest(n, s), 9) END AS north FROM v""")
 def q_labelled_block(spark, d):
-    told = t(spark, d, "customer").select("c_custkey", text.labelled_block(F.expr(_PAGE_SPARK)).alias("b")).select("c_custkey", "b.*")
+    told = spread(t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select("c_custkey", text.labelled_block(F.expr(_PAGE_SPARK)).alias("b")).select("c_custkey", "b.*")
     return told.withColumns({k: F.round(k, 9) for k in ("west", "south", "east", "north")})
 
 
