@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.operators.shared import materialise, skew_join
+from meridia.operators.shared import materialise, skew_join, spread
 
 CAPACITY, SAMPLE, MOST_LEAVES = 2000, 20_000, 4096
+LEAVES_A_TASK = 8
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,12 @@ class Leaves:
     xs: list[float]
     ys: list[list[float]]
 
+    def count(self) -> int:
+        return sum(len(own) + 1 for own in self.ys)
+
     def _below(self, bounds: Column, v: Column) -> Column:
-        return F.size(F.filter(bounds, lambda b: b <= v))
+        # never null: else a join tests the number by making it once more, before rows are spread
+        return F.coalesce(F.size(F.filter(bounds, lambda b: b <= v)), F.lit(0))
 
     def slice_of(self, x: Column) -> Column:
         return self._below(F.from_json(F.lit(json.dumps(self.xs)), "array<double>"), x)
@@ -71,14 +76,21 @@ def over_leaves(rows: DataFrame, at: Leaves, west: Column, south: Column, east:
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, at: Leaves, prefix: str = "r_") -> DataFrame:
     """Pairs of rows (x, y) no further apart than the radius, with their distance; the right
-    side's columns get a prefix. A right row is in one leaf, so no pair comes twice."""
-    b = in_leaf(right, at)
-    b = b.select(*[F.col(c).alias(prefix + c) for c in right.columns], "_slice", "_leaf")
-    x, y = F.col("x"), F.col("y")
-    a = over_leaves(left, at, x - radius, y - radius, x + radius, y + radius)
-    dx, dy = x - F.col(prefix + "x"), y - F.col(prefix + "y")
+    side's columns get a prefix. The side of fewer rows goes to every leaf that its radius
+    touches, the other to the one leaf that holds it, so that no pair comes twice; rows are
+    dealt to tasks by their number and leaves by theirs, as pairs may be many more."""
+    kept = {c: prefix + c for c in right.columns}
+    here, there = spread(left, "x", "y"), spread(right, "x", "y")
+    touched = lambda df: over_leaves(df, at, F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius)
+    few = left.count() < right.count()
+    a, b = (touched(here), in_leaf(there, at)) if few else (in_leaf(here, at), touched(there))
+    tasks = -(-at.count() // LEAVES_A_TASK)
+    # what a leaf's rows are held against, one by one, is held in memory: the side of one leaf
+    a, b = (df.repartition(tasks, "_slice", "_leaf") for df in (a, b.withColumnsRenamed(kept)))
+    j = a.join(b.hint("merge"), ["_slice", "_leaf"]) if few else b.join(a.hint("merge"), ["_slice", "_leaf"])
+    dx, dy = F.col("x") - F.col(prefix + "x"), F.col("y") - F.col(prefix + "y")
     d = F.sqrt(dx * dx + dy * dy)
-    return a.join(b.hint("merge"), ["_slice", "_leaf"]).where(d <= radius).withColumn("distance", d).drop("_slice", "_leaf")
+    return j.where(d <= radius).select(*left.columns, *kept.values(), d.alias("distance"))
 
 
 def box_overlap_join(left: DataFrame, right: DataFrame, at: Leaves, least: float = 0.15) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meridia.functions.numbers import rounded
 from meridia.operators import aggregates, partition
 
 
@@ -39,6 +40,29 @@ def test_radius_and_boxes_as_by_all_pairs(spark, capacity):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_the_side_of_fewer_rows_goes_to_many_leaves(spark, monkeypatch):
+    a, many = crowd(spark, 6, 900)
+    b, few = crowd(spark, 7, 60)
+    at, sent, whole = partition.leaves(many.unionByName(few), 20), [], partition.over_leaves
+    monkeypatch.setattr(partition, "over_leaves", lambda rows, *box: sent.append(rows.count()) or whole(rows, *box))
+    want = {(i, j) for i, x, y in a for j, u, v in b if math.hypot(x - u, y - v) <= 0.003}
+    there = partition.radius_join(many, few, 0.003, at)
+    back = partition.radius_join(few, many, 0.003, at)
+    assert sent == [60, 60] and want
+    assert sorted((r.id, r.r_id) for r in there.collect()) == sorted(want) == sorted((r.r_id, r.id) for r in back.collect())
+    # leaves are read after rows are spread over tasks, by no filter before it
+    assert there.columns == ["id", "x", "y", "r_id", "r_x", "r_y", "distance"]
+    below = there._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[-1]
+    assert "lambda" not in below
+
+
+def test_rounded_in_doubles(spark):
+    r = random.Random(8)
+    values = [0.0, 0.07, 0.0125, 0.5] + [r.random() / 10 for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 9).alias("got"), F.round("v", 9).alias("want"))
+    assert all(x.got == x.want for x in df.collect()) and "floor" in df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_pairs_of_boxes_are_not_looked_up_again(spark):
     _, df = crowd(spark, 4, 200)
     box = df.select("id", F.col("x").alias("w"), F.col("y").alias("s"), (F.col("x") + 1).alias("e"), (F.col("y") + 1).alias("n"))
