@@ -32,21 +32,29 @@ def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def first_free_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, colour: each node, in order, takes the least colour from 0 up that no neighbour
-    before it has. edges (low, high): high comes before low."""
-    waits = materialise(edges.distinct())
-    open_ = materialise(nodes.select("id").distinct())
-    done = None
+    """nodes with a colour: each node (id, which comes once), in order, takes the least colour
+    from 0 up that no neighbour before it has. edges (low, high): high comes before low. An
+    edge is looked at until its high end has told its colour; a node keeps what it was told."""
+    c, spark, done = F.col, nodes.sparkSession, None
+    waits, edges_at = stored(edges.select("low", "high", F.lit(None).cast("long").alias("colour")))
+    open_, open_at = stored(nodes.withColumn("used", F.array().cast("array<long>")))
     while open_.limit(1).count():
-        blocked = waits.join(open_.select(F.col("id").alias("high")), "high", "left_semi").select(F.col("low").alias("id")).distinct()
-        ready = open_.join(blocked, "id", "left_anti")
+        # first told apart, then gathered: sets are made of what differs
+        told = waits.select(c("low").alias("id"), "colour").distinct()
         if done is None:
-            now = ready.select("id", F.lit(0).cast("long").alias("colour"))
+            news = told.select("id", F.array().cast("array<long>").alias("_told"), F.lit(True).alias("_waits"))
         else:
-            taken = waits.join(done.select(F.col("id").alias("high"), "colour"), "high").groupBy(F.col("low").alias("id")).agg(F.collect_set("colour").alias("t"))
-            free = F.filter(F.sequence(F.lit(0), F.size("t")), lambda c: ~F.array_contains("t", c.cast("long")))
-            now = ready.join(taken, "id", "left").select("id", F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.array_min(free)).cast("long").alias("colour"))
-        now = materialise(now)
+            news = told.groupBy("id").agg(F.collect_set("colour").alias("_told"), F.max(c("colour").isNull()).alias("_waits"))
+        met = open_.join(news, "id", "left").withColumn("used", F.when(c("_told").isNull(), c("used")).otherwise(F.array_union("used", "_told")))
+        known, known_at = stored(met.select(*nodes.columns, "used", F.coalesce("_waits", F.lit(False)).alias("_waits")))
+        free = F.filter(F.sequence(F.lit(0), F.size("used")), lambda k: ~F.array_contains("used", k.cast("long")))
+        now = materialise(known.where("not _waits").select(*nodes.columns, F.array_min(free).cast("long").alias("colour")))
         done = now if done is None else done.unionByName(now)
-        open_ = materialise(open_.join(now.select("id"), "id", "left_anti"))
-    return nodes.select("id", F.lit(0).cast("long").alias("colour")).limit(0) if done is None else done
+        left = waits.where("colour is null").select("low", "high")
+        waits, new_at = stored(left.join(now.select(c("id").alias("high"), "colour"), "high", "left").select("low", "high", "colour"))
+        for spent in (edges_at, open_at):
+            discard(spark, spent)
+        edges_at, open_, open_at = new_at, known.where("_waits").drop("_waits"), known_at
+    for spent in (edges_at, open_at):
+        discard(spark, spent)
+    return nodes.withColumn("colour", F.lit(0).cast("long")).limit(0) if done is None else done

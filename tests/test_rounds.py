@@ -63,6 +63,30 @@ def test_colours_as_in_one_pass(spark):
     assert {(x.g, x.node): x.colour for x in got.collect()} == want and max(want.values()) > 3
 
 
+def test_told_edges_are_not_looked_at_again(spark, monkeypatch):
+    open_edges, whole = [], rounds.stored
+
+    def counted(df):
+        out = whole(df)
+        if "high" in df.columns:
+            open_edges.append(out[0].where("colour is null").count())
+        return out
+
+    monkeypatch.setattr(rounds, "stored", counted)
+    chain = spark.createDataFrame([(n + 1, n) for n in range(5)] + [(4, 2)], "low long, high long")
+    nodes = spark.range(7).withColumn("name", F.concat(F.lit("n"), "id"))
+    got = rounds.first_free_colours(nodes, chain)
+    assert {r.name: r.colour for r in got.collect()} == {"n0": 0, "n1": 1, "n2": 0, "n3": 1, "n4": 2, "n5": 0, "n6": 0}
+    assert open_edges == [6, 5, 4, 2, 1, 0, 0]
+    assert rounds.first_free_colours(nodes.limit(0), chain).count() == 0
+
+
+def test_colours_of_edges_given_twice(spark):
+    once = [(1, 5, 2), (1, 2, 9), (1, 9, 5), (2, 5, 2)]
+    got = lambda rows: sorted(tuple(r) for r in spatial.colours(spark.createDataFrame(rows, "g int, a long, b long"), "g").collect())
+    assert got(once) == [(1, 2, 0), (1, 5, 1), (1, 9, 2), (2, 2, 0), (2, 5, 1)] == got(once + [(g, b, a) for g, a, b in once] + once + [(1, None, 3), (1, 7, 7)])
+
+
 def test_independent_as_in_one_pass(spark):
     r = random.Random(9)
     order = list(range(60))
