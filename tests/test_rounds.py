@@ -87,6 +87,20 @@ def test_colours_of_edges_given_twice(spark):
     assert got(once) == [(1, 2, 0), (1, 5, 1), (1, 9, 2), (2, 2, 0), (2, 5, 1)] == got(once + [(g, b, a) for g, a, b in once] + once + [(1, None, 3), (1, 7, 7)])
 
 
+def test_borne_out_by_grounded_nodes(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "EDGES_A_TASK", 40)
+    r = random.Random(13)
+    edges = [tuple(r.sample(range(60), 2)) for _ in range(150)]
+    rows = edges + [(b, a) for a, b in edges[:40]] + edges[:20] + [(3, 3), (None, 4), (5, None)]
+    grounded, wanted = set(range(0, 60, 3)), set(range(50))
+    near = {n: {m for e in edges for m in e if n in e and m != n and m in grounded} for n in wanted - grounded}
+    make = lambda ids: spark.createDataFrame([(n,) for n in ids], "id long")
+    got = spatial.one_hop(make(wanted), make([*grounded, 0, 3]), spark.createDataFrame(rows, "a long, b long"))
+    assert {x.id: x.support for x in got.collect()} == {n: len(m) for n, m in near.items() if len(m) >= 2}
+    # tasks follow the number of edges: 213 of them, 40 a task
+    assert "RepartitionByExpression [id" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and ", 6" in plan[plan.index("RepartitionByExpression [id") :].splitlines()[0]
+
+
 def test_independent_as_in_one_pass(spark):
     r = random.Random(9)
     order = list(range(60))
