@@ -4,7 +4,8 @@ Cells (x, y), whole numbers, are dealt to tiles of TILE x TILE, so that no task
 than one tile's cells at a time. Within a tile, runs of cells in a row are joined to the runs
 they touch in the row before; regions of different tiles are then joined where cells meet
 across a border, by an equality on the border's cells, and their graph's components give one
-label to each region, however many tiles it covers: its first cell by (y, x)."""
+label to each region, however many tiles it covers: its first cell by (y, x). A region that
+touches no border of its tile is whole there, and is neither joined nor numbered."""
 
 from __future__ import annotations
 
@@ -15,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.operators.shared import connected_components, materialise
+from meridia.operators.shared import connected_components, materialise, skew_join
 
 TILE = 256
+#: Cells of a task that sums regions which are whole in it.
+CELLS_A_TASK = 250_000
 #: A cell as one number: y above x, both from -2^30 to 2^30.
 HALF = 1 << 30
 
@@ -56,12 +59,12 @@ def tile_labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return start[np.array([find(k) for k in range(len(start))], np.int64)][run] if len(x) else np.zeros(0, np.int64)
 
 
-def _label_tiles(keys: Sequence[str]):
+def _label_tiles(keys: Sequence[str], tile: int):
     def run(batches):
         for b in batches:
             lists = b.column("cells")
             offsets, flat = lists.offsets.to_numpy(), lists.values
-            at, xs, ys, labels = [], [], [], []
+            at, xs, ys, labels, opens = [], [], [], [], []
             for k in range(b.num_rows):
                 rows = flat.slice(offsets[k], offsets[k + 1] - offsets[k])
                 x, y = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("x", "y"))
@@ -72,41 +75,55 @@ def _label_tiles(keys: Sequence[str]):
                 xs.append(x)
                 ys.append(y)
                 labels.append((y[first] + HALF) * (2 * HALF) + x[first] + HALF)
-            join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+                border = np.zeros(len(x), bool)
+                border[first[np.isin(x % tile, (0, tile - 1)) | np.isin(y % tile, (0, tile - 1))]] = True
+                opens.append(border[first])
+            join = lambda parts, kind=np.int64: np.concatenate([np.zeros(0, kind), *parts])
             own = [b.column(c).take(pa.array(join(at))) for c in keys]
-            yield pa.record_batch([*own, pa.array(join(xs)), pa.array(join(ys)), pa.array(join(labels))], names=[*keys, "x", "y", "label"])
+            yield pa.record_batch([*own, pa.array(join(xs)), pa.array(join(ys)), pa.array(join(labels)), pa.array(join(opens, bool))], names=[*keys, "x", "y", "label", "open"])
 
     return run
 
 
 def regions(cells: DataFrame, keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
-    """keys, x, y, label of the distinct cells: cells that touch by a side, within the keys'
-    sheet, have one label, the (y, x) number of the region's first cell."""
+    """keys, x, y, label, open of the distinct cells: cells that touch by a side, within the
+    keys' sheet, have one label, the (y, x) number of the region's first cell; a region is
+    open if it touches its tile's border. Only open ones may go on in another tile."""
     keys = list(keys)
     whole = cells.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).where("x is not null and y is not null").distinct()
     spot = lambda c: F.floor(F.col(c) / tile).cast("long")
     tiles = whole.groupBy(*keys, spot("x").alias("_tx"), spot("y").alias("_ty")).agg(F.collect_list(F.struct("x", "y")).alias("cells"))
     kinds = dict(whole.dtypes)
-    named = materialise(tiles.select(*keys, "cells").mapInArrow(_label_tiles(keys), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["x long", "y long", "label long"])))
-    ids = materialise(named.select(*keys, "label").distinct().withColumn("id", F.monotonically_increasing_id()))
-    edges = None
+    named = materialise(tiles.select(*keys, "cells").mapInArrow(_label_tiles(keys, tile), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["x long", "y long", "label long", "open boolean"])))
+    met, bordering = [], named.where("open")
     for axis, other in (("x", "y"), ("y", "x")):
-        last = named.where(F.pmod(F.col(axis), F.lit(tile)) == tile - 1).select(*keys, (F.col(axis) + 1).alias(axis), other, F.col("label").alias("a"))
-        first = named.where(F.pmod(F.col(axis), F.lit(tile)) == 0).select(*keys, axis, other, F.col("label").alias("b"))
-        met = last.join(first, [*keys, "x", "y"]).select(*keys, "a", "b").distinct()
-        edges = met if edges is None else edges.unionByName(met)
+        last = bordering.where(F.pmod(F.col(axis), F.lit(tile)) == tile - 1).select(*keys, (F.col(axis) + 1).alias(axis), other, F.col("label").alias("a"))
+        first = bordering.where(F.pmod(F.col(axis), F.lit(tile)) == 0).select(*keys, axis, other, F.col("label").alias("b"))
+        met.append(skew_join(last, first, [*keys, "x", "y"], "inner").select(*keys, "a", "b"))
+    edges = materialise(met[0].unionByName(met[1]).distinct())
+    ends = edges.select(*keys, F.col("a").alias("label")).unionByName(edges.select(*keys, F.col("b").alias("label")))
+    ids = materialise(ends.distinct().withColumn("id", F.monotonically_increasing_id()))
     for end in ("a", "b"):
-        edges = edges.join(ids.select(*keys, F.col("label").alias(end), F.col("id").alias(f"{end}_id")), [*keys, end])
+        edges = skew_join(edges, ids.select(*keys, F.col("label").alias(end), F.col("id").alias(f"{end}_id")), [*keys, end], "inner")
     parts = connected_components(edges, "a_id", "b_id")
-    known = ids.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = ids.join(parts.select(F.col("node").alias("id"), "component"), "id")
     least = known.groupBy("component").agg(F.min("label").alias("least"))
-    final = known.join(least, "component").select(*keys, "label", "least")
-    return named.join(final, [*keys, "label"]).select(*keys, "x", "y", F.col("least").alias("label"))
+    final = materialise(known.join(least, "component").select(*keys, "label", "least"))
+    joined = skew_join(bordering, final, [*keys, "label"]).withColumn("label", F.coalesce("least", "label"))
+    out = [*keys, "x", "y", "label", "open"]
+    return named.where("not open").select(out).unionByName(joined.select(out))
 
 
 def reduce_regions(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, label, cells, x0, x1, y0, y1, cx, cy, widest: each region's size, box, centre of
-    mass and the most cells that it has in a row; partial sums by row, then by region."""
+    mass and the most cells that it has in a row; partial sums by row, then by region. A
+    region that is not open holds a tile's cells at most, and goes to one task at once."""
+    within = labelled.where("not open")
+    tasks = max(1, -(-within.count() // CELLS_A_TASK))
+    return _sums(within.repartition(tasks, *keys, "label"), keys).unionByName(_sums(labelled.where("open"), keys))
+
+
+def _sums(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows = labelled.groupBy(*keys, "label", "y").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.sum("x").alias("sx"))
     return rows.groupBy(*keys, "label").agg(
         F.sum("n").alias("cells"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), (F.sum("sx") / F.sum("n")).alias("cx"), (F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("cy"), F.max("n").alias("widest")

@@ -43,6 +43,23 @@ def _groups(want):
     return out
 
 
+def test_only_regions_at_a_border_are_joined(spark, monkeypatch):
+    numbered, whole = [], regions.connected_components
+    monkeypatch.setattr(regions, "connected_components", lambda edges, *ends: numbered.append(edges.count()) or whole(edges, *ends))
+    monkeypatch.setattr(regions, "CELLS_A_TASK", 3)
+    # one over the border of x = 8, one at a border by itself, two inside a tile; and a sheet of no name
+    spots = [(7, 3), (8, 3), (9, 3), (0, 5), (2, 2), (3, 2), (2, 3), (12, 12)]
+    rows = [(s, x, y) for s in ("p", None) for x, y in spots]
+    got = regions.regions(spark.createDataFrame(rows, "s string, x int, y int"), ["s"], 8).cache()
+    number = lambda y, x: (y + regions.HALF) * 2 * regions.HALF + x + regions.HALF
+    want = dict.fromkeys([(7, 3), (8, 3), (9, 3)], (3, 7)) | {(0, 5): (5, 0), (12, 12): (12, 12)} | dict.fromkeys([(2, 2), (3, 2), (2, 3)], (2, 2))
+    assert {(c.s, c.x, c.y): c.label for c in got.collect()} == {(s, *k): number(*v) for s in ("p", None) for k, v in want.items()}
+    assert {(c.x, c.y) for c in got.where("open").collect()} == {(7, 3), (8, 3), (9, 3), (0, 5)} and numbered == [2]
+    sums = regions.reduce_regions(got, ["s"])
+    assert sorted((c.s or "", c.label, c.cells, c.widest) for c in sums.collect()) == sorted((s, number(*v), n, w) for s in ("", "p") for v, n, w in [((3, 7), 3, 3), ((5, 0), 1, 1), ((2, 2), 3, 2), ((12, 12), 1, 1)])
+    assert "RepartitionByExpression [s" in (plan := sums._jdf.queryExecution().optimizedPlan().toString()) and ", 3" in next(line for line in plan.splitlines() if "RepartitionByExpression [s" in line)
+
+
 def test_no_cells(spark):
     assert regions.regions(spark.createDataFrame([], "x int, y int")).count() == 0
 
