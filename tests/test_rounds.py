@@ -200,3 +200,26 @@ def test_interior_gaps_where_they_are_found(spark):
     assert {tuple(x) for x in got.collect()} == {("a", 4), ("a", 5), ("a", 6), (None, 2)}
     # what is missing is not dealt out again
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interior_gaps_move_values_once(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "VALUES_A_TASK", 100)
+    r = random.Random(14)
+    rows = [(r.choice(["a", "b", None]), r.randint(-3000, 3000)) for _ in range(250)] + [("c", None), ("c", 5)]
+    got = sequences.interior_gaps(spark.createDataFrame(rows, "k string, n int"), ["k"], "n")
+    want = []
+    for k in ("a", "b", None):
+        held = {n for g, n in rows if g == k}
+        want += [(k, n) for n in range(min(held), max(held)) if n not in held]
+    # one exchange, in tasks by the number of values: 252 of them, 100 a task
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and ", 3), REPARTITION_BY_NUM" in plan
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and dict(got.dtypes)["n"] == "int"
+
+
+def test_a_gap_is_not_held_whole(spark):
+    most = 2**63 - 1
+    rows = [("a", 0), ("a", 2_200_000_000), ("b", most - 3), ("b", most), ("c", -most), ("c", 3 - most)]
+    got = sequences.interior_gaps(spark.createDataFrame(rows, "k string, n long"), ["k"], "n")
+    assert {tuple(x) for x in got.where("k <> 'a'").collect()} == {("b", most - 2), ("b", most - 1), ("c", 1 - most), ("c", 2 - most)}
+    assert [tuple(x) for x in got.where("k = 'a'").take(600)] == [("a", n) for n in range(1, 601)]
